@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardloom.llm.common import documents
+from wardloom.llm.decontaminate import contamination
 from wardloom.llm.line_dedup import dedup_lines
 from wardloom.llm.piece_codec import encode_documents
+from wardloom.llm.private_data import KINDS, find_private, written
 from wardloom.llm.simhash import simhash_components
 from wardloom.llm.vector_dedup import link_embeddings
 from wardloom.llm.zstd_language import fit_dictionaries, held_out, predict_language
@@ -22,6 +24,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private(documents(spark, sf_dir))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["order"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS, 1)]
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(documents(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
@@ -70,6 +82,8 @@ FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op3_private_data": op3_private_data,
+        "op4_decontamination": op4_decontamination,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_language_id": op6_language_id,
         "op7_sentencepiece": op7_sentencepiece,
