@@ -15,7 +15,7 @@ from wardloom.llm.common import SPACE, long_array, stored, texts, without
 
 MIN_POINTS, MIN_DOCS = 20, 3
 #: Batches that the operator feeds to the runs, runs that a level holds before they are merged, and buckets of a run.
-BATCHES, FANOUT, BUCKETS = 4, 2, 32
+BATCHES, FANOUT, BUCKETS = 3, 2, 32
 
 
 def line_hash(line: str, min_points: int) -> bytes | None:
@@ -45,7 +45,7 @@ class LineRuns:
     """Sorted runs of line keys in levels, as tables bucketed by key so that merging needs no shuffle of a run.
 
     A key is in one run only: the run of the batch that brought it first. ``add`` merge-anti-joins a
-    batch with all runs, writes the new keys as a run of level 0 and notes the returning keys beside
+    batch with all runs (in one marking join), writes the new keys as a run of level 0 and notes the returning keys beside
     them. A level of FANOUT runs is merged into one run of the next level. Runs hold n_docs, max_doc
     of their batch; ``totals`` adds what returned later.
     """
@@ -67,14 +67,13 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         """batch: (h1, h2, n_docs, max_doc), each key once, of documents not added before."""
-        batch = stored(batch)
-        fresh = batch
-        for run in self.runs():
-            fresh = fresh.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        if self.made:
-            self.returned += [batch.join(run.select("h1", "h2"), ["h1", "h2"], "left_semi") for run in self.runs()]
-            self.returned = [stored(_union(self.returned))]
-        self._write(fresh, 0)
+        if not self.made:
+            self._write(batch, 0)
+            return
+        held = _union([run.select("h1", "h2", F.lit(True).alias("held")) for run in self.runs()])
+        batch = stored(batch.join(held, ["h1", "h2"], "left"))
+        self.returned.append(batch.where("held").drop("held"))
+        self._write(batch.where("held is null").drop("held"), 0)
         level = 0
         while len(self.levels.get(level, ())) >= self.fanout:
             old = self.levels.pop(level)
@@ -88,7 +87,7 @@ class LineRuns:
         first = _union(self.runs())
         if not self.returned:
             return first.where(F.col("n_docs") >= min_docs)
-        later = self.returned[0].groupBy("h1", "h2").agg(F.sum("n_docs").alias("n2"), F.max("max_doc").alias("m2"))
+        later = _union(self.returned).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n2"), F.max("max_doc").alias("m2"))
         total = F.col("n_docs") + F.coalesce("n2", F.lit(0))
         return first.join(later, ["h1", "h2"], "left").where(total >= min_docs).select("h1", "h2", total.alias("n_docs"), F.greatest("max_doc", "m2").alias("max_doc"))
 
