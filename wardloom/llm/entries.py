@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from wardloom.llm.piece_codec import encode_documents
 from wardloom.llm.private_data import KINDS, find_private, written
 from wardloom.llm.simhash import simhash_components
 from wardloom.llm.vector_dedup import link_embeddings
+from wardloom.llm.weak_quality import fit_quality, score_quality
 from wardloom.llm.zstd_language import fit_dictionaries, held_out, predict_language
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +53,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_quality(docs, documents(spark, sf_dir, "labels"))
+    return score_quality(docs.select("doc_id", "text"), model).drop("text")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -87,7 +95,9 @@ def queries() -> dict[str, Query]:
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_language_id": op6_language_id,
         "op7_sentencepiece": op7_sentencepiece,
+        "op8_quality": op8_quality,
         "op10_simhash": op10_simhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 
