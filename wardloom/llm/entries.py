@@ -16,6 +16,7 @@ from wardloom.llm.piece_codec import encode_documents
 from wardloom.llm.private_data import KINDS, find_private, written
 from wardloom.llm.simhash import simhash_components
 from wardloom.llm.vector_dedup import link_embeddings
+from wardloom.llm.substring_dedup import remove_repeats
 from wardloom.llm.weak_quality import fit_quality, score_quality
 from wardloom.llm.zstd_language import fit_dictionaries, held_out, predict_language
 
@@ -26,6 +27,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_private(documents(spark, sf_dir))
     counts = [F.size(F.filter("base", lambda s, i=i: s["order"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS, 1)]
@@ -75,6 +81,19 @@ FROM d GROUP BY doc_id
 """
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+g AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM s),
+r AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 35)) AS p FROM g JOIN r USING (h)),
+k AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
+a AS (SELECT d.doc_id, d.w, unnest(range(1, len(d.w) + 1)) AS p FROM d),
+b AS (SELECT a.doc_id, string_agg(a.w[a.p], ' ' ORDER BY a.p) AS kept FROM a LEFT JOIN c ON a.doc_id = c.doc_id AND a.p = c.p WHERE c.p IS NULL GROUP BY a.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(k.gone), 0) AS n_removed, sha256(coalesce(b.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN b ON d.doc_id = b.doc_id
+"""
+
 OP5_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 ok AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS len FROM v WHERE label IS NOT NULL AND list_dot_product(e, e) > 0),
@@ -90,6 +109,7 @@ FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_private_data": op3_private_data,
         "op4_decontamination": op4_decontamination,
         "op5_embedding_dedup": op5_embedding_dedup,
@@ -102,4 +122,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_embedding_dedup": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op5_embedding_dedup": OP5_SQL}
