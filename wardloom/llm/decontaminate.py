@@ -13,9 +13,8 @@ WINDOW, AGREE, BROADCAST_SEEDS = 20, 0.8, 500_000
 
 
 def words(text: Column) -> Column:
-    """Hashes of the lower-cased runs of letters and digits, in order; null text has none."""
-    clean = F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(clean == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(clean, " "), lambda w: F.xxhash64(w)))
+    """Hashes of the lower-cased runs of letters and digits, in order; an empty one may stand at either end, which nothing matches."""
+    return F.transform(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
 
 
 def _seed(tokens: str, at: Column, k: int, mask: tuple[int, ...]) -> Column:
@@ -38,7 +37,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree:
     item's words (all of a shorter item); part is the largest share, and ``agree`` or more makes an overlap, so
     words may be replaced. Benchmark seeds are broadcast if they are few, else both sides are shuffled.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("item")).distinct()
+    items = benchmark.select("item_id", F.filter(words(F.col("text")), lambda w: w != F.xxhash64(F.lit(""))).alias("item")).distinct()
     masks = dict(enumerate(MASKS))
     short = items.where((F.size("item") <= MASKS[0][-1]) & (F.size("item") > SHORT[-1]))
     if not short.isEmpty():
