@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardloom.llm.common import documents
 from wardloom.llm.decontaminate import contamination
+from wardloom.llm import katz
 from wardloom.llm.line_dedup import dedup_lines
 from wardloom.llm.piece_codec import encode_documents
 from wardloom.llm.private_data import KINDS, find_private, written
@@ -65,6 +66,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    test = held_out("doc_id", 7, 2)
+    train = F.col("doc_id").isNotNull() & ~test
+    model = katz.fit(docs, train)
+    scored = katz.score(docs, model, train)
+    return scored.select("doc_id", test.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -116,6 +126,7 @@ def queries() -> dict[str, Query]:
         "op6_language_id": op6_language_id,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_quality": op8_quality,
+        "op9_language_model": op9_language_model,
         "op10_simhash": op10_simhash,
         "pipeline": corpus_pipeline.run,
     }
