@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from wardloom.llm.common import SPACE, long_array, stored, texts, without
 
 MIN_POINTS, MIN_DOCS = 20, 3
-#: Batches that the operator feeds to the runs, runs that a level holds before they are merged, and buckets of a run.
-BATCHES, FANOUT, BUCKETS = 3, 2, 32
+#: Batches that the operator feeds to the runs, and runs that a level holds before they are merged.
+BATCHES, FANOUT = 3, 2
 
 
 def line_hash(line: str, min_points: int) -> bytes | None:
@@ -50,8 +50,9 @@ class LineRuns:
     of their batch; ``totals`` adds what returned later.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int = BUCKETS):
-        self.spark, self.fanout, self.buckets, self.name = spark, fanout, buckets, f"line_run_{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+        self.spark, self.fanout, self.name = spark, fanout, f"line_run_{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as a grouping by key deals them, so each bucket is one file
         self.levels: dict[int, list[str]] = {}
         self.returned: list[DataFrame] = []
         self.made = 0
@@ -59,7 +60,7 @@ class LineRuns:
     def _write(self, rows: DataFrame, level: int) -> None:
         name = f"{self.name}_{self.made}"
         self.made += 1
-        rows.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         self.levels.setdefault(level, []).append(name)
 
     def runs(self) -> list[DataFrame]:
@@ -117,7 +118,7 @@ def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = M
     spark = docs.sparkSession
     docs = without(docs, "n_lines", "n_dropped")
     lines = line_hashes(docs, min_points).distinct()
-    lines = stored(lines.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "batch")
+    lines = stored(lines.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")))
     runs = LineRuns(spark)
     for i in range(batches):
         runs.add(lines.where(F.col("batch") == i).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")))
