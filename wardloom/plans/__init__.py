@@ -1,0 +1,12 @@
+"""Named queries: importing a module here registers its own."""
+
+from wardloom.plans import mesh_queries  # noqa: F401
+from wardloom.plans.registry import ORACLES, QUERIES
+
+
+def all_queries() -> dict:
+    return dict(QUERIES)
+
+
+def all_oracles() -> dict:
+    return dict(ORACLES)
