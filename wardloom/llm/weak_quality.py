@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,7 +26,7 @@ SPAN = 50
 #: Documents that a scorer is fitted on at most, rounds of expectation-maximisation, epochs and rate of the
 #: scorer, and the standard errors by which a hash's share must differ between the classes for it to be used.
 FIT_DOCS, EM_ROUNDS, EPOCHS, RATE, TELLING = 12_000, 60, 400, 0.5, 4.0
-WORD_BITS, SHAPE_BITS = 20, 14
+WORD_BITS, SHAPE_BITS, WORDS_KEPT = 20, 14, 400_000
 EDGES = {"marks": (0.002, 0.01, 0.02, 0.04, 0.08), "caps": (0.02, 0.1, 0.3, 0.5, 0.8), "bars": (0.01, 0.05, 0.1, 0.2, 0.4), "distinct": (0.1, 0.3, 0.45, 0.6, 0.75, 0.9), "stutter": (0.01, 0.05, 0.15, 0.3, 0.5), "length": (1, 3, 10, 50, 500)}
 #: Score from which a text is toxic.
 TOXIC = 0.8
@@ -47,49 +49,67 @@ def measures(words: list[str], text: str) -> dict[str, float]:
     }
 
 
-def votes(m: dict[str, float], insults: int) -> dict[str, tuple[int, ...]]:
+def votes(m: dict[str, float], found: int) -> dict[str, tuple[int, ...]]:
     """Votes of each task's labellers: 0 or 1 for a class, 2 for none. A defect's labeller votes against or not at all."""
     few = m["length"] < 5
     defects = (m["marks"] >= 0.02, not few and m["caps"] >= 0.5, m["bars"] >= 0.15, m["length"] >= 12 and m["distinct"] <= 0.5, not few and m["stutter"] >= 0.2)
     sound = m["marks"] < 0.01 and (few or m["caps"] < 0.2) and m["bars"] < 0.05 and m["distinct"] > 0.55 and m["stutter"] < 0.1
     return {
         "quality": (*[0 if d else 2 for d in defects], 1 if sound else 2, 1 if sound and m["length"] >= 20 else 2),
-        "toxic": (1 if insults else 2, 1 if insults >= 2 else 2, 1 if insults > 0.02 * m["length"] else 2, 2 if insults else 0),
+        "toxic": (1 if found else 2, 1 if found >= 2 else 2, 1 if found > 0.02 * m["length"] else 2, 2 if found else 0),
     }
 
 
-@lru_cache(maxsize=300_000)
-def _word(word: str) -> tuple[int, bool]:
-    """Hash of a word's letters, and if they are an insult."""
-    core = re.sub(r"[\W\d_]+", "", word.lower())
-    return (xxhash.xxh64_intdigest(core) & ((1 << WORD_BITS) - 1) if core else -1), core in INSULTS
+class _Words(dict):
+    """(hash of a word's letters or -1, hash of its outline), for a bounded number of words.
 
+    The outline has runs of upper and lower case and of digits as one sign each, other characters as they are.
+    """
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        if word.isalpha():
+            core, outline = word.lower(), "a" if word.islower() else "A" if word.isupper() else "Aa"
+        else:
+            core = re.sub(r"[\W\d_]+", "", word.lower())
+            outline = re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", lambda g: "A" if g[0].isupper() else "a" if g[0].islower() else "Aa", word))[:12]
+        value = self[word] = (xxhash.xxh64_intdigest(core) & ((1 << WORD_BITS) - 1) if core else -1, _bucket(outline))
+        return value
+
+
+@lru_cache(maxsize=100_000)
+def _bucket(name: str) -> int:
+    return xxhash.xxh64_intdigest(name) & ((1 << SHAPE_BITS) - 1)
 
-@lru_cache(maxsize=300_000)
-def _shape(word: str) -> int:
-    """Hash of a word's outline: runs of upper and lower case and digits, other characters as they are."""
-    outline = re.sub(r"[^\W\d_]+", lambda g: "A" if g[0].isupper() else "a" if g[0].islower() else "Aa", word)
-    return xxhash.xxh64_intdigest(re.sub(r"\d+", "0", outline)[:12]) & ((1 << SHAPE_BITS) - 1)
+
+INSULT = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(sorted(INSULTS))})(?![^\W\d_])")
+
+
+def insults(text: str) -> int:
+    low = text.lower()
+    return len(INSULT.findall(low)) if any(map(low.__contains__, INSULTS)) else 0
 
 
 @dataclass(frozen=True)
 class Features:
-    votes: dict[str, tuple[int, ...]]
     words: np.ndarray
     shapes: np.ndarray
     weights: np.ndarray
 
 
-def features(text: str) -> Features:
+def features(text: str, known: _Words) -> Features:
+    """Hashes of the distinct words, and hashes of outlines and measures with their weights."""
     words = text.split()
-    m = measures(words, text)
-    found = list(map(_word, words))
-    insults = sum(x[1] for x in found)
-    own = np.unique(np.fromiter((x[0] for x in found), np.int64, len(found)))
-    counted = np.bincount(np.fromiter(map(_shape, words), np.int64, len(words)), minlength=1)
-    shapes = np.flatnonzero(counted)
-    buckets = [xxhash.xxh64_intdigest(f"{k}:{int(np.searchsorted(EDGES[k], v))}") & ((1 << SHAPE_BITS) - 1) for k, v in m.items()]
-    return Features(votes(m, insults), own[own >= 0], np.concatenate([shapes, np.array(buckets, np.int64)]), np.concatenate([np.sqrt(counted[shapes] / max(1, len(words))), np.ones(len(buckets))]))
+    pairs = list(map(known.__getitem__, words))
+    own = {p[0] for p in pairs}
+    own.discard(-1)
+    counted = Counter([p[1] for p in pairs])
+    buckets = [_bucket(f"{k}:{bisect_left(EDGES[k], v)}") for k, v in measures(words, text).items()]
+    n = max(1, len(words))
+    shapes = np.fromiter([*counted, *buckets], np.int64, len(counted) + len(buckets))
+    weights = np.concatenate([np.sqrt(np.fromiter(counted.values(), float, len(counted)) / n), np.ones(len(buckets))])
+    return Features(np.fromiter(own, np.int64, len(own)), shapes, weights)
 
 
 def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int, float]], rare: int, rounds: int = EM_ROUNDS) -> tuple[dict[tuple[int, ...], float], np.ndarray, float]:
@@ -163,8 +183,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(x) for x in texts(b.column("text"))]
-            packed = ["".join(map(str, f.votes["quality"])) + "," + "".join(map(str, f.votes["toxic"])) for f in found]
+            found = [votes(measures(x.split(), x), insults(x)) for x in texts(b.column("text"))]
+            packed = ["".join(map(str, f["quality"])) + "," + "".join(map(str, f["toxic"])) for f in found]
             yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array([xxhash.xxh64_intdigest(x) >> 1 for x in texts(b.column("text"))], pa.int64()), pa.array(packed, pa.string())], names=["doc_id", "ord", "votes"])
 
     voted = stored(rows.mapInArrow(vote, "doc_id long, ord long, votes string").join(gold, "doc_id", "left"))
@@ -186,8 +206,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
     chosen = voted.where(F.pmod(F.xxhash64("ord"), share) == 0).distinct()
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Words()
         for b in batches:
-            found = [features(x) for x in texts(b.column("text"))]
+            found = [features(x, memo) for x in texts(b.column("text"))]
             cells = [[f.words.astype("<i4").tobytes() for f in found], [f.shapes.astype("<i4").tobytes() for f in found], [f.weights.astype("<f4").tobytes() for f in found]]
             yield pa.record_batch([*[b.column(c) for c in ("votes", "gold_quality", "gold_toxic")], *[pa.array(c, pa.binary()) for c in cells]], names=["votes", "gold_quality", "gold_toxic", "words", "shapes", "weights"])
 
@@ -218,13 +239,14 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quality, toxic = shared.value
+        memo = _Words()
         for b in batches:
             q, t = [], []
             for text in texts(b.column("text")):
                 if not text:
                     q.append(0.0), t.append(0.0)
                     continue
-                f = features(text)
+                f = features(text, memo)
                 q.append(float(1 / (1 + np.exp(-np.clip(quality[f.shapes] @ f.weights + quality[-1], -30, 30)))))
                 t.append(float(1 / (1 + np.exp(-np.clip(toxic[f.words].sum() + toxic[-1], -30, 30)))))
             yield pa.record_batch([*b.columns, pa.array(q), pa.array(t), pa.array([a >= 0.5 and c < TOXIC for a, c in zip(q, t)])], names=[*names, "quality_score", "toxic_score", "keep"])
