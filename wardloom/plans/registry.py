@@ -12,6 +12,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _behind(sql: str) -> str:
+    """sql behind the adapters, its own common table expressions after theirs."""
+    text = sql.lstrip()
+    if not text.lower().startswith("with"):
+        return with_tables(text)
+    head, rest = with_tables("").rstrip(), text[4:].lstrip()
+    if rest.lower().startswith("recursive"):
+        head, rest = head.replace("with ", "with recursive ", 1), rest[9:]
+    return f"{head}, {rest}"
+
+
 def query(name: str, sql: str | None = None) -> Callable:
     """Registers fn(tables) -> DataFrame; sql may name the civic tables and the test tables."""
 
@@ -20,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable:
             raise ValueError(f"{name} is registered already")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_tables(sql) if not sql.lstrip().lower().startswith("with") else with_tables("").rstrip() + ", " + sql.lstrip()[4:]
+            ORACLES[name] = _behind(sql)
         return fn
 
     return register
