@@ -1,6 +1,6 @@
 """Named queries: importing a module here registers its own."""
 
-from wardloom.plans import intel_queries, mesh_queries, priority_queries  # noqa: F401
+from wardloom.plans import intel_queries, mesh_queries, priority_queries, record_queries  # noqa: F401
 from wardloom.plans.registry import ORACLES, QUERIES
 
 
