@@ -57,7 +57,12 @@ ENTITIES = {"COORDINATE": r"(?<![\d.])-?\d{1,2}\.\d{3,}\s*,\s*-?\d{1,3}\.\d{3,}(
 
 def entities(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, type, value), one row for each match."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(p), F.lit(0)), lambda v, k=k: F.struct(F.lit(k).alias("type"), v.alias("value"))) for k, p in ENTITIES.items()]))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
+
+    found = F.flatten(F.array(*[of(k, p) for k, p in ENTITIES.items()]))
     return rows.select(key, F.explode(found).alias("e")).select(key, "e.*")
 
 
