@@ -14,7 +14,7 @@ from wardloom.llm.decontaminate import contamination
 from wardloom.llm import katz
 from wardloom.llm.line_dedup import dedup_lines
 from wardloom.llm.piece_codec import encode_documents
-from wardloom.llm.private_data import KINDS, find_private, written
+from wardloom.llm.private_data import KINDS, count_of, find_private, written
 from wardloom.llm.simhash import simhash_components
 from wardloom.llm.vector_dedup import link_embeddings
 from wardloom.llm.substring_dedup import remove_repeats
@@ -35,7 +35,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_private(documents(spark, sf_dir))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["order"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS, 1)]
+    counts = [count_of("base", k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 

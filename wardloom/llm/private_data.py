@@ -139,3 +139,8 @@ def find_private(docs: DataFrame) -> DataFrame:
 def written(spans: str) -> Column:
     """The spans as kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["order"]), s["start"], s["stop"])), ",")
+
+
+def count_of(spans: str, kind: str) -> Column:
+    order = KINDS.index(kind) + 1
+    return F.size(F.filter(spans, lambda s: s["order"] == order)).cast("long")
