@@ -48,7 +48,7 @@ class PieceCodec:
         for p in self.sole:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        self.fits = lru_cache(maxsize=400_000)(self._fits)
+        self.fits = lru_cache(maxsize=300_000)(self._fits)
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         known = "".join(sorted(self.chars - {BLANK}))

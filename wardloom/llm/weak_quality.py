@@ -26,7 +26,7 @@ SPAN = 50
 #: Documents that a scorer is fitted on at most, rounds of expectation-maximisation, epochs and rate of the
 #: scorer, and the standard errors by which a hash's share must differ between the classes for it to be used.
 FIT_DOCS, EM_ROUNDS, EPOCHS, RATE, TELLING = 12_000, 60, 400, 0.5, 4.0
-WORD_BITS, SHAPE_BITS, WORDS_KEPT = 20, 14, 400_000
+WORD_BITS, SHAPE_BITS, WORDS_KEPT = 20, 14, 200_000
 EDGES = {"marks": (0.002, 0.01, 0.02, 0.04, 0.08), "caps": (0.02, 0.1, 0.3, 0.5, 0.8), "bars": (0.01, 0.05, 0.1, 0.2, 0.4), "distinct": (0.1, 0.3, 0.45, 0.6, 0.75, 0.9), "stutter": (0.01, 0.05, 0.15, 0.3, 0.5), "length": (1, 3, 10, 50, 500)}
 #: Score from which a text is toxic.
 TOXIC = 0.8
