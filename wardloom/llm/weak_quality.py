@@ -26,6 +26,10 @@ SPAN = 50
 #: Documents that a scorer is fitted on at most, rounds of expectation-maximisation, epochs and rate of the
 #: scorer, and the standard errors by which a hash's share must differ between the classes for it to be used.
 FIT_DOCS, EM_ROUNDS, EPOCHS, RATE, TELLING = 12_000, 60, 400, 0.5, 4.0
+#: Rows' worth of belief, as a share of all rows, that a labeller's vote is right, and how often it is believed wrong.
+PRIOR, WRONG = 0.02, 0.02
+#: Labelled rows from which the toxic scorer is fitted on these alone, which hold words outside the lexicon.
+ENOUGH = 500
 WORD_BITS, SHAPE_BITS, WORDS_KEPT = 20, 14, 200_000
 EDGES = {"marks": (0.002, 0.01, 0.02, 0.04, 0.08), "caps": (0.02, 0.1, 0.3, 0.5, 0.8), "bars": (0.01, 0.05, 0.1, 0.2, 0.4), "distinct": (0.1, 0.3, 0.45, 0.6, 0.75, 0.9), "stutter": (0.01, 0.05, 0.15, 0.3, 0.5), "length": (1, 3, 10, 50, 500)}
 #: Score from which a text is toxic.
@@ -129,6 +133,7 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int, float]],
             for k in range(3):
                 at = v[:, j] == k
                 table[j, 1, k], table[j, 0, k] = (n * post)[at].sum() + 0.5, (n * (1 - post))[at].sum() + 0.5
+            table[j] += PRIOR * n.sum() * np.array([[1 - WRONG, WRONG, 0], [WRONG, 1 - WRONG, 0]])
             table[j] /= table[j].sum(1, keepdims=True)
         log = np.log(share) - np.log(1 - share) + sum(np.where(v[:, j] < 2, np.log(table[j, 1, v[:, j]] / table[j, 0, v[:, j]]), 0) for j in range(v.shape[1]))
         post = np.where(known >= 0, known, 1 / (1 + np.exp(-np.clip(log, -40, 40))))
@@ -221,7 +226,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
     word_rows = [np.frombuffer(x, "<i4") for x in table["words"]]
     shape_rows = [np.frombuffer(x, "<i4") for x in table["shapes"]]
     known = [g is not None for g in table["gold_toxic"]]
-    use = np.flatnonzero(known) if any(known) else np.arange(len(known))  # words outside the lexicon are learned from labels
+    use = np.flatnonzero(known) if sum(known) >= ENOUGH else np.arange(len(known))
     toxic = _fit([word_rows[i] for i in use], [np.ones(len(word_rows[i])) for i in use], targets["toxic"][use], 1 << WORD_BITS, 3)
     quality = _fit(shape_rows, [np.frombuffer(x, "<f4") for x in table["weights"]], targets["quality"], 1 << SHAPE_BITS, 3)
     return QualityModel(quality, toxic)
