@@ -22,9 +22,9 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: A word that may be an identifier: it holds a digit or an at sign.
 CANDIDATE = r"(?<![^ \t-\r])[^ \t-\r]*[0-9@][^ \t-\r]*"
-#: Rounds of scoring, seeds that a pattern needs, its least confidence, the least score of a discovery,
-#: unseen instances added to what a pattern has matched, and characters of context that are read.
-ROUNDS, SUPPORT, CONFIDENCE, ACCEPT, PRIOR, CONTEXT = 3, 5, 0.8, 0.8, 2, 64
+#: Rounds of scoring, seeds that a pattern needs, its least confidence, the least score of a discovery and the
+#: patterns that it needs, unseen instances added to what a pattern has matched, and characters of context that are read.
+ROUNDS, SUPPORT, CONFIDENCE, ACCEPT, AGREEING, PRIOR, CONTEXT = 3, 5, 0.8, 0.9, 2, 2, 64
 
 
 def _valid(kind: str, text: Column) -> Column:
@@ -103,9 +103,9 @@ def discover(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, supp
             stats = stats.join(free.join(scores, "value").groupBy(*key, "kind").agg(F.sum("score").alias("g")), [*key, "kind"], "left")
             gained = F.coalesce("g", F.lit(0.0))
         trust = stats.select(*key, "kind", ((F.col("seeds") + gained) / (F.col("n") + F.col("m") + PRIOR)).alias("c")).where(F.col("c") >= confidence)
-        score = free.join(trust, key).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))).alias("score"))
+        score = free.join(trust, key).groupBy("value", "kind").agg(F.count("*").alias("patterns"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))).alias("score"))
         scores = stored(score)
-    best = scores.where(F.col("score") >= accept).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b"))
+    best = scores.where((F.col("score") >= accept) & (F.col("patterns") >= AGREEING)).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b"))
     return best.select("value", F.col("b.kind").alias("kind"))
 
 
