@@ -270,7 +270,7 @@ def fit(docs: DataFrame, train: Column) -> Katz:
         before, where = np.unique(c.before[own], return_inverse=True)
         off = np.bincount(where, c.count[own] - model.pairs(c.count[own]), minlength=len(before))
         seen = np.bincount(where, model.single(model.totals(c)[own]), minlength=len(before))
-        return pa.table({"context": before.view(np.int64), "off": off, "seen": seen})
+        return pa.table({"context": before.view(np.int64), "off": off.astype(float), "seen": seen.astype(float)})  # sums of nothing are integers
 
     summed = _buckets(spark, name).applyInArrow(contexts, "context long, off double, seen double").groupBy("context").agg(F.sum("off").alias("off"), F.sum("seen").alias("seen"))
     # weight is log10 of the backoff weight times the context's count
@@ -308,7 +308,7 @@ def score(docs: DataFrame, model: Katz, train: Column) -> DataFrame:
                 value -= np.where((c.word != END) & (total > 0), np.log10(np.maximum(total, 1)), 0)
             base = np.log10(total + 1) - floor
             place, where = np.unique((c.bundle << 13) | c.text, return_inverse=True)
-            sums = [np.bincount(where, x[c.pair] * c.n, minlength=len(place)) for x in (value, base, (total > 0).astype(float))]
+            sums = [np.bincount(where, x[c.pair] * c.n, minlength=len(place)).astype(float) for x in (value, base, (total > 0).astype(float))]
             bundle = place >> 13
             names, first = np.unique(bundle, return_index=True)
             cells = [(place & 8191).astype(np.uint16), sums[0], sums[1], sums[2].astype(np.uint32)]
