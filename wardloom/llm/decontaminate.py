@@ -17,37 +17,42 @@ def words(text: Column) -> Column:
     return F.transform(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
 
 
-def _seed(tokens: str, at: Column, k: int, mask: tuple[int, ...]) -> Column:
-    return F.xxhash64(F.lit(k), *[F.get(F.col(tokens), at + o) for o in mask])
+def _ends(rows: DataFrame, tokens: str, lasts: list[int]) -> DataFrame:
+    """rows with (at, last, ends) for each position and span that fits: the hash of the span's first and last word, which all its masks compare."""
+    n = F.size(tokens)
+    rows = rows.withColumn("at", F.explode(F.when(n > min(lasts), F.sequence(F.lit(0), n - 1 - min(lasts)))))
+    if len(lasts) == 1:
+        rows = rows.withColumn("last", F.lit(lasts[0]))
+    else:
+        rows = rows.withColumn("last", F.explode(F.array(*map(F.lit, lasts)))).where(F.col("at") + F.col("last") < n)
+    return rows.withColumn("ends", F.xxhash64("last", F.get(tokens, F.col("at")), F.get(tokens, F.col("at") + F.col("last"))))
 
 
-def _seeds(rows: DataFrame, tokens: str, masks: dict[int, tuple[int, ...]]) -> DataFrame:
-    """rows with (at, seed) for each position and mask that fits."""
-    n = F.size(tokens)
-    rows = rows.withColumn("at", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
-    fits = F.array(*[F.when(F.col("at") + m[-1] < n, _seed(tokens, F.col("at"), k, m)) for k, m in masks.items()])
-    return rows.withColumn("seed", F.explode(fits)).where("seed is not null")
+def _seeds(rows: DataFrame, tokens: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """rows of _ends with the seed of each mask of their span."""
+    seeds = F.array(*[F.when(F.col("last") == m[-1], F.xxhash64(F.lit(k), *[F.get(F.col(tokens), F.col("at") + o) for o in m])) for k, m in enumerate(masks)])
+    return rows.withColumn("seed", F.explode(seeds)).where("seed is not null")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
     """(doc_id, item_id, part): the documents and items with a verified overlap.
 
-    Both sides' spaced-seed hashes are joined. Around each hit the document is laid against the item
+    Positions whose span begins and ends like one of the benchmark go on, and their spaced-seed hashes are joined with its own. Around each hit the document is laid against the item
     on the hit's diagonal, and the words that agree are counted in every window of ``window`` of the
     item's words (all of a shorter item); part is the largest share, and ``agree`` or more makes an overlap, so
     words may be replaced. Benchmark seeds are broadcast if they are few, else both sides are shuffled.
     """
     items = benchmark.select("item_id", F.filter(words(F.col("text")), lambda w: w != F.xxhash64(F.lit(""))).alias("item")).distinct()
-    masks = dict(enumerate(MASKS))
     short = items.where((F.size("item") <= MASKS[0][-1]) & (F.size("item") > SHORT[-1]))
-    if not short.isEmpty():
-        masks[len(MASKS)] = SHORT
-    seeds = _seeds(items, "item", masks).select("seed", "item_id", "item", F.col("at").alias("item_at"))
-    first = seeds.select("seed").distinct()
-    if first.count() <= BROADCAST_SEEDS:
-        first, seeds = F.broadcast(first), F.broadcast(seeds)
-    hits = _seeds(docs.select("doc_id", words(F.col("text")).alias("tokens")), "tokens", masks)
-    hits = hits.join(first, "seed", "left_semi").join(seeds, "seed").withColumn("offset", F.col("at") - F.col("item_at"))
+    masks = MASKS if short.isEmpty() else (*MASKS, SHORT)
+    lasts = sorted({m[-1] for m in masks})
+    spans = _ends(items, "item", lasts)
+    ends, seeds = spans.select("ends").distinct(), _seeds(spans, "item", masks).select("seed", "item_id", "item", F.col("at").alias("item_at"))
+    if seeds.count() <= BROADCAST_SEEDS:
+        ends, seeds = F.broadcast(ends), F.broadcast(seeds)
+    hits = _ends(docs.select("doc_id", words(F.col("text")).alias("tokens")), "tokens", lasts).join(ends, "ends", "left_semi")
+    hits = _seeds(hits, "tokens", masks)
+    hits = hits.join(seeds, "seed").withColumn("offset", F.col("at") - F.col("item_at"))
     hits = hits.withColumn("same", F.expr("transform(item, (w, i) -> cast(coalesce(offset + i >= 0 and get(tokens, offset + i) = w, false) as int))")).select("doc_id", "item_id", "offset", "same").distinct()
     width = F.least(F.lit(window), F.size("same"))
     parts = F.transform(F.sequence(F.lit(0), F.size("same") - width), lambda i: F.aggregate(F.slice("same", i + 1, width), F.lit(0), lambda a, x: a + x) / width)
