@@ -15,7 +15,7 @@ def col(x: Col) -> Column:
 def clamp(x: Col, low: float = 0.0, high: float = 1.0) -> Column:
     """x within low and high; not-a-number and null become low."""
     x = col(x)
-    return F.when(F.isnan(x.cast("double")), F.lit(low)).otherwise(F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), x)), F.lit(low)))
+    return F.when(x.isNull() | F.isnan(x.cast("double")), F.lit(low)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def safe_div(n: Col, d: Col) -> Column:
