@@ -18,10 +18,10 @@ from wardloom.llm.common import stored, texts, without
 #: Counts up to TOP are discounted by Good-Turing; larger ones by as much as TOP is.
 TOP = 5
 #: Texts and words of a bundle at most, buckets of the table at least, and the share of a bundle (over buckets) from which a word is spread.
-BUNDLE_TEXTS, BUNDLE_WORDS, BUCKETS, HOT = 4096, 1_500_000, 48, 8
+BUNDLE_TEXTS, BUNDLE_WORDS, BUCKETS, HOT = 4096, 1_000_000, 64, 8
 END, BEGIN = np.uint64(1), np.uint64(2)
-MIX = np.uint64(0x9E3779B97F4A7C15)
-WORDS_KEPT = 300_000
+MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+WORDS_KEPT = 200_000
 
 
 class _Hashes(dict):
@@ -143,6 +143,15 @@ class _Counted:
     n: np.ndarray
 
 
+def _few(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of long runs, and where each element is in them."""
+    if not len(x):
+        return x, np.zeros(0, np.int64)
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    names, at = np.unique(x[start], return_inverse=True)
+    return names, np.repeat(at, np.diff(np.append(start, len(x))))
+
+
 def _counted(table: pa.Table) -> _Counted:
     kinds = (np.uint64, np.uint64, np.uint32, np.uint16, np.uint32, np.uint32)
     held: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
@@ -155,7 +164,7 @@ def _counted(table: pa.Table) -> _Counted:
             at += out[-1].nbytes
         bundle.append(np.full(c, name))
     word, before, runs, text, n, copies = map(np.concatenate, held)
-    order = np.lexsort((before, word))
+    order = np.argsort((word * MIX) ^ (before * MIX2))  # brings equal pairs together
     new = np.concatenate([[True], (word[order][1:] != word[order][:-1]) | (before[order][1:] != before[order][:-1])]) if len(word) else np.zeros(0, bool)
     number = np.empty(len(word), np.int64)
     number[order] = np.cumsum(new) - 1
@@ -307,8 +316,16 @@ def score(docs: DataFrame, model: Katz, train: Column) -> DataFrame:
                     value -= np.where(c.before == BEGIN, np.log10(n_texts), 0)
                 value -= np.where((c.word != END) & (total > 0), np.log10(np.maximum(total, 1)), 0)
             base = np.log10(total + 1) - floor
-            place, where = np.unique((c.bundle << 13) | c.text, return_inverse=True)
-            sums = [np.bincount(where, x[c.pair] * c.n, minlength=len(place)).astype(float) for x in (value, base, (total > 0).astype(float))]
+            bundles, at = _few(c.bundle)
+            where = at * 8192 + c.text
+            if len(bundles) * 8192 > 8 * len(where) + 100_000:  # else a slot for each text is smaller than a sort
+                slots, where = np.unique(where, return_inverse=True)
+            else:
+                slots = np.arange(len(bundles) * 8192)
+            sums = [np.bincount(where, x[c.pair] * c.n, minlength=len(slots)).astype(float) for x in (value, base, (total > 0).astype(float))]
+            full = np.bincount(where, minlength=len(slots)) > 0
+            slots, sums = slots[full], [x[full] for x in sums]
+            place = (bundles[slots >> 13] << 13) | (slots & 8191)
             bundle = place >> 13
             names, first = np.unique(bundle, return_index=True)
             cells = [(place & 8191).astype(np.uint16), sums[0], sums[1], sums[2].astype(np.uint32)]
