@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the contracts: space and \x09-\x0D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -52,6 +54,20 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for column names of any kind: Spark's own reads a dot in a name as a path."""
+    names = df.columns
+    if not any("." in n or "`" in n for n in (*names, *schema.names)):
+        return df.mapInArrow(run, schema)
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=[f"o{i}" for i in range(b.num_columns)])
+
+    plain = T.StructType([T.StructField(f"o{i}", f.dataType) for i, f in enumerate(schema)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Values of a string column; null counts as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import SPACE, long_array, stored, texts, without
+from wardloom.llm.common import SPACE, long_array, mapped, stored, texts, without
 
 MIN_POINTS, MIN_DOCS = 20, 3
 #: Batches that the operator feeds to the runs, and runs that a level holds before they are merged.
@@ -147,4 +147,4 @@ def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = M
             yield pa.record_batch([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
     schema = joined.select(*[F.col(f"`{c}`") for c in names]).withColumns({"text": F.col("text").cast("string"), "n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
-    return joined.mapInArrow(run, schema)
+    return mapped(joined, run, schema)

@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import texts, without
+from wardloom.llm.common import mapped, texts, without
 
 #: Units are kept by text up to this length, and up to twice so many of them in each Python worker.
 MEMO_CHARS, MEMO_UNITS = 48, 300_000
@@ -165,4 +165,4 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
                 yield pa.record_batch([*b.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(decoded, pa.string())], names=[*names, "ids", "n_tokens", "decoded"])
 
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(run, docs.withColumns({"ids": F.lit(b""), "n_tokens": F.lit(0).cast("long"), "decoded": F.lit("")}).schema)
+    return mapped(docs, run, docs.withColumns({"ids": F.lit(b""), "n_tokens": F.lit(0).cast("long"), "decoded": F.lit("")}).schema)

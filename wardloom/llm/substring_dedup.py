@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import long_array, stored, texts, without
+from wardloom.llm.common import long_array, mapped, stored, texts, without
 
 #: Words of a repeat at least, and words of an anchor.
 WINDOW, ANCHOR = 35, 16
@@ -252,4 +252,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
             columns[at] = pa.array(kept, pa.string())
             yield pa.record_batch([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*names, "n_words", "n_removed"])
 
-    return joined.mapInArrow(run, docs.withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema)
+    return mapped(joined, run, docs.withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import stored, texts, without
+from wardloom.llm.common import mapped, stored, texts, without
 
 # Common insults.
 INSULTS = frozenset("idiot moron stupid worthless pathetic trash loser clown disgusting scum dumb imbecile fool garbage filthy vermin jerk".split())
@@ -256,4 +256,4 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
                 t.append(float(1 / (1 + np.exp(-np.clip(toxic[f.words].sum() + toxic[-1], -30, 30)))))
             yield pa.record_batch([*b.columns, pa.array(q), pa.array(t), pa.array([a >= 0.5 and c < TOXIC for a, c in zip(q, t)])], names=[*names, "quality_score", "toxic_score", "keep"])
 
-    return docs.mapInArrow(run, docs.withColumns({"quality_score": F.lit(0.0), "toxic_score": F.lit(0.0), "keep": F.lit(True)}).schema)
+    return mapped(docs, run, docs.withColumns({"quality_score": F.lit(0.0), "toxic_score": F.lit(0.0), "keep": F.lit(True)}).schema)

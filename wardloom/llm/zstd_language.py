@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import stored, without
+from wardloom.llm.common import mapped, stored, without
 
 #: Fitting: bytes of a dictionary, documents sampled for each language, and bytes of a segment taken from one.
 DICT_BYTES, SAMPLE_DOCS, SEGMENT = 96_000, 1_000, 480
@@ -90,7 +90,7 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], margin: fl
             yield pa.record_batch([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.bool_())], names=[*names, "lang_pred", "score", "accepted"])
 
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(run, docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "accepted": F.lit(True)}).schema)
+    return mapped(docs, run, docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "accepted": F.lit(True)}).schema)
 
 
 def held_out(doc_id, folds: int, fold: int):
