@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import documents, shared_dir
+from wardloom.llm.common import documents, shared_dir, small_batches
 from wardloom.llm.decontaminate import decontaminate
 from wardloom.llm.line_dedup import dedup_lines
 from wardloom.llm.piece_codec import encode_documents
@@ -20,27 +20,32 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
+    small_batches(spark)
     model = fit_quality(docs, documents(spark, sf_dir, "labels"))
     return score_quality(docs, model).where("keep").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; n_chars follows the text."""
+    small_batches(spark)
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return dedup_simhash(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    small_batches(spark)
     return decontaminate(docs, documents(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of its decoded text."""
+    small_batches(spark)
     coded = encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

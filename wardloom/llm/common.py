@@ -16,7 +16,13 @@ from pyspark.sql import types as T
 SPACE = " \t\n\x0b\x0c\r"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Long texts go to Python so many rows at a time, not Spark's 10,000, which are tens of MB several times over in each worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
