@@ -6,6 +6,9 @@ import datetime as dt
 from dataclasses import dataclass, field
 
 
+# All defaults below must equal those that results are compared by.
+
+
 @dataclass(frozen=True)
 class GapConfig:
     demand: float = 0.40

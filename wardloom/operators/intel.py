@@ -13,6 +13,7 @@ from wardloom.functions.columns import band, clamp, haversine_m, percent_change,
 from wardloom.operators.mesh import ACTIVE_STATUSES, elapsed
 
 CONFIG = IntelConfig()
+# Shares of the rank from which a tier begins.
 TIER_CUTS = {"CRITICAL": 0.90, "HIGH": 0.75, "MODERATE": 0.50}
 
 

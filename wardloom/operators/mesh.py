@@ -11,6 +11,7 @@ from wardloom.config import GapConfig
 from wardloom.functions.columns import band, clamp, inside, lookup, percent, plural, safe_div, title
 from wardloom.vocab import ACTIVE_STATUSES, CADENCE, CONDITION, SECTOR_ASSETS, STATUS_FACTOR, one_column, sector_assets
 
+# Limits of the gap bands.
 GAP_BANDS = {"CRITICAL": 75, "HIGH": 55, "MODERATE": 35}
 GAP = GapConfig()
 
@@ -93,6 +94,7 @@ def action() -> Column:
 def rationale() -> Column:
     name, n = title("sector"), F.col("complaints")
     broken = F.col("asset_count") - F.col("functional_count")
+    # The sentences that results are compared by.
     texts = {
         "BUILD_INFRASTRUCTURE": F.concat(name, F.lit(": no assets exist in this ward yet (coverage "), percent("coverage_ratio"), F.lit(" of population).")),
         "URGENT_REPAIR": F.concat(name, F.lit(": "), F.col("critical"), F.lit(" critical complaint"), plural("critical"), F.lit(" and "), broken, F.lit(" of "), F.col("asset_count"), F.lit(" assets not functional.")),

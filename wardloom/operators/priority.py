@@ -72,6 +72,7 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 def recommendation() -> Column:
     share = lambda c: F.coalesce(c, F.lit(0.0))
+    # The sentences that results are compared by.
     text = (
         F.when(F.col("gap_score") >= 40, F.concat(F.lit("Expand "), F.coalesce("dominant_sector", F.lit("priority")), F.lit(" service coverage across the hotspot's wards")))
         .when(share("stalled_share") >= 0.2, "Escalate stalled projects - the budget is committed but not delivering")

@@ -92,6 +92,7 @@ def findings(as_of: Column) -> Column:
     """Array of (code, severity) for a record of category, sub_category, latitude, longitude, created_at, severity, description, language."""
     have = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     half = F.col("latitude").isNotNull() != F.col("longitude").isNotNull()
+    # Codes and levels of the findings.
     rules = [
         (F.col("category").isNull(), "MISSING_CATEGORY", "error"),
         (F.col("category").isNotNull() & ~F.col("category").isin(*SECTORS), "INVALID_CATEGORY", "error"),
@@ -113,6 +114,7 @@ def status_of(found: str) -> Column:
     return F.when(F.exists(found, lambda f: f["severity"] == "error"), "INVALID").when(F.exists(found, lambda f: f["severity"] == "warning"), "NEEDS_REVIEW").otherwise("VALID")
 
 
+# Weights of the quality factors.
 QUALITY_WEIGHTS = {"required": 0.22, "location": 0.14, "category": 0.14, "timestamp": 0.10, "geocode": 0.14, "severity": 0.10, "description": 0.16}
 
 
