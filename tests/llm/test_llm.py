@@ -21,7 +21,7 @@ from wardloom.llm.private_data import KINDS, count_of, find_private, written
 from wardloom.llm.simhash import dedup_simhash, simhash_components
 from wardloom.llm.substring_dedup import remove_repeats
 from wardloom.llm.vector_dedup import link_embeddings
-from wardloom.llm.weak_quality import expectation_maximisation, fit_quality, insults, score_quality
+from wardloom.llm.weak_quality import SHAPE_BITS, WORD_BITS, QualityModel, expectation_maximisation, fit_quality, insults, score_quality
 from wardloom.llm.zstd_language import fit_dictionaries, predict_language
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -231,6 +231,14 @@ def test_quality(spark):
     assert score_quality(docs.limit(0), fit_quality(docs.limit(0), labels)).count() == 0
 
 
+def test_likely_toxic_text_is_not_kept(spark):
+    scorer = lambda bits, bias: np.append(np.zeros(1 << bits, np.float32), np.float32(bias))
+    for share, keep in ((0.5, False), (0.35, False), (0.25, True)):
+        model = QualityModel(scorer(SHAPE_BITS, 5), scorer(WORD_BITS, np.log(share / (1 - share))))
+        row = score_quality(table(spark, ["some words"]), model).first()
+        assert abs(row["toxic_score"] - share) < 1e-6 and row["keep"] == keep
+
+
 def test_katz_sums_to_one_and_matches_recursion(spark, prose):
     docs = table(spark, prose)
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
