@@ -239,6 +239,20 @@ def test_likely_toxic_text_is_not_kept(spark):
         assert abs(row["toxic_score"] - share) < 1e-6 and row["keep"] == keep
 
 
+def test_toxic_scorer_uses_labels_and_posteriors_at_every_size(spark):
+    rng = random.Random(8)
+    say = lambda: " ".join(rng.choice(["tree", "river", "stone", "cloud", "green", "walks", "under", "light"]) + rng.choice("aeiou") for _ in range(40))
+    # labelled: plain texts, and insults of another language; unlabelled: insults of the lexicon
+    for n in (300, 700):
+        labelled = [(say(), 0) for _ in range(n)] + [(say() + " gorvu gorvu", 1) for _ in range(40)]
+        free = [say() for _ in range(200)] + [say() + " idiot moron" for _ in range(40)]
+        docs = table(spark, [t for t, _ in labelled] + free)
+        labels = spark.createDataFrame([(i, 1, t) for i, (_, t) in enumerate(labelled)], "doc_id long, quality int, toxic int")
+        model = fit_quality(docs, labels)
+        probe = table(spark, [say(), say() + " idiot", say() + " gorvu"])
+        assert [r["toxic_score"] >= 0.5 for r in score_quality(probe, model).orderBy("doc_id").collect()] == [False, True, True]
+
+
 def test_katz_sums_to_one_and_matches_recursion(spark, prose):
     docs = table(spark, prose)
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2

@@ -28,8 +28,9 @@ SPAN = 50
 FIT_DOCS, EM_ROUNDS, EPOCHS, RATE, TELLING = 12_000, 60, 400, 0.5, 4.0
 #: Rows' worth of belief, as a share of all rows, that a labeller's vote is right, and how often it is believed wrong.
 PRIOR, WRONG = 0.02, 0.02
-#: Labelled rows from which the toxic scorer is fitted on these alone, which hold words outside the lexicon.
-ENOUGH = 500
+#: Of the toxic scorer: what the posteriors of all rows without a label weigh together in its first fit, in labelled rows;
+#: rounds that then renew them by the scorer, whose words go beyond the lexicon; and what one of them weighs in these.
+START, ROUNDS, WEIGHT = 3.0, 2, 0.3
 WORD_BITS, SHAPE_BITS, WORDS_KEPT = 20, 14, 200_000
 EDGES = {"marks": (0.002, 0.01, 0.02, 0.04, 0.08), "caps": (0.02, 0.1, 0.3, 0.5, 0.8), "bars": (0.01, 0.05, 0.1, 0.2, 0.4), "distinct": (0.1, 0.3, 0.45, 0.6, 0.75, 0.9), "stutter": (0.01, 0.05, 0.15, 0.3, 0.5), "length": (1, 3, 10, 50, 500)}
 #: Score from which a text is toxic, picked for recall on held-out labels; README gives recall and false positives.
@@ -141,22 +142,36 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int, float]],
     return {p[0]: float(x) for p, x in zip(patterns, free)}, table, share
 
 
-def _fit(rows: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, size: int, least: int) -> np.ndarray:
-    """Weights (the last is the bias) of a logistic scorer by full-batch adaptive gradients; hashes of fewer than ``least`` rows, or that tell no class, stay 0."""
+def _telling(column: np.ndarray, row: np.ndarray, target: np.ndarray, size: int, least: int) -> np.ndarray:
+    """If each hash is in ``least`` rows or more and tells the classes apart."""
+    seen, positive = np.bincount(column, minlength=size), np.bincount(column, target[row], minlength=size)
+    share = target.sum() / max(1, len(target))
+    return (seen >= least) & (np.abs(positive - share * seen) >= TELLING * np.sqrt(np.maximum(seen * share * (1 - share), 1e-9)))
+
+
+def _fit(rows: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, size: int, least: int, known: np.ndarray | None = None, weight: float = 1.0) -> np.ndarray:
+    """Weights (the last is the bias) of a logistic scorer by full-batch adaptive gradients; hashes of fewer than ``least`` rows, or that tell no class, stay 0.
+
+    Rows that are not ``known`` count by ``weight``; a hash may tell the classes apart in all rows or in the known ones.
+    """
     lengths = np.array([len(r) for r in rows])
     column, value = np.concatenate(rows), np.concatenate(values)
     row = np.repeat(np.arange(len(rows)), lengths)
-    seen, positive = np.bincount(column, minlength=size), np.bincount(column, target[row], minlength=size)
-    share = target.sum() / max(1, len(target))
-    telling = np.abs(positive - share * seen) >= TELLING * np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-    keep = ((seen >= least) & telling)[column]
+    telling = _telling(column, row, target, size, least)
+    mass = np.full(len(rows), 1 / len(rows))
+    if known is not None and known.any():
+        own = known[row]
+        telling |= _telling(column[own], (np.cumsum(known) - 1)[row[own]], target[known], size, least)
+        mass = np.where(known, 1.0, weight)
+        mass /= mass.sum()
+    keep = telling[column]
     column, value, row = column[keep], value[keep], row[keep]
     names, column = np.unique(column, return_inverse=True)
     w, b = np.zeros(len(names)), 0.0
     gw, gb = np.full(len(names), 1e-6), 1e-6
     for _ in range(EPOCHS):
         z = np.bincount(row, w[column] * value, minlength=len(rows)) + b
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(rows)
+        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * mass
         g = np.bincount(column, d[row] * value, minlength=len(names)) + 1e-6 * w
         gw += g * g
         gb += d.sum() ** 2
@@ -167,6 +182,23 @@ def _fit(rows: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, s
     return out
 
 
+def _fit_toxic(rows: list[np.ndarray], target: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The toxic scorer on labels and posteriors, in one way for any number of either.
+
+    That the lexicon finds no insult says little of a text in another language. So the posteriors weigh little at first, and are
+    then the larger of the votes' and the scorer's own.
+    """
+    ones = [np.ones(len(r)) for r in rows]
+    free = np.flatnonzero(~known)
+    model = _fit(rows, ones, target, 1 << WORD_BITS, 3, known, min(1.0, START / max(1, len(free))))
+    for _ in range(ROUNDS if len(free) else 0):
+        renewed = target.copy()
+        score = np.array([model[rows[i]].sum() + model[-1] for i in free])
+        renewed[free] = np.maximum(target[free], 1 / (1 + np.exp(-np.clip(score, -30, 30))))
+        model = _fit(rows, ones, renewed, 1 << WORD_BITS, 3, known, WEIGHT)
+    return model
+
+
 @dataclass(frozen=True)
 class QualityModel:
     """Weights of the scorers of hashed outlines (quality) and hashed words (toxic)."""
@@ -225,9 +257,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
         targets[task] = np.array([p if g is None else g for p, g in zip(guess, table[f"gold_{task}"])], float)
     word_rows = [np.frombuffer(x, "<i4") for x in table["words"]]
     shape_rows = [np.frombuffer(x, "<i4") for x in table["shapes"]]
-    known = [g is not None for g in table["gold_toxic"]]
-    use = np.flatnonzero(known) if sum(known) >= ENOUGH else np.arange(len(known))
-    toxic = _fit([word_rows[i] for i in use], [np.ones(len(word_rows[i])) for i in use], targets["toxic"][use], 1 << WORD_BITS, 3)
+    toxic = _fit_toxic(word_rows, targets["toxic"], np.array([g is not None for g in table["gold_toxic"]], bool))
     quality = _fit(shape_rows, [np.frombuffer(x, "<f4") for x in table["weights"]], targets["quality"], 1 << SHAPE_BITS, 3)
     return QualityModel(quality, toxic)
 
