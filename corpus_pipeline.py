@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from wardloom.llm.common import documents, shared_dir, small_batches
 from wardloom.llm.decontaminate import decontaminate
 from wardloom.llm.line_dedup import dedup_lines
+from wardloom.llm.near_text import dedup_near
 from wardloom.llm.piece_codec import encode_documents
-from wardloom.llm.simhash import dedup_simhash
 from wardloom.llm.weak_quality import fit_quality, score_quality
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,9 +32,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: Jaccard 0.8 or more on five-word shingles.
+
+    op10's four bits, which its contract binds, leave most of these in the corpus.
+    """
     small_batches(spark)
-    return dedup_simhash(docs).select(*COLUMNS)
+    return dedup_near(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from wardloom.llm.common import connected_components
 from wardloom.llm.decontaminate import contamination, decontaminate
 from wardloom.llm.line_dedup import dedup_lines
 from wardloom.llm.piece_codec import encode_documents
+from wardloom.llm.near_text import near_documents
 from wardloom.llm.private_data import KINDS, count_of, find_private, written
 from wardloom.llm.simhash import dedup_simhash, simhash_components
 from wardloom.llm.substring_dedup import remove_repeats
@@ -316,6 +317,36 @@ def test_simhash(spark, prose):
     assert simhash_components(table(spark, [])).count() == 0
 
 
+def test_near_documents_match_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(500)]
+    rows = []
+    for n in (3, 60, 300, 300, 1000):
+        base = [rng.choice(vocab) for _ in range(n)]
+        rows += [base, list(base)]
+        for k in (1, 2, 3, 4, 6, 8):
+            copy = list(base)
+            for i in rng.sample(range(n), min(n, k * max(1, n // 150))):
+                copy[i] = rng.choice(vocab)
+            rows.append(copy)
+    rows += [[], []]
+    own = [{tuple(r[i : i + 5]) for i in range(max(1, len(r) - 4))} for r in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = table(spark, [" ".join(r) for r in rows] + ["null id"], [*range(len(rows)), None])
+    got = {r["doc_id"]: r["component_id"] for r in near_documents(docs).collect()}
+    assert got == {i: r for i, r in enumerate(root) if r != i} and len(got) > 15
+    kept = {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()}
+    assert kept == {i for i, r in enumerate(root) if r == i} | {None}
+    assert near_documents(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
