@@ -111,3 +111,11 @@ def test_stream_state(spark, tmp_path):
     q = ingest.stream_issue_counts(rows).writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend(b.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r["report_count"], r["severity_max"]) for r in seen] == [(2, 5)]
+
+
+def test_nearest_ward_at_high_latitude(spark):
+    # 0.47 degrees of longitude at 60 degrees north are 26 km, 0.44 are 24.5 km; both lie two cells of 0.25 degrees away
+    wards = spark.createDataFrame([("E", 60.1, 10.68), ("F", 60.1, 40.71)], "ward_code string, latitude double, longitude double")
+    points = spark.createDataFrame([(1, 60.1, 10.24), (2, 60.1, 40.24)], "point_id long, lat double, lon double")
+    got = intel.assign_to_ward(points, wards)
+    assert {r["point_id"]: (r["ward_code"], r["method"]) for r in got.collect()} == {1: ("E", "NEAREST"), 2: (None, "NONE")}

@@ -191,7 +191,7 @@ def assign_to_ward(points: DataFrame, wards: DataFrame, config: GapConfig = GapC
     """points(point_id, lat, lon) with ward_code and how it was found: in a ward's box (least code first), else the nearest centroid.
 
     Both ways meet wards through grid cells: a box covers few cells, and the nearest centroid within the limit lies in a neighbouring cell of
-    that width.
+    that width, or as many more cells to the east and west as the latitude narrows them. Longitudes do not wrap at 180 degrees.
     """
     cell = 0.05
     boxed = wards.select("ward_code", "latitude", "longitude", F.explode(F.sequence(F.floor((F.col("latitude") - half) / cell), F.floor((F.col("latitude") + half) / cell))).alias("y"))
@@ -201,7 +201,11 @@ def assign_to_ward(points: DataFrame, wards: DataFrame, config: GapConfig = GapC
     box = here.join(boxed, ["y", "x"]).where(within).groupBy("point_id").agg(F.min("ward_code").alias("in_box"))
     wide = config.max_assignment_m / 100_000.0
     near = wards.select("ward_code", "latitude", "longitude", F.floor(F.col("latitude") / wide).alias("y"), F.floor(F.col("longitude") / wide).alias("x"))
-    around = points.join(box, "point_id", "left_anti").select("point_id", "lat", "lon", F.explode(F.expr("sequence(-1L, 1L)")).alias("dy")).withColumn("dx", F.explode(F.expr("sequence(-1L, 1L)")))
+    around = points.join(box, "point_id", "left_anti").select("point_id", "lat", "lon", F.explode(F.expr("sequence(-1L, 1L)")).alias("dy"))
+    # the edge of the limit that is nearer to a pole has the narrowest cells
+    narrow = F.cos(F.radians(F.least(F.abs(F.col("lat")) + wide, F.lit(89.0))))
+    reach = F.ceil(F.lit(config.max_assignment_m / (config.earth_radius_m * wide * 0.017453292519943295)) / narrow)
+    around = around.withColumn("dx", F.explode(F.sequence(-reach, reach)))
     around = around.select("point_id", "lat", "lon", (F.floor(F.col("lat") / wide) + F.col("dy")).alias("y"), (F.floor(F.col("lon") / wide) + F.col("dx")).alias("x"))
     metres = haversine_m("lat", "lon", "latitude", "longitude", config.earth_radius_m)
     best = around.join(near, ["y", "x"]).withColumn("metres", metres).where(F.col("metres") <= config.max_assignment_m).groupBy("point_id").agg(F.min(F.struct("metres", "ward_code")).alias("m"))
