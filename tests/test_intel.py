@@ -119,3 +119,13 @@ def test_nearest_ward_at_high_latitude(spark):
     points = spark.createDataFrame([(1, 60.1, 10.24), (2, 60.1, 40.24)], "point_id long, lat double, lon double")
     got = intel.assign_to_ward(points, wards)
     assert {r["point_id"]: (r["ward_code"], r["method"]) for r in got.collect()} == {1: ("E", "NEAREST"), 2: (None, "NONE")}
+
+
+def test_group_queries_take_all_categories(spark):
+    from wardloom.plans import all_queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.format_string("R%08d", "event_id").alias("report_id"), "event_type")
+    assert all_queries()["i6_issue_groups"](spark, sf_dir).count() == events.count()
+    matched = all_queries()["c8_best_match"](spark, sf_dir).join(events, "report_id")
+    assert {r[0] for r in matched.select("event_type").distinct().collect()} == {r[0] for r in events.select("event_type").distinct().collect()}
