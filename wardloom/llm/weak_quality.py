@@ -142,30 +142,34 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int, float]],
     return {p[0]: float(x) for p, x in zip(patterns, free)}, table, share
 
 
-def _telling(column: np.ndarray, row: np.ndarray, target: np.ndarray, size: int, least: int) -> np.ndarray:
-    """If each hash is in ``least`` rows or more and tells the classes apart."""
-    seen, positive = np.bincount(column, minlength=size), np.bincount(column, target[row], minlength=size)
+def _telling(rows: list[np.ndarray], target: np.ndarray, size: int, least: int) -> np.ndarray:
+    """If each hash is in ``least`` rows or more and tells the classes apart; rows are counted 2,000 at a time to spare the driver's memory."""
+    seen, positive = np.zeros(size, np.int64), np.zeros(size)
+    for i in range(0, len(rows), 2000):
+        part = rows[i : i + 2000]
+        column = np.concatenate(part)
+        seen += np.bincount(column, minlength=size)
+        positive += np.bincount(column, np.repeat(target[i : i + 2000], [len(r) for r in part]), minlength=size)
     share = target.sum() / max(1, len(target))
     return (seen >= least) & (np.abs(positive - share * seen) >= TELLING * np.sqrt(np.maximum(seen * share * (1 - share), 1e-9)))
 
 
-def _fit(rows: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, size: int, least: int, known: np.ndarray | None = None, weight: float = 1.0) -> np.ndarray:
+def _fit(rows: list[np.ndarray], values: list[np.ndarray] | None, target: np.ndarray, size: int, least: int, known: np.ndarray | None = None, weight: float = 1.0) -> np.ndarray:
     """Weights (the last is the bias) of a logistic scorer by full-batch adaptive gradients; hashes of fewer than ``least`` rows, or that tell no class, stay 0.
 
-    Rows that are not ``known`` count by ``weight``; a hash may tell the classes apart in all rows or in the known ones.
+    Without ``values`` all are 1. Rows that are not ``known`` count by ``weight``; a hash may tell the classes apart in all rows or in the known ones.
     """
-    lengths = np.array([len(r) for r in rows])
-    column, value = np.concatenate(rows), np.concatenate(values)
-    row = np.repeat(np.arange(len(rows)), lengths)
-    telling = _telling(column, row, target, size, least)
+    telling = _telling(rows, target, size, least)
     mass = np.full(len(rows), 1 / len(rows))
     if known is not None and known.any():
-        own = known[row]
-        telling |= _telling(column[own], (np.cumsum(known) - 1)[row[own]], target[known], size, least)
+        telling |= _telling([rows[i] for i in np.flatnonzero(known)], target[known], size, least)
         mass = np.where(known, 1.0, weight)
         mass /= mass.sum()
-    keep = telling[column]
-    column, value, row = column[keep], value[keep], row[keep]
+    kept = [telling[r] for r in rows]
+    column = np.concatenate([r[k] for r, k in zip(rows, kept)])
+    value = np.ones(len(column)) if values is None else np.concatenate([v[k] for v, k in zip(values, kept)])
+    row = np.repeat(np.arange(len(rows)), [int(k.sum()) for k in kept])
+    del kept
     names, column = np.unique(column, return_inverse=True)
     w, b = np.zeros(len(names)), 0.0
     gw, gb = np.full(len(names), 1e-6), 1e-6
@@ -188,14 +192,13 @@ def _fit_toxic(rows: list[np.ndarray], target: np.ndarray, known: np.ndarray) ->
     That the lexicon finds no insult says little of a text in another language. So the posteriors weigh little at first, and are
     then the larger of the votes' and the scorer's own.
     """
-    ones = [np.ones(len(r)) for r in rows]
     free = np.flatnonzero(~known)
-    model = _fit(rows, ones, target, 1 << WORD_BITS, 3, known, min(1.0, START / max(1, len(free))))
+    model = _fit(rows, None, target, 1 << WORD_BITS, 3, known, min(1.0, START / max(1, len(free))))
     for _ in range(ROUNDS if len(free) else 0):
         renewed = target.copy()
         score = np.array([model[rows[i]].sum() + model[-1] for i in free])
         renewed[free] = np.maximum(target[free], 1 / (1 + np.exp(-np.clip(score, -30, 30))))
-        model = _fit(rows, ones, renewed, 1 << WORD_BITS, 3, known, WEIGHT)
+        model = _fit(rows, None, renewed, 1 << WORD_BITS, 3, known, WEIGHT)
     return model
 
 
