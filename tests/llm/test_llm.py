@@ -153,6 +153,36 @@ def test_decontamination(spark):
     assert contamination(rows.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_all_that_brute_force_finds(spark):
+    """Every way to replace words that leaves 0.8 of the window, for items of 3 to 20 words, one unrelated short item or none."""
+    from itertools import combinations
+
+    items, docs = {}, []
+    for n in range(3, 21):
+        items[n] = [f"i{n}w{k}" for k in range(n)]
+        gone = int(n * 0.2 + 1e-9)
+        ways = list(combinations(range(n), gone))
+        for way in random.Random(n).sample(ways, min(len(ways), 150)):
+            docs.append((n, ["x"] * 3 + [f"r{k}" if k in way else w for k, w in enumerate(items[n])] + ["y"] * 3))
+        docs.append((None, [f"r{k}" if k < gone + 1 else w for k, w in enumerate(items[n])]))
+    rows = table(spark, [" ".join(d) for _, d in docs])
+    for more in ([], [(99, "two words that")]):
+        bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + more, "item_id long, text string")
+        got = {r["doc_id"]: r["item_ids"] for r in contamination(rows, bench).collect()}
+        assert got == {i: "" if n is None else str(n) for i, (n, _) in enumerate(docs)}
+
+
+def test_decontamination_of_odd_tables(spark):
+    bench = spark.createDataFrame([(1, "one two three four five"), (1, "six seven eight"), (2, "one two three four five")], "item_id long, text string")
+    rows = table(spark, ["one two three four five", "clean", "clean", "six seven eight " + "z " * 9000, "one two"], [None, None, 7, 7, 7]).withColumn("th", F.lit("mine")).withColumn("seed", F.lit(1)).withColumn("Part", F.lit(2))
+    got = sorted((r["doc_id"] or 0, r["contaminated"], r["item_ids"]) for r in contamination(rows, bench).collect())
+    assert got == [(0, False, ""), (0, True, "1,2"), (7, False, ""), (7, False, ""), (7, True, "1")]
+    kept = decontaminate(rows, bench)
+    assert kept.columns == rows.columns and sorted((r["doc_id"] or 0, r["text"], r["th"]) for r in kept.collect()) == [(0, "clean", "mine"), (7, "clean", "mine"), (7, "one two", "mine")]
+    twice = rows.unionAll(rows)
+    assert contamination(twice, bench).where("contaminated").count() == 4
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((60, 16))
@@ -353,6 +383,12 @@ def test_components(spark):
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in (100, 101, 102)}
 
 
+def test_components_around_a_hub(spark):
+    star = [(1000, i) for i in range(1, 400)] + [(0, 399), (2000, 2001)]
+    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {i: 0 for i in (*range(400), 1000)} | {2000: 2000, 2001: 2000}
+
+
 def test_pipeline_on_its_smallest_tables(spark):
     import corpus_pipeline
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,10 +28,13 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a temporary one where none is named, as in tests."""
+    """The checkpoint folder that the cluster names. Where none is named, a temporary one for a master in one process, as in tests, and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wardloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wardloom-"))
     return sc.getCheckpointDir()
 
 
@@ -60,6 +64,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for an operator's own columns that no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """df.mapInArrow(run, schema) for column names of any kind: Spark's own reads a dot in a name as a path."""
     names = df.columns
@@ -103,22 +118,31 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
         root = new
 
 
+def _with_least(ends: DataFrame, least: DataFrame, hubs: DataFrame) -> DataFrame:
+    """ends(a, b) with the m of least(a, m); hubs(a, m), of which there are few, are looked up where their ends lie, so none is dealt to one task."""
+    at = ends.join(F.broadcast(hubs), "a", "left")
+    return at.where("m is not null").unionByName(at.where("m is null").drop("m").join(least, "a"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of edges(a, b): the smallest node reachable.
 
     Alternates large-star and small-star steps. Each is one grouped minimum, combined before its
     shuffle, and one join back; nothing is gathered per node, and each round is written to the
-    shared folder. Self-links and repeated links are harmless; null ends are ignored.
+    shared folder. A hub has more than a thousandth of the edges' number as its degree (64 at least), so there are 2,000 of them at most,
+    and these are broadcast. Self-links and repeated links are harmless; null ends are ignored.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = stored(edges.where("a is not null and b is not null and a <> b").select(high.alias("a"), low.alias("b")).distinct())
     seen = None
     while True:
+        n = now.count() if seen is None else seen[0]
+        hub = F.col("n") > max(64, n // 1000)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _with_least(both.where("b > a"), least.drop("n"), least.where(hub).drop("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least.drop("n"), least.where(hub).drop("n")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         new = stored(small)
         drop_stored(now)
         now = new

@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Token positions that each mask compares; the others may differ. SHORT is for items with fewer words than a mask.
-MASKS = ((0, 1, 2, 4, 7, 8), (0, 1, 3, 5, 6, 8), (0, 2, 3, 4, 6, 8))
-SHORT = (0, 1, 2)
-#: Words of the window that is verified, the part of them that must agree, and seeds that may be broadcast.
-WINDOW, AGREE, BROADCAST_SEEDS = 20, 0.8, 500_000
+from wardloom.llm.common import stored, unused
+
+#: Masks by the words of an item (from, up to): the token positions that each compares; the others may differ. Each set has been chosen so
+#: that for every way in which ``WINDOW`` words (all of a shorter item) can agree in ``AGREE`` of them, some mask meets unchanged words only.
+#: All masks of a set have the same last position.
+MASKS = (
+    (3, 4, ((0, 1, 2),)),
+    (5, 8, ((0, 1, 3), (0, 2, 3))),
+    (9, 19, ((0, 1, 5, 7), (0, 3, 4, 7))),
+    (20, None, ((0, 1, 3, 5, 8, 9), (0, 4, 6, 7, 8, 9), (0, 1, 2, 3, 4, 9), (0, 1, 3, 5, 6, 9))),
+)
+#: Words of the window that is verified, the part of them that must agree, and bytes of seeds that may be broadcast.
+WINDOW, AGREE, BROADCAST_BYTES = 20, 0.8, 32_000_000
 
 
 def words(text: Column) -> Column:
@@ -17,65 +25,92 @@ def words(text: Column) -> Column:
     return F.transform(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
 
 
-def _ends(rows: DataFrame, tokens: str, lasts: list[int]) -> DataFrame:
-    """rows with (at, last, ends) for each position and span that fits: the hash of the span's first and last word, which all its masks compare."""
-    n = F.size(tokens)
-    rows = rows.withColumn("at", F.explode(F.when(n > min(lasts), F.sequence(F.lit(0), n - 1 - min(lasts)))))
-    if len(lasts) == 1:
-        rows = rows.withColumn("last", F.lit(lasts[0]))
-    else:
-        rows = rows.withColumn("last", F.explode(F.array(*map(F.lit, lasts)))).where(F.col("at") + F.col("last") < n)
-    return rows.withColumn("ends", F.xxhash64("last", F.get(tokens, F.col("at")), F.get(tokens, F.col("at") + F.col("last"))))
+def _spans(rows: DataFrame, tokens: str, sets: Column) -> DataFrame:
+    """rows, without tokens, with (at, w0, w1 ..., set, ends) for each position and mask set of ``sets`` that fits there.
+
+    ends hashes the first and the last word, which all masks of a set compare. The words of a span are laid
+    side by side, so no row carries a text.
+    """
+    offsets = sorted({o for _, _, masks in MASKS for m in masks for o in m})
+    beside = F.arrays_zip(*[F.slice(tokens, o + 1, F.size(tokens)).alias(f"w{o}") for o in offsets])
+    others = [c for c in rows.columns if c != tokens]
+    rows = rows.select(*others, F.posexplode(beside).alias("at", "beside")).select(*others, "at", "beside.*")
+    ends = [F.when(F.col(f"w{masks[0][-1]}").isNotNull() & F.array_contains(sets, k), F.struct(F.lit(k).alias("set"), F.xxhash64(F.lit(k), "w0", f"w{masks[0][-1]}").alias("ends"))) for k, (_, _, masks) in enumerate(MASKS)]
+    return rows.withColumn("e", F.explode(F.array(*ends))).where("e is not null").select("*", "e.set", "e.ends").drop("e")
 
 
-def _seeds(rows: DataFrame, tokens: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """rows of _ends with the seed of each mask of their span."""
-    seeds = F.array(*[F.when(F.col("last") == m[-1], F.xxhash64(F.lit(k), *[F.get(F.col(tokens), F.col("at") + o) for o in m])) for k, m in enumerate(masks)])
-    return rows.withColumn("seed", F.explode(seeds)).where("seed is not null")
+def _seeds(spans: DataFrame) -> DataFrame:
+    """spans with the seed of each mask of their set, without the words."""
+    seeds = [F.when(F.col("set") == k, F.xxhash64(F.lit(100 * k + i), *[f"w{o}" for o in m])) for k, (_, _, masks) in enumerate(MASKS) for i, m in enumerate(masks)]
+    keep = [c for c in spans.columns if not (c[0] == "w" and c[1:].isdigit())]
+    return spans.select(*keep, F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
-    """(doc_id, item_id, part): the documents and items with a verified overlap.
+def _best_part() -> Column:
+    """Largest share of agreeing words in a window of the item, from tokens, item and offset.
 
-    Positions whose span begins and ends like one of the benchmark go on, and their spaced-seed hashes are joined with its own. Around each hit the document is laid against the item
-    on the hit's diagonal, and the words that agree are counted in every window of ``window`` of the
-    item's words (all of a shorter item); part is the largest share, and ``agree`` or more makes an overlap, so
-    words may be replaced. Benchmark seeds are broadcast if they are few, else both sides are shuffled.
+    A running count over the words that agree, less those that have left the window; windows that are not full yet never count more than full ones.
     """
+    n, skipped = F.size("item"), F.greatest(-F.col("offset"), F.lit(0))
+    beside = F.zip_with(F.slice("tokens", F.greatest("offset", F.lit(0)) + 1, n - skipped), F.slice("item", skipped + 1, n - skipped), lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
+    width = F.least(F.lit(WINDOW), n)
+    same = F.concat(F.array_repeat(F.lit(0), skipped), beside)
+    steps = F.slice(F.arrays_zip(same.alias("come"), F.concat(F.array_repeat(F.lit(0), width), same).alias("gone")), F.lit(1), n)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
+    best = F.aggregate(steps, start, lambda s, x: F.struct((s["now"] + x["come"] - x["gone"]).alias("now"), F.greatest(s["best"], s["now"] + x["come"] - x["gone"]).alias("best")), lambda s: s["best"])
+    return best / width
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFrame:
+    """(doc_id, th, item_id, part): the documents, told apart by doc_id and hash of the text, and items with a verified overlap.
+
+    Each item has the masks of its own length. Positions whose span begins and ends like one of the benchmark go on, and
+    their spaced-seed hashes are joined with its own. On the diagonal of each hit the document is laid against the
+    item, and the words that agree are counted in every window of WINDOW of the item's words (all of a
+    shorter item); part is the largest share, and ``agree`` or more makes an overlap, so words may be
+    replaced. The masks find every such overlap from AGREE on. Benchmark seeds are broadcast if
+    they are small, else both sides are shuffled; texts are fetched for hits alone.
+    """
+    if agree < AGREE:
+        raise ValueError(f"the masks find overlaps of {AGREE} and more")
     items = benchmark.select("item_id", F.filter(words(F.col("text")), lambda w: w != F.xxhash64(F.lit(""))).alias("item")).distinct()
-    short = items.where((F.size("item") <= MASKS[0][-1]) & (F.size("item") > SHORT[-1]))
-    masks = MASKS if short.isEmpty() else (*MASKS, SHORT)
-    lasts = sorted({m[-1] for m in masks})
-    spans = _ends(items, "item", lasts)
-    ends, seeds = spans.select("ends").distinct(), _seeds(spans, "item", masks).select("seed", "item_id", "item", F.col("at").alias("item_at"))
-    if seeds.count() <= BROADCAST_SEEDS:
+    items = stored(items.where(F.size("item") >= MASKS[0][0]))
+    n = F.size("item")
+    own = F.lit(len(MASKS) - 1)
+    for k, (_, last, _) in reversed(list(enumerate(MASKS[:-1]))):
+        own = F.when(n <= last, k).otherwise(own)
+    items = items.withColumn("own", own)
+    spans = _spans(items.select("item_id", F.xxhash64("item").alias("ih"), "own", "item"), "item", F.array("own"))
+    ends, seeds = spans.select("ends").distinct(), stored(_seeds(spans).select("seed", "item_id", "ih", F.col("at").alias("item_at")))
+    if seeds.agg(F.coalesce(F.sum(40 + F.length(F.col("item_id").cast("string"))), F.lit(0))).first()[0] <= BROADCAST_BYTES:
         ends, seeds = F.broadcast(ends), F.broadcast(seeds)
-    hits = _ends(docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("tokens")), "tokens", lasts).join(ends, "ends", "left_semi")
-    hits = _seeds(hits, "tokens", masks)
-    hits = hits.join(seeds, "seed").withColumn("offset", F.col("at") - F.col("item_at"))
-    hits = hits.withColumn("same", F.expr("transform(item, (w, i) -> cast(coalesce(offset + i >= 0 and get(tokens, offset + i) = w, false) as int))"))
-    # many hits lie on one diagonal; grouping leaves one of each, and keeps the filter below from being evaluated for each hit
-    hits = hits.groupBy("doc_id", "th", "item_id", "offset").agg(F.first("same").alias("same"))
-    width = F.least(F.lit(window), F.size("same"))
-    parts = F.transform(F.sequence(F.lit(0), F.size("same") - width), lambda i: F.aggregate(F.slice("same", i + 1, width), F.lit(0), lambda a, x: a + x) / width)
-    best = hits.withColumn("part", F.array_max(parts)).where(F.col("part") >= agree)
-    return best.groupBy("doc_id", "item_id").agg(F.max("part").alias("part"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("tokens"))
+    every = F.array(*[F.lit(k) for k in range(len(MASKS))])
+    hits = _seeds(_spans(texts, "tokens", every).join(ends, "ends", "left_semi")).join(seeds, "seed")
+    hits = stored(hits.select("doc_id", "th", "item_id", "ih", (F.col("at") - F.col("item_at")).alias("offset")).distinct())
+    hit = hits.alias("h").join(items.select(F.col("item_id").alias("same_id"), F.xxhash64("item").alias("same_ih"), "item"), [F.col("h.item_id").eqNullSafe(F.col("same_id")), F.col("h.ih") == F.col("same_ih")]).drop("same_id", "same_ih")
+    laid = texts.alias("t").join(hit.alias("h"), [F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")), F.col("t.th") == F.col("h.th")])
+    laid = laid.select("h.doc_id", "h.th", "h.item_id", "offset", "item", "tokens").withColumn("part", _best_part())
+    return laid.where(F.col("part") >= agree).groupBy("doc_id", "th", "item_id").agg(F.max("part").alias("part"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, part), one row for each of docs.
 
     item_ids are sorted; part is the largest share over all items, 0 without one. Defined cases: null or
-    empty text has no words and is clean; an item of fewer than three words matches nothing; rows with the
-    same doc_id share their finding; a null doc_id is a document like others; an empty benchmark makes
-    all documents clean; other columns are not read.
+    empty text has no words and is clean; an item of fewer than three words, or without text, matches nothing; items with one id are several
+    texts of one item; rows are told apart by doc_id and text, so repeated rows repeat their finding, rows of one doc_id with
+    unlike texts have their own, and a null doc_id is a document like others; shares that tie need no order; a text of any length takes
+    time linear in it; an empty benchmark makes all documents clean and no documents give no rows; other columns are not read.
     """
-    found = overlaps(docs, benchmark, window, agree).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("item_ids"), F.max("part").alias("part"))
-    rows = docs.select(F.col("doc_id").alias("__doc")).join(found, F.col("__doc").eqNullSafe(found["doc_id"]), "left")
-    return rows.select(F.col("__doc").alias("doc_id"), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.coalesce("part", F.lit(0.0)).alias("part"))
+    found = overlaps(docs, benchmark, agree).groupBy("doc_id", "th").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("item_ids"), F.max("part").alias("part"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th")).alias("d").join(found.alias("f"), [F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("d.th") == F.col("f.th")], "left")
+    return rows.select("d.doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.coalesce("part", F.lit(0.0)).alias("part"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows of contaminated documents; all columns are carried."""
-    hit = overlaps(docs, benchmark).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__doc"]), "left_anti")
+    """docs without the rows of contaminated documents, by doc_id and text; all columns are carried, whatever their names. Cases as in ``contamination``."""
+    doc, th, key = unused(docs, "doc", "th", "key")
+    hit = stored(overlaps(docs, benchmark).select(F.col("doc_id").alias(doc), F.col("th").alias(th)).distinct())
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    return rows.join(hit, rows["doc_id"].eqNullSafe(hit[doc]) & (rows[key] == hit[th]), "left_anti").drop(key)

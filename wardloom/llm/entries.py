@@ -104,16 +104,15 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(k.gone), 0) AS n_removed, sha
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN b ON d.doc_id = b.doc_id
 """
 
+#: Brute force: every diagonal of every document and item that has equal words.
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS t FROM documents),
 b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-m AS (SELECT * FROM (VALUES (1, [0, 1, 2, 4, 7, 8], 8), (2, [0, 1, 3, 5, 6, 8], 8), (3, [0, 2, 3, 4, 6, 8], 8), (4, [0, 1, 2], 2)) v(k, mask, last) WHERE k < 4 OR EXISTS (SELECT 1 FROM b WHERE len(w) BETWEEN 3 AND 8)),
-bs AS (SELECT k, item_id, w, j, list_transform(mask, lambda o: w[j + o]) AS s FROM (SELECT *, unnest(range(1, len(w) - last + 1)) AS j FROM b, m WHERE len(w) > last) x),
-ds AS (SELECT k, doc_id, t, i, list_transform(mask, lambda o: t[i + o]) AS s FROM (SELECT *, unnest(range(1, len(t) - last + 1)) AS i FROM d, m WHERE len(t) > last) x),
-h AS (SELECT DISTINCT doc_id, t, item_id, w, i - j AS o FROM ds JOIN bs ON ds.k = bs.k AND ds.s = bs.s),
-v AS (SELECT doc_id, item_id, least(20, len(w)) AS width, list_transform(range(1, len(w) + 1), lambda q: CASE WHEN o + q >= 1 AND o + q <= len(t) AND t[o + q] = w[q] THEN 1 ELSE 0 END) AS same FROM h),
-p AS (SELECT doc_id, item_id, list_max(list_transform(range(1, len(same) - width + 2), lambda a: list_sum(list_slice(same, a, a + width - 1)) / CAST(width AS DOUBLE))) AS part FROM v),
-f AS (SELECT doc_id, item_id, max(part) AS part FROM p WHERE part >= 0.8 GROUP BY 1, 2),
+dp AS (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM d),
+bp AS (SELECT item_id, least(20, len(w)) AS width, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM b WHERE len(w) >= 3),
+m AS (SELECT doc_id, item_id, width, i - j AS o, j, count(*) OVER (PARTITION BY doc_id, item_id, i - j) AS n FROM dp JOIN bp USING (x)),
+p AS (SELECT doc_id, item_id, width, count(*) OVER (PARTITION BY doc_id, item_id, o ORDER BY j RANGE BETWEEN width - 1 PRECEDING AND CURRENT ROW) AS same FROM m WHERE n >= 0.8 * width),
+f AS (SELECT doc_id, item_id, max(same / CAST(width AS DOUBLE)) AS part FROM p GROUP BY 1, 2 HAVING max(same / CAST(width AS DOUBLE)) >= 0.8),
 g AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(part) AS part FROM f GROUP BY 1)
 SELECT d.doc_id, g.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(part, 0) AS part FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
 """
