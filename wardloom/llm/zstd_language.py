@@ -18,18 +18,25 @@ from wardloom.llm.common import mapped, stored, without
 DICT_BYTES, SAMPLE_DOCS, SEGMENT = 96_000, 1_000, 480
 #: Characters of a text that are compressed at a time, and the margin below which a prediction is rejected.
 PIECE, MARGIN, LEVEL = 2_000, 0.01, 6
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and number signs such as ² or Ⅷ, which ``str.isalpha`` then tells apart.
+LETTERS_OR_SIGNS = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTERS_OR_SIGNS.finditer(text))
+
+
 def fit_dictionaries(train: DataFrame, dict_bytes: int = DICT_BYTES, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Raw dictionary content for each non-null lang of train(text, lang).
 
-    All rows are counted; then about sample_docs of each language, by a hash of the text, give
-    segments from all over their texts, so the driver gets dict_bytes for each language at most twice.
+    The distinct texts of each language are counted over all rows; then about sample_docs of them, by a hash of the text, give
+    segments from all over their texts, so the driver gets dict_bytes for each language about twice. A text in any number of copies is one
+    text: it is neither lost nor sent again for each. Defined cases: rows with a null lang or a null or empty text teach nothing; a language of
+    few texts gives what these have; an empty table gives no dictionary; long texts are sampled all over; other columns are not read.
     """
     train = train.select("lang", "text").where("lang is not null and text is not null and text <> ''")
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()}
     if not sizes:
         return {}
     each = {lang: max(1, -(-2 * dict_bytes // (SEGMENT * min(n, sample_docs)))) for lang, n in sizes.items()}
@@ -61,8 +68,8 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], margin: fl
     wins, ties going to the first language by name. score is the part by which the second smallest total
     is larger than the smallest, of the second; a prediction with less than ``margin`` is not accepted.
     Defined cases: text that is null or has no letter is ``und`` with score 0, not accepted; one known
-    language has score 1; no known language makes all texts ``und``; columns of docs with the names of
-    the new ones are replaced, all others are carried. Only text is read.
+    language has score 1; no known language makes all texts ``und``; repeated rows repeat their prediction; long texts are compressed
+    whole, piece by piece; columns of docs with the names of the new ones are replaced, all others are carried; an empty table gives an empty one. Only text is read.
     """
     docs = without(docs, "lang_pred", "score", "accepted")
     names = docs.columns
@@ -77,7 +84,7 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], margin: fl
         for b in batches:
             pred, score, sure = [], [], []
             for text in b.column("text").to_pylist():
-                if not langs or text is None or not LETTER.search(text):
+                if not langs or text is None or not has_letter(text):
                     pred.append(UNKNOWN), score.append(0.0), sure.append(False)
                     continue
                 text = text.lower()
