@@ -219,6 +219,29 @@ def test_language(spark):
     assert {r["lang_pred"] for r in predict_language(docs, {}).collect()} == {"und"}
 
 
+def test_language_needs_a_letter(spark):
+    rows = table(spark, ["² ½ Ⅷ", "٣ 12 _ 🙂", "½ é", "ʰ", None, ""])
+    found = {r["doc_id"]: r["lang_pred"] for r in predict_language(rows, {"en": b"the and"}).collect()}
+    assert found == {0: "und", 1: "und", 2: "en", 3: "en", 4: "und", 5: "und"}
+
+
+def test_language_of_many_copies_is_learned(spark):
+    for k in range(4):
+        rows = spark.createDataFrame([(f"text number {k} in many copies", "aa")], "text string, lang string").crossJoin(spark.range(9000)).drop("id")
+        other = spark.range(1500).selectExpr("concat('another ', id) as text", "'bb' as lang")
+        found = fit_dictionaries(rows.unionByName(other))
+        assert sorted(found) == ["aa", "bb"] and found["aa"].count(b"many copies") == 1
+
+
+def test_language_of_held_out_documents(spark):
+    """At least 0.95 of the held-out documents of a language that the fitting saw get their language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    test = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = predict_language(docs.where(test), fit_dictionaries(docs.where(~test))).where("lang is not null and length(text) >= 20 and lang_pred <> 'und'").collect()
+    right = sum(r["lang"] == r["lang_pred"] for r in found)
+    assert len(found) > 100 and right >= 0.95 * len(found)
+
+
 def test_pieces(spark, prose):
     import public_tokenizers
     import sentencepiece
@@ -258,10 +281,35 @@ def test_quality(spark):
         assert all(keep[i] for i in range(len(good)))
         assert not any(keep[i] for i in range(len(good), len(good) + len(junk)))
         assert not keep[len(texts) - 1] and not keep[len(texts) - 2]
-    assert insults("You IDIOT, clownish trash") == 2
+    assert insults("You IDIOT, clownish trash") == (2, 0) and insults("Du Trottel! salauds") == (0, 1)
     assert score_quality(docs.limit(0), fit_quality(docs.limit(0), labels)).count() == 0
 
 
+def test_copies_of_a_text_are_fitted_on_once(spark, monkeypatch):
+    from wardloom.llm import weak_quality
+
+    seen = []
+    plain = weak_quality._fit_toxic
+    monkeypatch.setattr(weak_quality, "_fit_toxic", lambda rows, *more: seen.append(len(rows)) or plain(rows, *more))
+    for k in range(3):
+        docs = table(spark, [f"copy number {k} of a text"] * 3000 + [f"word{i} alone stands here" for i in range(300)])
+        fit_quality(docs, spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int"), 300)
+    assert max(seen) <= 303
+
+
+def test_quality_of_held_out_labels(spark):
+    """Of the labels of a fifth of the documents, scored by a model of the others: recall of toxic texts and shares of right verdicts."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    test = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = fit_quality(docs.where(~test), labels.where(~test))
+    found = score_quality(docs.join(labels.where(test), "doc_id").where("text <> ''"), model).collect()
+    toxic = [r["toxic_score"] >= 0.3 for r in found if r["toxic"] == 1]
+    clean = [r["toxic_score"] >= 0.3 for r in found if r["toxic"] == 0]
+    quality = [(r["quality_score"] >= 0.5) == (r["quality"] == 1) for r in found]
+    assert len(found) > 500 and sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.02 * len(clean) and sum(quality) >= 0.98 * len(quality)
+
+
 def test_likely_toxic_text_is_not_kept(spark):
     scorer = lambda bits, bias: np.append(np.zeros(1 << bits, np.float32), np.float32(bias))
     for share, keep in ((0.5, False), (0.35, False), (0.25, True)):

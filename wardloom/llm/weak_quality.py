@@ -18,14 +18,22 @@ from pyspark.sql import functions as F
 
 from wardloom.llm.common import mapped, stored, texts, without
 
-# Common insults.
+# Common insults, of English and of other languages; each list is read by labellers of its own.
 INSULTS = frozenset("idiot moron stupid worthless pathetic trash loser clown disgusting scum dumb imbecile fool garbage filthy vermin jerk".split())
+INSULTS_ELSEWHERE = frozenset(
+    "connard connasse salaud salope abruti imbécile crétin enfoiré ordure débile "
+    "arschloch dummkopf trottel schwachkopf depp abschaum schlampe hurensohn vollidiot mistkerl "
+    "estúpido imbécil gilipollas cabrón pendejo idiota basura tarado mierda malnacido "
+    "stronzo bastardo coglione deficiente cretino otário babaca vagabundo canalha desgraçado".split()
+)
 MARKS = "#$%&*|<>{}\\^~"
 #: Words of a window whose distinct share is taken.
 SPAN = 50
 #: Documents that a scorer is fitted on at most, rounds of expectation-maximisation, epochs and rate of the
 #: scorer, and the standard errors by which a hash's share must differ between the classes for it to be used.
 FIT_DOCS, EM_ROUNDS, EPOCHS, RATE, TELLING = 12_000, 60, 400, 0.5, 4.0
+#: A text counts in the fit as often as it occurs, but not more often than this, or one text would be all that is learned.
+COPIES = 100
 #: Rows' worth of belief, as a share of all rows, that a labeller's vote is right, and how often it is believed wrong.
 PRIOR, WRONG = 0.02, 0.02
 #: Of the toxic scorer: what the posteriors of all rows without a label weigh together in its first fit, in labelled rows;
@@ -54,14 +62,14 @@ def measures(words: list[str], text: str) -> dict[str, float]:
     }
 
 
-def votes(m: dict[str, float], found: int) -> dict[str, tuple[int, ...]]:
+def votes(m: dict[str, float], found: int, elsewhere: int = 0) -> dict[str, tuple[int, ...]]:
     """Votes of each task's labellers: 0 or 1 for a class, 2 for none. A defect's labeller votes against or not at all."""
     few = m["length"] < 5
     defects = (m["marks"] >= 0.02, not few and m["caps"] >= 0.5, m["bars"] >= 0.15, m["length"] >= 12 and m["distinct"] <= 0.5, not few and m["stutter"] >= 0.2)
     sound = m["marks"] < 0.01 and (few or m["caps"] < 0.2) and m["bars"] < 0.05 and m["distinct"] > 0.55 and m["stutter"] < 0.1
     return {
         "quality": (*[0 if d else 2 for d in defects], 1 if sound else 2, 1 if sound and m["length"] >= 20 else 2),
-        "toxic": (1 if found else 2, 1 if found >= 2 else 2, 1 if found > 0.02 * m["length"] else 2, 2 if found else 0),
+        "toxic": (1 if found else 2, 1 if found >= 2 else 2, 1 if found > 0.02 * m["length"] else 2, 1 if elsewhere else 2, 1 if elsewhere > 0.02 * m["length"] else 2, 2 if found or elsewhere else 0),
     }
 
 
@@ -88,12 +96,17 @@ def _bucket(name: str) -> int:
     return xxhash.xxh64_intdigest(name) & ((1 << SHAPE_BITS) - 1)
 
 
-INSULT = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(sorted(INSULTS))})(?![^\W\d_])")
+def _word_of(names: frozenset[str]) -> re.Pattern:
+    return re.compile(rf"(?<![^\W\d_])(?:{'|'.join(sorted(names))})(?![^\W\d_])")
 
 
-def insults(text: str) -> int:
+INSULT, INSULT_ELSEWHERE = _word_of(INSULTS), _word_of(INSULTS_ELSEWHERE)
+
+
+def insults(text: str) -> tuple[int, int]:
+    """Whole words of the two lists of insults."""
     low = text.lower()
-    return len(INSULT.findall(low)) if any(map(low.__contains__, INSULTS)) else 0
+    return tuple(len(found.findall(low)) if any(map(low.__contains__, names)) else 0 for names, found in ((INSULTS, INSULT), (INSULTS_ELSEWHERE, INSULT_ELSEWHERE)))
 
 
 @dataclass(frozen=True)
@@ -142,28 +155,28 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int, float]],
     return {p[0]: float(x) for p, x in zip(patterns, free)}, table, share
 
 
-def _telling(rows: list[np.ndarray], target: np.ndarray, size: int, least: int) -> np.ndarray:
-    """If each hash is in ``least`` rows or more and tells the classes apart; rows are counted 2,000 at a time to spare the driver's memory."""
-    seen, positive = np.zeros(size, np.int64), np.zeros(size)
+def _telling(rows: list[np.ndarray], target: np.ndarray, copies: np.ndarray, size: int, least: int) -> np.ndarray:
+    """If each hash is in ``least`` texts or more, copies counted, and tells the classes apart; rows are counted 2,000 at a time to spare the driver's memory."""
+    seen, positive = np.zeros(size), np.zeros(size)
     for i in range(0, len(rows), 2000):
         part = rows[i : i + 2000]
-        column = np.concatenate(part)
-        seen += np.bincount(column, minlength=size)
-        positive += np.bincount(column, np.repeat(target[i : i + 2000], [len(r) for r in part]), minlength=size)
-    share = target.sum() / max(1, len(target))
+        column, n = np.concatenate(part), [len(r) for r in part]
+        seen += np.bincount(column, np.repeat(copies[i : i + 2000], n), minlength=size)
+        positive += np.bincount(column, np.repeat((copies * target)[i : i + 2000], n), minlength=size)
+    share = (copies * target).sum() / max(1, copies.sum())
     return (seen >= least) & (np.abs(positive - share * seen) >= TELLING * np.sqrt(np.maximum(seen * share * (1 - share), 1e-9)))
 
 
-def _fit(rows: list[np.ndarray], values: list[np.ndarray] | None, target: np.ndarray, size: int, least: int, known: np.ndarray | None = None, weight: float = 1.0) -> np.ndarray:
-    """Weights (the last is the bias) of a logistic scorer by full-batch adaptive gradients; hashes of fewer than ``least`` rows, or that tell no class, stay 0.
+def _fit(rows: list[np.ndarray], values: list[np.ndarray] | None, target: np.ndarray, copies: np.ndarray, size: int, least: int, known: np.ndarray | None = None, weight: float = 1.0) -> np.ndarray:
+    """Weights (the last is the bias) of a logistic scorer by full-batch adaptive gradients; hashes of fewer than ``least`` texts, or that tell no class, stay 0.
 
-    Without ``values`` all are 1. Rows that are not ``known`` count by ``weight``; a hash may tell the classes apart in all rows or in the known ones.
+    Without ``values`` all are 1. A row counts ``copies`` times; rows that are not ``known`` count by ``weight``; a hash may tell the classes apart in all rows or in the known ones.
     """
-    telling = _telling(rows, target, size, least)
-    mass = np.full(len(rows), 1 / len(rows))
+    telling = _telling(rows, target, copies, size, least)
+    mass = copies / copies.sum()
     if known is not None and known.any():
-        telling |= _telling([rows[i] for i in np.flatnonzero(known)], target[known], size, least)
-        mass = np.where(known, 1.0, weight)
+        telling |= _telling([rows[i] for i in np.flatnonzero(known)], target[known], copies[known], size, least)
+        mass = copies * np.where(known, 1.0, weight)
         mass /= mass.sum()
     kept = [telling[r] for r in rows]
     column = np.concatenate([r[k] for r, k in zip(rows, kept)])
@@ -186,19 +199,19 @@ def _fit(rows: list[np.ndarray], values: list[np.ndarray] | None, target: np.nda
     return out
 
 
-def _fit_toxic(rows: list[np.ndarray], target: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _fit_toxic(rows: list[np.ndarray], target: np.ndarray, copies: np.ndarray, known: np.ndarray) -> np.ndarray:
     """The toxic scorer on labels and posteriors, in one way for any number of either.
 
     That the lexicon finds no insult says little of a text in another language. So the posteriors weigh little at first, and are
     then the larger of the votes' and the scorer's own.
     """
     free = np.flatnonzero(~known)
-    model = _fit(rows, None, target, 1 << WORD_BITS, 3, known, min(1.0, START / max(1, len(free))))
+    model = _fit(rows, None, target, copies, 1 << WORD_BITS, 3, known, min(1.0, START / max(1.0, float(copies[free].sum()))))
     for _ in range(ROUNDS if len(free) else 0):
         renewed = target.copy()
         score = np.array([model[rows[i]].sum() + model[-1] for i in free])
         renewed[free] = np.maximum(target[free], 1 / (1 + np.exp(-np.clip(score, -30, 30))))
-        model = _fit(rows, None, renewed, 1 << WORD_BITS, 3, known, WEIGHT)
+        model = _fit(rows, None, renewed, copies, 1 << WORD_BITS, 3, known, WEIGHT)
     return model
 
 
@@ -215,17 +228,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
 
     The labellers vote on every document; only the counts of vote patterns, of which there are a fixed number at
     most, come to the driver. Expectation-maximisation over all of them estimates each labeller's accuracies,
-    labelled rows keeping their label. The scorers are then fitted on the posteriors of at most
-    about 2 * fit_docs documents, half of them labelled where there are labels, taken by a hash of the text.
+    labelled rows keeping their label. The scorers are then fitted on the labels and posteriors of about
+    fit_docs distinct labelled texts and fit_docs others at most, taken by a hash of the text; a text in any number of copies is one of
+    them, once for each labelling that it has, and weighs as COPIES at most. Defined cases: null and empty texts and labels of a null doc_id are left out; of
+    several labels of a doc_id the smallest counts; repeated rows vote again but are fitted on once; texts are read whole; an empty table of
+    documents gives a model that keeps nothing for certain (all scores 0.5), one of labels leaves the posteriors alone; other columns are not read.
     """
     gold = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.min(t).cast("int").alias(f"gold_{t}") for t in TASKS])
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("ord")).where("text is not null and text <> ''")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [votes(measures(x.split(), x), insults(x)) for x in texts(b.column("text"))]
+            found = [votes(measures(x.split(), x), *insults(x)) for x in texts(b.column("text"))]
             packed = ["".join(map(str, f["quality"])) + "," + "".join(map(str, f["toxic"])) for f in found]
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array([xxhash.xxh64_intdigest(x) >> 1 for x in texts(b.column("text"))], pa.int64()), pa.array(packed, pa.string())], names=["doc_id", "ord", "votes"])
+            yield pa.record_batch([b.column("doc_id"), b.column("ord"), pa.array(packed, pa.string())], names=["doc_id", "ord", "votes"])
 
     voted = stored(rows.mapInArrow(vote, "doc_id long, ord long, votes string").join(gold, "doc_id", "left"))
     counts = voted.groupBy("votes", *[f"gold_{t}" for t in TASKS]).agg(F.count("*").alias("n")).collect()
@@ -239,37 +256,43 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
             grouped[key] = grouped.get(key, 0) + r["n"]
         posterior[task] = expectation_maximisation([(*k, n) for k, n in grouped.items()], RARE[task])[0]
 
-    labelled = F.col("gold_quality").isNotNull()
-    sizes = {bool(r["l"]): r["n"] for r in voted.groupBy(labelled.alias("l")).agg(F.count("*").alias("n")).collect()}
+    labelled = F.col("gold_quality").isNotNull() | F.col("gold_toxic").isNotNull()
+    sizes = {bool(r["l"]): r["n"] for r in voted.groupBy(labelled.alias("l")).agg(F.approx_count_distinct("ord", 0.02).alias("n")).collect()}
     step = {l: max(1, n // fit_docs) for l, n in sizes.items()}
     share = F.when(labelled, step.get(True, 1)).otherwise(step.get(False, 1))
-    chosen = voted.where(F.pmod(F.xxhash64("ord"), share) == 0).distinct()
+    kinds = ["ord", "votes", *[f"gold_{t}" for t in TASKS]]
+    # about fit_docs texts of each sort in at most nine labellings: small enough to broadcast, so that no text is shuffled
+    chosen = stored(voted.where(F.pmod(F.xxhash64("ord"), share) == 0).groupBy(*kinds).agg(F.min("doc_id").alias("doc_id"), F.least(F.count("*"), F.lit(COPIES)).cast("int").alias("copies")).where("doc_id is not null"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
         for b in batches:
             found = [features(x, memo) for x in texts(b.column("text"))]
             cells = [[f.words.astype("<i4").tobytes() for f in found], [f.shapes.astype("<i4").tobytes() for f in found], [f.weights.astype("<f4").tobytes() for f in found]]
-            yield pa.record_batch([*[b.column(c) for c in ("votes", "gold_quality", "gold_toxic")], *[pa.array(c, pa.binary()) for c in cells]], names=["votes", "gold_quality", "gold_toxic", "words", "shapes", "weights"])
+            yield pa.record_batch([*[b.column(c) for c in carried], *[pa.array(c, pa.binary()) for c in cells]], names=[*carried, "words", "shapes", "weights"])
 
-    picked = rows.withColumn("doc_id", F.col("doc_id").cast("long")).join(chosen, "doc_id").select("text", "votes", "gold_quality", "gold_toxic")
-    table = picked.mapInArrow(featured, "votes string, gold_quality int, gold_toxic int, words binary, shapes binary, weights binary").toArrow().to_pydict()
+    carried = [*kinds, "copies"]
+    picked = rows.join(F.broadcast(chosen), ["doc_id", "ord"]).select("text", *carried)
+    picked = picked.mapInArrow(featured, "ord long, votes string, gold_quality int, gold_toxic int, copies int, words binary, shapes binary, weights binary")
+    table = picked.dropDuplicates(kinds).drop("ord").toArrow().to_pydict()
     targets = {}
     for i, task in enumerate(TASKS):
         guess = [posterior[task].get(tuple(map(int, v.split(",")[i])), 0.5) for v in table["votes"]]
         targets[task] = np.array([p if g is None else g for p, g in zip(guess, table[f"gold_{task}"])], float)
     word_rows = [np.frombuffer(x, "<i4") for x in table["words"]]
     shape_rows = [np.frombuffer(x, "<i4") for x in table["shapes"]]
-    toxic = _fit_toxic(word_rows, targets["toxic"], np.array([g is not None for g in table["gold_toxic"]], bool))
-    quality = _fit(shape_rows, [np.frombuffer(x, "<f4") for x in table["weights"]], targets["quality"], 1 << SHAPE_BITS, 3)
+    copies = np.array(table["copies"], float)
+    toxic = _fit_toxic(word_rows, targets["toxic"], copies, np.array([g is not None for g in table["gold_toxic"]], bool))
+    quality = _fit(shape_rows, [np.frombuffer(x, "<f4") for x in table["weights"]], targets["quality"], copies, 1 << SHAPE_BITS, 3)
     return QualityModel(quality, toxic)
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """docs with ``quality_score``, ``toxic_score`` (0 to 1) and ``keep``: quality of 0.5 or more, toxic under TOXIC.
 
-    Defined cases: null or empty text is not kept (quality 0); rows and columns, repeated or null, are
-    carried; columns of docs with the names of the new ones are replaced.
+    Defined cases: null or empty text is not kept (quality 0, toxic 0); texts are read whole; a score follows from the text alone, so repeated rows
+    repeat theirs; a score at a threshold counts as reaching it; rows and columns, repeated or null, are
+    carried; columns of docs with the names of the new ones are replaced; an empty table gives an empty one.
     """
     docs = without(docs, "quality_score", "toxic_score", "keep").withColumn("text", F.col("text").cast("string"))
     names = docs.columns
