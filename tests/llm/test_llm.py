@@ -134,6 +134,60 @@ def test_private_discovery(spark):
     assert empty.count() == 0
 
 
+def found_by_brute_force(seeds, candidates, rounds=3, support=5, confidence=0.8, accept=0.9, agreeing=2, prior=2):
+    """Of (kind, value, before, after): the bootstrapped discoveries, by plain loops."""
+
+    def patterns(before, after):
+        return [p for p in (("l", before, ""), ("r", "", after), ("b", before, after)) if (p[0] == "r" or p[1]) and (p[0] == "l" or p[2])]
+
+    seed_edges = {(k, v.lower(), p) for k, v, b, a in seeds for p in patterns(b, a)}
+    names = {v for _, v, _ in seed_edges}
+    free = {(v.lower(), p) for _, v, b, a in candidates for p in patterns(b, a) if v.lower() not in names}
+    everything = Counter(p for _, p in {(v, p) for _, v, p in seed_edges} | free)
+    found = {}
+    for _ in range(rounds):
+        count, mass = Counter(), Counter()
+        for k, v, p in seed_edges:
+            count[p, k] += 1
+            mass[p, k] += 1
+        for v, p in free:
+            if v in found:
+                count[p, found[v][0]] += 1
+                mass[p, found[v][0]] += found[v][1]
+        trust = {pk: mass[pk] / (everything[pk[0]] + prior) for pk in count if count[pk] >= support and mass[pk] / (everything[pk[0]] + prior) >= confidence}
+        scores = {}
+        for v, p in free:
+            for (q, k), c in trust.items():
+                if p == q:
+                    scores.setdefault((v, k), []).append(c)
+        found = {}
+        for (v, k), cs in sorted(scores.items()):
+            s = 1 - math.prod(max(1 - c, 1e-9) for c in cs)
+            if s >= accept and len(cs) >= agreeing and (v not in found or (s, k) > found[v][::-1]):
+                found[v] = (k, s)
+    return {v: k for v, (k, _) in found.items()}
+
+
+def test_private_discovery_matches_brute_force(spark):
+    """Seeds stand after tel; unseen numbers after tel are found, and by them those that stand in a context of their own only; decoys stay."""
+    rng = random.Random(11)
+    long = "x" * 200
+    seeds = [("phone", f"+1 555 {i:06d}", "tel", "now") for i in range(60)] + [("email", f"u{i}@a.b", "mail", long) for i in range(40)]
+    first = [("candidate", f"05-{i}", "tel", "now") for i in range(24)] + [("candidate", f"m{i}(at)c3", "mail", long) for i in range(6)]
+    second = [("candidate", f"05-{i}", "ring", "soon") for i in range(24)] + [("candidate", f"06-{i}", "ring", "soon") for i in range(2)]
+    decoys = [("candidate", f"p{i}", rng.choice(["page", "tel", "see"]), rng.choice(["of", "is"])) for i in range(40)] + [("candidate", "m77", "mail", "x" * 100)]
+    schema = "kind string, value string, before string, after string"
+    from wardloom.llm.private_data import discover
+
+    free = first + second + decoys
+    got = {r["value"]: r["kind"] for r in discover(spark.createDataFrame(seeds, schema), spark.createDataFrame(free + free, schema)).collect()}
+    assert got == found_by_brute_force(seeds, free)
+    hidden = {v.lower(): "email" if "at" in v else "phone" for _, v, _, _ in first + second}
+    assert len(set(got) & set(hidden)) / len(got) == 1.0 and len(set(got) & set(hidden)) / len(hidden) == 1.0  # precision and recall
+    assert "06-1" in got and all(got[v] == k for v, k in hidden.items())
+    assert discover(spark.createDataFrame([], schema), spark.createDataFrame(free, schema)).count() == 0
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(2000)]
@@ -206,6 +260,20 @@ def test_embeddings(spark):
         assert got[i]["kept"] == (i is not None and i == want[1])
 
 
+def test_embeddings_lose_no_isolated_pair(spark):
+    from wardloom.llm.vector_dedup import passes_for
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 32))
+    x[300:600] = x[:300] * 0.94 + 0.94 * math.sqrt(1 / 0.94**2 - 1) * rng.standard_normal((300, 32))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.93)) if i < j}
+    rows = spark.createDataFrame([(i, v.tolist(), 0, "mine", 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, v string, k1 int")
+    got = {r["vec_id"]: r["n_links"] for r in link_embeddings(rows).collect()}
+    assert len(near) > 100 and sum(got.values()) >= 2 * 0.99 * len(near)
+    assert passes_for(10**6) > passes_for(10**4) > passes_for(100) > 0
+
+
 def test_language(spark):
     rng = random.Random(2)
     syllables = {"aa": ["the", "ing", "ion", "and"], "bb": ["sch", "ung", "ein", "ich"]}

@@ -22,9 +22,11 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: A word that may be an identifier: it holds a digit or an at sign.
 CANDIDATE = r"(?<![^ \t-\r])[^ \t-\r]*[0-9@][^ \t-\r]*"
-#: Rounds of scoring, seeds that a pattern needs, its least confidence, the least score of a discovery and the
-#: patterns that it needs, unseen instances added to what a pattern has matched, and characters of context that are read.
-ROUNDS, SUPPORT, CONFIDENCE, ACCEPT, AGREEING, PRIOR, CONTEXT = 3, 5, 0.8, 0.9, 2, 2, 64
+#: Rounds, known instances that a pattern needs, its least confidence, the least score of a discovery and the
+#: patterns that it needs, and unseen instances added to what a pattern has matched.
+ROUNDS, SUPPORT, CONFIDENCE, ACCEPT, AGREEING, PRIOR = 3, 5, 0.8, 0.9, 2, 2
+#: The last and the first word of a gap, whole, in time linear in the gap.
+LAST_WORD, FIRST_WORD = r"(?<![^ \t-\r])([^ \t-\r]++)[ \t-\r]*+$", r"^[ \t-\r]*+([^ \t-\r]++)"
 
 
 def _valid(kind: str, text: Column) -> Column:
@@ -43,10 +45,10 @@ def _valid(kind: str, text: Column) -> Column:
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """Array of (kind, at, value, gap, before, after), one more than matches: the text between matches, and the match that ends it.
 
-    gap is its length, before its last characters and after its first ones. A lambda reads its own
+    gap is its length, before its last word and after its first one, lower-cased. A lambda reads its own
     element alone; an outer expression in it would be evaluated for each element.
     """
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(CONTEXT)).alias("before"), F.left(g, F.lit(CONTEXT)).alias("after")))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("gap"), F.lower(F.regexp_extract(g, LAST_WORD, 1)).alias("before"), F.lower(F.regexp_extract(g, FIRST_WORD, 1)).alias("after")))
     zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), gaps.alias("g"))
     rows = F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), x["value"].alias("value"), x["g"]["gap"].alias("gap"), x["g"]["before"].alias("before"), x["g"]["after"].alias("after")))
     here = text.rlike("[0-9@]") & (text.contains(NEEDS[kind]) if kind in NEEDS else F.lit(True))
@@ -72,41 +74,41 @@ def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept.select("doc_id", "th"), flat.where(valid).drop("gap", "at")
 
 
-def discover(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
-    """(value, kind): candidates that the contexts of seeds give to a kind.
-
-    seeds and candidates have kind, value, before, after. A lexical pattern is the word before an
-    instance, the word after it, or both. A pattern's confidence in a kind is the scores of that kind among
-    its distinct instances over all of them and PRIOR more; a candidate's score is the noisy-or of the
-    patterns that reach ``confidence`` with ``support`` distinct seeds of the kind. Seeds score 1. Each
-    round is grouped sums and one join; nothing grows with a pattern's instances but the sums.
-    """
-    left, right = F.lower(F.regexp_extract("before", r"([^ \t-\r]+)[ \t-\r]*$", 1)), F.lower(F.regexp_extract("after", r"^[ \t-\r]*([^ \t-\r]+)", 1))
+def _edges(items: DataFrame) -> DataFrame:
+    """(kind, value, side, l, r), each once: an instance and the patterns that it stands in, the word before it, the word after it, and both."""
+    left, right = F.when(F.col("before") != "", F.col("before")), F.when(F.col("after") != "", F.col("after"))
+    sides = [("l", left, F.lit("")), ("r", F.lit(""), right), ("b", left, right)]
+    patterns = F.array(*[F.struct(F.lit(s).alias("side"), l.alias("l"), r.alias("r")) for s, l, r in sides])
+    return items.select("kind", F.lower("value").alias("value"), F.explode(patterns).alias("p")).select("kind", "value", "p.*").where("l is not null and r is not null").distinct()
 
-    def edges(items: DataFrame) -> DataFrame:
-        p = items.select("kind", F.lower("value").alias("value"), left.alias("l"), right.alias("r"))
-        p = p.select("kind", "value", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.when(F.col("l") != "", F.col("l")).alias("l"), F.lit("").alias("r")), F.struct(F.lit("r").alias("side"), F.lit("").alias("l"), F.when(F.col("r") != "", F.col("r")).alias("r")), F.struct(F.lit("b").alias("side"), F.when(F.col("l") != "", F.col("l")).alias("l"), F.when(F.col("r") != "", F.col("r")).alias("r")))).alias("p"))
-        return p.select("kind", "value", "p.*").where("l is not null and r is not null").distinct()
 
+def discover(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
+    """(value, kind): candidates that the contexts of seeds, and of what these have discovered, give to a kind.
+
+    seeds and candidates have kind, value, before, after. Known instances are the seeds and, from the second round on, what the round before has
+    accepted, so discoveries induce patterns of their own. A pattern's confidence in a kind is the scores of its known
+    instances of that kind (1 for a seed) over all its distinct instances, known or not, and PRIOR more; a candidate's score is the noisy-or
+    of the patterns that reach ``confidence`` with ``support`` known instances of the kind, and it is accepted from
+    ``accept`` with AGREEING patterns or more. Of several kinds the one of the larger score wins, then of the later
+    name. Each round is grouped sums and joins; nothing is gathered. Without seeds nothing is discovered; instances are compared in lower
+    case, in whatever number they repeat; null contexts make no pattern.
+    """
     key = ["side", "l", "r"]
-    known = edges(seeds)
-    per_kind = known.groupBy(*key, "kind").agg(F.count("*").alias("seeds"))
-    free = stored(edges(candidates).drop("kind").join(known.select("value").distinct(), "value", "left_anti").join(per_kind.where(F.col("seeds") >= support).select(*key).distinct(), key, "left_semi"))
-    everything = per_kind.groupBy(*key).agg(F.sum("seeds").alias("n"))
-    scores = None
+    known = stored(_edges(seeds))
+    free = stored(_edges(candidates).drop("kind").join(known.select("value").distinct(), "value", "left_anti"))
+    everything = stored(known.select("value", *key).distinct().unionByName(free).groupBy(*key).agg(F.count("*").alias("n")))
+    per_kind = known.groupBy(*key, "kind").agg(F.count("*").alias("s"), F.count("*").cast("double").alias("g"))
+    found = None
     for _ in range(rounds):
-        open_n = free.groupBy(*key).agg(F.count("*").alias("m"))
-        stats = per_kind.where(F.col("seeds") >= support).join(everything, key).join(open_n, key)
-        if scores is None:
-            gained = F.lit(0.0)
-        else:
-            stats = stats.join(free.join(scores, "value").groupBy(*key, "kind").agg(F.sum("score").alias("g")), [*key, "kind"], "left")
-            gained = F.coalesce("g", F.lit(0.0))
-        trust = stats.select(*key, "kind", ((F.col("seeds") + gained) / (F.col("n") + F.col("m") + PRIOR)).alias("c")).where(F.col("c") >= confidence)
+        mass = per_kind
+        if found is not None:
+            more = free.join(found, "value").groupBy(*key, "kind").agg(F.count("*").alias("s"), F.sum("score").alias("g"))
+            mass = per_kind.unionByName(more).groupBy(*key, "kind").agg(F.sum("s").alias("s"), F.sum("g").alias("g"))
+        trust = mass.where(F.col("s") >= support).join(everything, key).select(*key, "kind", (F.col("g") / (F.col("n") + PRIOR)).alias("c")).where(F.col("c") >= confidence)
         score = free.join(trust, key).groupBy("value", "kind").agg(F.count("*").alias("patterns"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))).alias("score"))
-        scores = stored(score)
-    best = scores.where((F.col("score") >= accept) & (F.col("patterns") >= AGREEING)).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b"))
-    return best.select("value", F.col("b.kind").alias("kind"))
+        best = score.where((F.col("score") >= accept) & (F.col("patterns") >= AGREEING)).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b"))
+        found = stored(best.select("value", F.col("b.kind").alias("kind"), F.col("b.score").alias("score")))
+    return found.select("value", "kind")
 
 
 def find_private(docs: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def find_private(docs: DataFrame) -> DataFrame:
     exclusive, each sorted. Defined cases: null text is empty text and has no spans; documents are told apart by
     doc_id and text, so repeated rows give repeated rows and a null doc_id is a document like others; a text
     without digit or at sign is passed by; other columns are not read. A candidate that overlaps a base span
-    is never added, and a text of any length takes time linear in it.
+    is never added, and a text of any length takes time linear in it. An empty table gives an empty one.
     """
     kept, found = _spans(docs)
     found = stored(found)
