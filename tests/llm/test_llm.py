@@ -172,7 +172,7 @@ def test_private_discovery_matches_brute_force(spark):
     """Seeds stand after tel; unseen numbers after tel are found, and by them those that stand in a context of their own only; decoys stay."""
     rng = random.Random(11)
     long = "x" * 200
-    seeds = [("phone", f"+1 555 {i:06d}", "tel", "now") for i in range(60)] + [("email", f"u{i}@a.b", "mail", long) for i in range(40)]
+    seeds = [("phone", f"+1 555 {i:06d}", "tel", "now") for i in range(160)] + [("email", f"u{i}@a.b", "mail", long) for i in range(40)]
     first = [("candidate", f"05-{i}", "tel", "now") for i in range(24)] + [("candidate", f"m{i}(at)c3", "mail", long) for i in range(6)]
     second = [("candidate", f"05-{i}", "ring", "soon") for i in range(24)] + [("candidate", f"06-{i}", "ring", "soon") for i in range(2)]
     decoys = [("candidate", f"p{i}", rng.choice(["page", "tel", "see"]), rng.choice(["of", "is"])) for i in range(40)] + [("candidate", "m77", "mail", "x" * 100)]
