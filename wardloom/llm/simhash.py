@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import connected_components, local_components, long_array, stored, texts
+from wardloom.llm.common import connected_components, local_components, long_array, stored, texts, unused
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: First bit and width of each block. Two fingerprints within 4 bits differ by one bit at most in one of three blocks.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 #: Fingerprints of one anchor that are compared in one tile, and pairs held at a time.
 TILE, PAIRS = 4096, 1_000_000
+#: Near-duplicate documents: words of a shingle, least Jaccard similarity, chance that a pair of just that similarity meets at no anchor,
+#: and bits of the sketch by which candidates are compared before their shingles are.
+NEAR_SHINGLE, SIMILAR, MISS, SKETCH = 5, 0.8, 0.03, 128
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -68,88 +72,110 @@ def _steps(width: int) -> list[np.ndarray]:
     return [reach[s == k] for k in range(16)]
 
 
-def anchored(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, row, home): every anchor that each fingerprint goes to, and if it is the fingerprint's own."""
+def anchored(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, row, home) of the words of one block: every anchor that each word goes to, and if it is the word's own."""
     anchors, rows, homes = [], [], []
-    for k, (first, width) in enumerate(BLOCKS):
-        word = ((fps >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64)
-        s = _syndrome(word)
-        home = np.where(s > 0, word ^ (1 << np.maximum(s - 1, 0)), word)
-        for v, steps in enumerate(_steps(width)):
-            at = np.flatnonzero(s == v)
-            a = word[at][:, None] ^ steps[None, :]
-            anchors.append((a | (k << 24)).ravel())
-            rows.append(np.repeat(at, len(steps)))
-            homes.append((a == home[at][:, None]).ravel())
+    s = _syndrome(words)
+    home = np.where(s > 0, words ^ (1 << np.maximum(s - 1, 0)), words)
+    for v, steps in enumerate(_steps(width)):
+        at = np.flatnonzero(s == v)
+        a = words[at][:, None] ^ steps[None, :]
+        anchors.append(a.ravel())
+        rows.append(np.repeat(at, len(steps)))
+        homes.append((a == home[at][:, None]).ravel())
     return np.concatenate(anchors), np.concatenate(rows), np.concatenate(homes)
 
 
-def _near(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between the homes and all fingerprints of each anchor, the rows being sorted by anchor; a bounded number of pairs at a time."""
-    starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    lengths = np.diff(np.append(starts, len(anchor)))
-    group = np.repeat(np.arange(len(starts)), lengths)
+def _meetings(group: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the homes and of all rows of their group, the rows being sorted by group; a bounded number of pairs at a time."""
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    lengths = np.diff(np.append(starts, len(group)))
+    number = np.repeat(np.arange(len(starts)), lengths)
     own = np.flatnonzero(home)
-    total = np.concatenate([[0], np.cumsum(lengths[group[own]])])
+    total = np.concatenate([[0], np.cumsum(lengths[number[own]])])
     at = 0
     while at < len(own):
         to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
         h = own[at:to]
-        n = lengths[group[h]]
+        n = lengths[number[h]]
         left = np.repeat(h, n)
-        right = np.repeat(starts[group[h]], n) + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
-        keep = np.bitwise_count(fp[left] ^ fp[right]) <= bits
-        keep &= fp[left] != fp[right]
-        yield fp[left[keep]], fp[right[keep]]
+        yield left, np.repeat(starts[number[h]], n) + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
         at = to
 
 
-def _tiles(bits: int):
-    """Over partitions sorted by anchor and tile: links, cut down to a forest before they leave the task."""
-
-    def forest(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        a, b = (np.concatenate(x).view(np.int64) for x in zip(*held))
-        nodes, roots = local_components(a, b)
-        keep = nodes != roots
-        return nodes[keep].view(np.uint64), roots[keep].view(np.uint64)
+def _tiles(compare: Callable[[dict, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], cut: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
+    """Over partitions sorted by group: the links that compare finds, cut down now and then and before they leave the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        rest: tuple[np.ndarray, ...] | None = None
+        rest: dict[str, np.ndarray] | None = None
 
-        def take(a: np.ndarray, f: np.ndarray, h: np.ndarray) -> None:
+        def take(rows: dict[str, np.ndarray]) -> None:
             nonlocal held, size
-            for pair in _near(a, f, h, bits):
-                held.append(pair)
-                size += len(pair[0])
+            for left, right in _meetings(rows["group"], rows["home"]):
+                held.append(compare(rows, left, right))
+                size += len(held[-1][0])
                 if size > 4 * PAIRS:
-                    held = [forest(held)]
+                    held = [cut(*(np.concatenate(x) for x in zip(*held)))]
                     size = len(held[0][0])
 
         for b in batches:
-            got = (b.column("group").to_numpy(), b.column("fp").to_numpy().view(np.uint64), b.column("home").to_numpy(zero_copy_only=False))
+            got = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
             if rest is not None:
-                got = tuple(np.concatenate(x) for x in zip(rest, got))
-            cut = int(np.searchsorted(got[0], got[0][-1])) if len(got[0]) else 0  # the last group may go on
-            if cut:
-                take(*(x[:cut] for x in got))
-            rest = tuple(x[cut:] for x in got)
-        if rest is not None and len(rest[0]):
-            take(*rest)
+                got = {c: np.concatenate([rest[c], x]) for c, x in got.items()}
+            to = int(np.searchsorted(got["group"], got["group"][-1])) if len(got["group"]) else 0  # the last group may go on
+            if to:
+                take({c: x[:to] for c, x in got.items()})
+            rest = {c: x[to:] for c, x in got.items()}
+        if rest is not None and len(rest["group"]):
+            take(rest)
         if size:
-            a, b = forest(held)
-            yield pa.record_batch([long_array(a), long_array(b)], names=["a", "b"])
+            a, b = cut(*(np.concatenate(x) for x in zip(*held)))
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    nodes, roots = local_components(a, b)
+    keep = nodes != roots
+    return nodes[keep], roots[keep]
+
+
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+    return low[new], high[new]
+
+
+def _dealt(rows: DataFrame, name: str, tile: int) -> DataFrame:
+    """rows(anchor, home, name, ...) with their group instead of the anchor, dealt out and sorted by it.
+
+    An anchor with more than ``tile`` rows becomes tiles (i, j) of the homes of part i against all of part j, so that no task holds it whole.
+    """
+    counts = rows.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    hot = stored(counts.select("anchor", F.ceil(F.col("n") / tile).cast("int").alias("k")))
+    others = [c for c in rows.columns if c not in ("anchor", "home")]
+    if hot.isEmpty():
+        dealt = rows.withColumnRenamed("anchor", "group")
+    else:
+        k = F.coalesce("k", F.lit(1))
+        parted = rows.join(hot, "anchor", "left").withColumns({"k": k, "part": F.pmod(F.xxhash64(name, F.lit("tile")), k).cast("long")})
+        every = parted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k").cast("long") - 1)))
+        homes = every.where("home").select(F.xxhash64("anchor", F.col("part").alias("i"), F.col("other").alias("j")).alias("group"), F.lit(True).alias("home"), *others)
+        rest = every.select(F.xxhash64("anchor", F.col("other").alias("i"), F.col("part").alias("j")).alias("group"), F.lit(False).alias("home"), *others)
+        dealt = homes.unionByName(rest)
+    return dealt.repartition("group").sortWithinPartitions("group")
+
+
 def near_fingerprints(fps: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     """Links (a, b) between distinct fingerprints fps(fp) within ``bits`` of each other: a forest of them in each task.
 
     Every fingerprint goes to each anchor within the covering radius plus threshold of each block and is
-    compared with those whose home the anchor is. An anchor with more than ``tile`` fingerprints is dealt
-    out in tiles of homes against all, so that no task holds it whole.
+    compared with those whose home the anchor is.
     """
     if bits > 4:
         raise ValueError("three blocks cover 4 differing bits at most")
@@ -158,24 +184,19 @@ def near_fingerprints(fps: DataFrame, bits: int = BITS, tile: int = TILE) -> Dat
         for whole in batches:
             for i in range(0, whole.num_rows, 4096):
                 fp = whole.slice(i, 4096).column("fp").to_numpy().view(np.uint64)
-                anchor, row, home = anchored(fp)
-                yield pa.record_batch([pa.array(anchor), long_array(fp[row]), pa.array(home)], names=["anchor", "fp", "home"])
+                for k, (first, width) in enumerate(BLOCKS):
+                    word = ((fp >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                    anchor, row, home = anchored(word, width)
+                    yield pa.record_batch([pa.array(anchor | (k << 24)), long_array(fp[row]), pa.array(home)], names=["anchor", "fp", "home"])
+
+    def compare(rows: dict, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fp = rows["fp"].view(np.uint64)
+        apart = np.bitwise_count(fp[left] ^ fp[right])
+        keep = (apart <= bits) & (apart > 0)
+        return rows["fp"][left[keep]], rows["fp"][right[keep]]
 
     rows = fps.mapInArrow(spread, "anchor long, fp long, home boolean")
-    counts = rows.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > tile)
-    hot = stored(counts.select("anchor", F.ceil(F.col("n") / tile).cast("int").alias("k")))
-    part = F.xxhash64("fp", F.lit("tile"))
-    if hot.isEmpty():
-        dealt = rows.select(F.col("anchor").alias("group"), "fp", "home")
-    else:
-        k = F.coalesce("k", F.lit(1))
-        rows = rows.join(hot, "anchor", "left").withColumns({"k": k, "part": F.pmod(part, k)})
-        # tile (i, j): homes of part i against all of part j; i * 2^14 + j tells tiles apart
-        every = rows.select("anchor", "fp", "part", "home", F.explode(F.sequence(F.lit(0), k - 1)).alias("other"))
-        homes = every.where("home").select("anchor", "fp", F.lit(True).alias("home"), F.col("part").alias("i"), F.col("other").alias("j"))
-        others = every.select("anchor", "fp", F.lit(False).alias("home"), F.col("other").alias("i"), F.col("part").alias("j"))
-        dealt = homes.unionByName(others).select(F.xxhash64("anchor", "i", "j").alias("group"), "fp", "home")
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_tiles(bits), "a long, b long")
+    return _dealt(rows, "fp", tile).mapInArrow(_tiles(compare, _forest), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
@@ -197,8 +218,124 @@ def simhash_components(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE
     return own.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles(text: str, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of all word shingles. bytes.lower() and .split() know ASCII alone, as in the fingerprints."""
+    words = text.encode().lower().split()
+    n = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
+
+
+def wide_fingerprint(h: np.ndarray, n_bits: int) -> np.ndarray:
+    """Majority bits of the hashes h, as many as are asked for, as 0 and 1; each 64 of them come from another mixing of the hashes."""
+    counts = np.zeros(-(-n_bits // 64) * 64, np.int64)
+    for at in range(0, len(h), 8192):
+        for k in range(len(counts) // 64):
+            x = (h[at : at + 8192] + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(29)
+            counts[64 * k : 64 * k + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return (2 * counts > len(h)).astype(np.uint8)[:n_bits]
+
+
+def blocks_for(n: int, similar: float = SIMILAR, miss: float = MISS) -> tuple[int, int, float]:
+    """(blocks, bits of each, share of differing bits): of fingerprints of n documents, so that a pair of the least similarity meets but for the chance ``miss``.
+
+    Sets of one size and Jaccard similarity s have vectors at the angle acos(2 s / (1 + s)), of which a bit differs with chance angle / pi. A block meets if it
+    differs in one bit at most. Its width grows with n, so that the documents of an anchor stay a few dozens.
+    """
+    width = min(40, max(15, math.ceil(math.log2(max(2, n))) - 2))
+    p = math.acos(2 * similar / (1 + similar)) / math.pi
+    meet = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    return (1 if meet >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - meet)))), width, p
+
+
+def near_documents(docs: DataFrame, similar: float = SIMILAR, shingle: int = NEAR_SHINGLE, miss: float = MISS, tile: int = TILE) -> DataFrame:
+    """(doc_id, component_id): the documents that are not the first of their component of verified links.
+
+    Texts with one set of shingles are one class, named by its smallest doc_id; classes are linked, not their copies. A fingerprint of the
+    set is long enough for a number of blocks, in each of which it goes to the anchors of a covering code as in ``near_fingerprints``;
+    classes that meet at an anchor and whose sketches are close are candidates, and a
+    link is a pair of candidates of Jaccard similarity ``similar`` or more. First the pair of each class with its
+    smallest candidate is verified, then all pairs that these links leave in two components, so that a large group of near
+    copies is not compared pair by pair. No anchor is cut.
+
+    Defined cases: null text is empty text; a text of fewer words than a shingle is one shingle; a text of any length is read whole; a null doc_id is in no class; repeated rows are
+    one document; a doc_id with unlike texts is in the component of each, the smallest counting; an empty table gives an empty one.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks, width, p = blocks_for(rows.count(), similar, miss)
+    sketch = min(SKETCH, blocks * width)
+    limit = math.floor(sketch * p + 5 * math.sqrt(sketch * p * (1 - p)))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(x, shingle) for x in texts(b.column("text"))]
+            fps = [np.packbits(wide_fingerprint(h, blocks * width), bitorder="little").tobytes() for h in found]
+            yield pa.record_batch([b.column("doc_id"), pa.array([xxhash.xxh128_digest(h.tobytes()) for h in found], pa.binary()), pa.array(fps, pa.binary())], names=["doc_id", "digest", "fp"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = 1 << np.arange(width, dtype=np.int64)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                b = whole.slice(i, 1000)
+                if not b.num_rows:
+                    continue
+                ids = b.column("least").to_numpy()
+                packed = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(len(ids), -1)
+                bits = np.unpackbits(packed, axis=1, bitorder="little")[:, : blocks * width]
+                first = np.zeros((len(ids), 2 * 64), np.uint8)
+                first[:, :sketch] = bits[:, :sketch]
+                s = np.packbits(first, axis=1, bitorder="little").view("<i8")
+                for k in range(blocks):
+                    anchor, row, home = anchored(bits[:, k * width : (k + 1) * width] @ powers, width)
+                    yield pa.record_batch([pa.array(anchor | (k << 48)), pa.array(ids[row]), pa.array(s[row, 0]), pa.array(s[row, 1]), pa.array(home)], names=["anchor", "id", "s0", "s1", "home"])
+
+    def compare(r: dict, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = sum(np.bitwise_count((r[c][left] ^ r[c][right]).view(np.uint64)).astype(np.int16) for c in ("s0", "s1"))
+        keep = (apart <= limit) & (r["id"][left] != r["id"][right])
+        return r["id"][left[keep]], r["id"][right[keep]]
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(x, shingle) for x in texts(b.column("text"))]
+            yield pa.record_batch([b.column("doc_id"), pa.array([xxhash.xxh128_digest(h.tobytes()) for h in found], pa.binary()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["doc_id", "digest", "own"])
+
+    signed = stored(rows.mapInArrow(sign, "doc_id long, digest binary, fp binary"))
+    classes = stored(signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
+    anchors = classes.select("least", "fp").mapInArrow(spread, "anchor long, id long, s0 long, s1 long, home boolean")
+    pairs = stored(_dealt(anchors, "id", tile).mapInArrow(_tiles(compare, _once), "a long, b long").distinct())
+    wanted = classes.select("least", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("least")).distinct(), "least")
+    # a doc_id may stand in several rows of unlike text, so the digest is compared too
+    found = rows.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, digest binary, own array<long>")
+    sets = stored(found.join(wanted.withColumnRenamed("least", "doc_id"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "own"))
+
+    def verified(some: DataFrame) -> DataFrame:
+        both = some.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared >= F.lit(similar) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    first = stored(verified(pairs.groupBy(F.col("b").alias("b")).agg(F.min("a").alias("a"))))
+    reach = stored(connected_components(first))
+    left, right = (reach.select(F.col("id").alias(c), F.col("component").alias(f"{c}c")) for c in ("a", "b"))
+    open_ = pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
+    reach = connected_components(first.unionByName(stored(verified(open_))))
+    copies = signed.join(classes.select("digest", "least"), "digest").select("doc_id", "least")
+    labelled = copies.join(reach, copies["least"] == reach["id"], "left").select("doc_id", F.coalesce("component", "least").alias("component_id"))
+    return labelled.where("doc_id <> component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def _first_only(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the doc_ids of gone, each text of a doc_id once."""
+    (name,) = unused(docs, "gone")
+    gone = stored(gone.select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti").dropDuplicates(["doc_id", "text"])
+
+
+def dedup_near(docs: DataFrame, similar: float = SIMILAR, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """One document of each component of ``near_documents`` stays: the one with its smallest doc_id. A row with a null doc_id stays; a repeated row stays once."""
+    return _first_only(docs, near_documents(docs, similar, shingle))
+
+
 def dedup_simhash(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component stays: the one with its smallest doc_id. A row with a null doc_id stays."""
-    found = simhash_components(docs, bits, shingle)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]).dropDuplicates(["doc_id", "text"])
+    """One document of each component of fingerprints stays: the one with its smallest doc_id. A row with a null doc_id stays; a repeated row stays once."""
+    return _first_only(docs, simhash_components(docs, bits, shingle).where("doc_id <> component_id"))
