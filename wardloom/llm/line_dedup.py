@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import SPACE, long_array, mapped, stored, texts, without
+from wardloom.llm.common import SPACE, long_array, mapped, stored, texts, unused, without
 
 MIN_POINTS, MIN_DOCS = 20, 3
 #: Batches that the operator feeds to the runs, and runs that a level holds before they are merged.
@@ -112,28 +112,29 @@ def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = M
     that min_docs documents hold loses all its lines but those of the largest doc_id that holds it.
     Defined cases: null or empty text is one empty line; rows with the same doc_id are one document
     when documents are counted, and each keeps its own row; a null doc_id is one document, below all
-    others; an empty table gives an empty table; a column of docs named n_lines or n_dropped is replaced,
-    all other columns are carried.
+    others; of the documents that hold a line the largest doc_id keeps all its copies of it; texts of any length are read whole; an
+    empty table gives an empty table; a column of docs named n_lines or n_dropped is replaced, all other columns are carried, whatever their names.
     """
     spark = docs.sparkSession
     docs = without(docs, "n_lines", "n_dropped")
     lines = line_hashes(docs, min_points).distinct()
-    lines = stored(lines.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")))
+    lines = stored(lines.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "batch")
     runs = LineRuns(spark)
     for i in range(batches):
         runs.add(lines.where(F.col("batch") == i).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")))
     heavy = stored(runs.totals(min_docs))
     runs.drop()
     drops = lines.join(heavy, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
-    drops = drops.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("h1").alias("__h1"), F.collect_list("h2").alias("__h2"))
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__doc"]), "left").drop("__doc")
+    doc, left, right = unused(docs, "doc", "left", "right")
+    drops = drops.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("h1").alias(left), F.collect_list("h2").alias(right))
+    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops[doc]), "left").drop(doc)
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, n_lines, n_dropped = [], [], []
-            for text, h1, h2 in zip(texts(b.column("text")), b.column("__h1"), b.column("__h2")):
+            for text, h1, h2 in zip(texts(b.column("text")), b.column(left), b.column(right)):
                 own = text.split("\n")
                 n_lines.append(len(own))
                 if h1.is_valid:
