@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import long_array, mapped, stored, texts, without
+from wardloom.llm.common import long_array, mapped, stored, texts, unused, without
 
 #: Words of a repeat at least, and words of an anchor.
 WINDOW, ANCHOR = 35, 16
@@ -222,18 +222,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     A word goes if a window of ``window`` words that holds it starts anywhere else too, in the same text
     or another row; windows are judged on the input. Defined cases: null text has no words; repeated rows are other places, so
     a text of ``window`` words or more in two rows goes whole; doc_id is not read; columns named n_words or
-    n_removed are replaced, all others are carried; an empty table gives an empty one.
+    n_removed are replaced, all others are carried, whatever their names; texts of any length are read whole; an empty table gives an empty one.
     """
     docs = without(docs, "n_words", "n_removed").withColumn("text", F.col("text").cast("string"))
     names = docs.columns
     at = names.index("text")
-    found = stored(repeated_windows(docs, window, anchor)).select(F.col("t").alias("__t"), F.col("starts").alias("__starts"), F.col("whole").alias("__whole"))
-    joined = docs.join(found, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__t"), "left").drop("__t")
+    t_, starts_, whole_ = unused(docs, "t", "starts", "whole")
+    found = stored(repeated_windows(docs, window, anchor)).select(F.col("t").alias(t_), F.col("starts").alias(starts_), F.col("whole").alias(whole_))
+    joined = docs.join(found, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(t_), "left").drop(t_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, n_words, n_removed = [], [], []
-            for text, starts, whole in zip(texts(b.column("text")), b.column("__starts").to_pylist(), b.column("__whole").to_pylist()):
+            for text, starts, whole in zip(texts(b.column("text")), b.column(starts_).to_pylist(), b.column(whole_).to_pylist()):
                 words = text.encode().split()
                 n = len(words)
                 gone = np.zeros(n, bool)
