@@ -19,6 +19,8 @@ from wardloom.llm.common import mapped, texts, without
 #: Units are kept by text up to this length, and up to twice so many of them in each Python worker.
 MEMO_CHARS, MEMO_UNITS = 48, 300_000
 BLANK = "▁"
+#: Characters and blanks that a normaliser would change.
+PROBE = " ﬁ Ａ①é e\u0301 İ ½  x\u00a0\t\u200b\n y "
 
 
 class PieceCodec:
@@ -34,6 +36,8 @@ class PieceCodec:
 
     def __init__(self, model_file: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        if sp.normalize(PROBE) != BLANK + PROBE.replace(" ", BLANK) or not sp.vocab_size():
+            raise ValueError("only models that leave a text as it is, but for a blank before it, are encoded here")
         self.pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
         self.bos, self.eos, self.unk = sp.bos_id(), sp.eos_id(), sp.unk_id()
         normal = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
@@ -150,7 +154,8 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
 
     One pass in Arrow batches, no shuffle; whole texts, in time linear in their length. Defined cases:
     null text is empty text, which has the begin and end ids alone; other rows and columns, repeated or
-    null, are carried; columns of docs with the names of the new ones are replaced.
+    null, are carried; columns of docs with the names of the new ones are replaced; an empty table gives an empty one. A model
+    that normalises texts raises ValueError.
     """
     docs = without(docs, "ids", "n_tokens", "decoded")
     names = docs.columns
