@@ -56,9 +56,21 @@ def test_text_operators(spark, name):
     assert empty.count() == 0 and {"doc_id", "odd name.x", "t"} <= set(empty.columns)
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_clashing_names_and_repeated_rows(spark, name):
+    """Every column keeps its values though it is named like one that some operator makes for itself; repeated rows stay or go together."""
+    extra = ("__t", "__h1", "__doc", "__starts", "__key", "t", "key", "doc", "left", "right", "starts", "whole", "th", "Gone", "rep", "ord", "tokens", "text_")
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in extra)
+    rows = [(i, text, *[f"{n}{i}" for n in extra]) for i, text in ((1, "one two three"), (1, "one two three"), (2, "ein zwei drei"), (None, "x"))]
+    out = OPERATORS[name](spark.createDataFrame(rows, schema)).collect()
+    for r in out:
+        assert all(r[n] == f"{n}{r['doc_id']}" for n in extra)
+    assert sorted(r["doc_id"] or 0 for r in out if r["doc_id"] == 1) in ([1, 1], [1] if name == "simhash" else [], [])
+
+
 def test_vectors(spark):
-    rows = [(1, [1.0, 0.0], 3, "a", 9), (2, [1.0, 0.01], 3, None, None), (None, None, None, None, 1)]
-    schema = "vec_id long, embedding array<float>, label int, rep string, n_links int"
-    out = {r["vec_id"]: (r["n_links"], r["rep"]) for r in link_embeddings(spark.createDataFrame(rows, schema)).collect()}
-    assert out == {1: (1, "a"), 2: (1, None), None: (0, None)}
+    rows = [(1, [1.0, 0.0], 3, "a", 9, "k"), (2, [1.0, 0.01], 3, None, None, "k"), (None, None, None, None, 1, "k")]
+    schema = "vec_id long, embedding array<float>, label int, rep string, n_links int, __k1 string"
+    out = {r["vec_id"]: (r["n_links"], r["rep"], r["__k1"]) for r in link_embeddings(spark.createDataFrame(rows, schema)).collect()}
+    assert out == {1: (1, "a", "k"), 2: (1, None, "k"), None: (0, None, "k")}
     assert link_embeddings(spark.createDataFrame([], schema)).count() == 0

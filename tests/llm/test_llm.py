@@ -438,6 +438,20 @@ def test_katz_sums_to_one_and_matches_recursion(spark, prose):
     assert {r["n_known"] for r in katz.score(docs, nothing, F.lit(False)).collect()} == {0}
 
 
+def test_katz_knows_few_hot_words(spark):
+    """In small bundles all words fill much of their bundle; those that are rare overall are not hot, and the scores do not depend on it."""
+    texts_ = [f"u{i} v{i} common" for i in range(600)]
+    docs = table(spark, texts_).repartition(60)
+    keyed = katz._keyed(docs, F.lit(True))
+    hot = katz._hot_words(keyed, 64)
+    assert 0 < len(hot) <= 5
+    model = katz.fit(docs, F.lit(True))
+    scores = {round(r["score"], 9) for r in katz.score(docs, model, F.lit(True)).collect()}
+    assert len(scores) == 1
+    model.drop(spark)
+    assert not spark.catalog.tableExists(model.table)
+
+
 def test_simhash(spark, prose):
     def fingerprint(text):
         w = words(lower(text or ""))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import documents
+from wardloom.llm.common import documents, stored
 from wardloom.llm.decontaminate import contamination
 from wardloom.llm import katz
 from wardloom.llm.line_dedup import dedup_lines
@@ -72,7 +72,9 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = F.col("doc_id").isNotNull() & ~test
     model = katz.fit(docs, train)
     scored = katz.score(docs, model, train)
-    return scored.select("doc_id", test.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    found = stored(scored.select("doc_id", test.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"))
+    model.drop(spark)
+    return found
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm.common import stored, texts, without
+from wardloom.llm.common import drop_stored, stored, texts, unused, without
 
 #: Counts up to TOP are discounted by Good-Turing; larger ones by as much as TOP is.
 TOP = 5
@@ -81,16 +81,29 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[_Bundle]:
 
 
 def _heavy(buckets: int):
-    """Words that make up much of a bundle. One that does so overall does in some bundle."""
+    """(word, n): words that make up much of a bundle and their counts there, and a null word with the bundle's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _bundles(batches):
             word, n = np.unique(b.word, return_counts=True)
-            yield pa.record_batch([pa.array(word[n * HOT * buckets > len(b.word)].view(np.int64))], names=["word"])
+            much = n * HOT * buckets > len(b.word)
+            yield pa.record_batch([pa.array([None, *word[much].view(np.int64).tolist()], pa.int64()), pa.array([len(b.word), *n[much].tolist()], pa.int64())], names=["word", "n"])
 
     return run
 
 
+def _hot_words(keyed: DataFrame, buckets: int) -> np.ndarray:
+    """Words that would crowd a bucket: those whose counts in bundles that they fill reach a part of all tokens.
+
+    A word with 1.5 / (HOT * buckets) of the tokens is among them, and there are at most 2 * HOT * buckets of them, since their counts sum to all tokens at most.
+    """
+    sums = stored(keyed.mapInArrow(_heavy(buckets), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = sums.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = [r["word"] for r in sums.where("word is not null").where(F.col("n") * (2 * HOT * buckets) >= total).collect()]
+    drop_stored(sums)
+    return np.array(hot, np.int64).view(np.uint64)
+
+
 def _bucket(word: np.ndarray, before: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
     key = np.where(np.isin(word, hot), word ^ (before * MIX), word) * MIX
     return ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
@@ -211,6 +224,12 @@ class Katz:
     unknown: float
     hot: dict[int, float]
 
+    def drop(self, spark: SparkSession) -> None:
+        """Deletes the model's tables; no plan that reads them can run afterwards."""
+        spark.sql(f"drop table if exists {self.table}")
+        if self.backoff is not None:
+            drop_stored(self.backoff)
+
     def single(self, count: np.ndarray) -> np.ndarray:
         """P(word) by its training count; all unseen words share what the discounts leave."""
         return np.where(count > 0, self.singles(count) / max(self.tokens, 1), self.unknown)
@@ -234,15 +253,18 @@ def fit(docs: DataFrame, train: Column) -> Katz:
 
     One pass packs each bundle of texts into pairs of neighbouring words and writes them to a table
     bucketed by the second word; words so frequent that they would crowd a bucket are spread by both
-    words (at most HOT times the buckets of them exist). Later passes read the table bucket by bucket without a shuffle: one
+    words (see ``_hot_words``). Later passes read the table bucket by bucket without a shuffle: one
     for counts of counts, one for the discounts and lower-order mass of each context, summed to the
     backoff table. A backoff weight is the mass taken off a context's pairs over the lower-order mass of the words
     not seen after it, so the probabilities after each context, one unknown word included, sum to 1.
+    Rows for which train does not hold teach nothing, but can be scored: documents to be scored are among docs. The tables stay until ``drop``.
+    Defined cases: a null text is empty; a null train is false; repeated rows count again; texts are read whole; without
+    training rows the model knows no word; other columns are not read.
     """
     spark = docs.sparkSession
     keyed = _keyed(docs, train)
     buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hot = np.array([r["word"] for r in keyed.mapInArrow(_heavy(buckets), "word long").distinct().collect()], np.int64).view(np.uint64)
+    hot = _hot_words(keyed, buckets)
     name = f"ngrams_{uuid.uuid4().hex}"
     keyed.mapInArrow(_grams(buckets, hot), "bucket int, bundle long, payload binary, head binary").write.option("compression", "zstd").bucketBy(buckets, "bucket").saveAsTable(name)
     texts_ = int(keyed.where("train").count())
@@ -295,7 +317,8 @@ def score(docs: DataFrame, model: Katz, train: Column) -> DataFrame:
     probability; after an unseen context it is the word's own. A text's score is summed in the words' buckets:
     what a pair gives there, less the count of each word as the next one's context; unseen pairs alone are sent on to the
     backoff table. Defined cases: null text is empty and has its end token alone; score and counts follow from the
-    text, so repeated rows repeat; with nothing to learn from, every token is the unknown word.
+    text, so repeated rows repeat; texts of any length are read whole; with nothing to learn from, every token is the unknown word; an empty table
+    gives an empty one; columns of docs with the names of the new ones are replaced, all others are carried.
     """
     spark = docs.sparkSession
     n_texts = max(model.texts, 1)
@@ -352,8 +375,10 @@ def score(docs: DataFrame, model: Katz, train: Column) -> DataFrame:
     own = sums.unionByName(heads).groupBy("bundle").applyInArrow(settle, "t long, place long, n_tokens long, score double, base_score double, n_known long")
     unseen = _buckets(spark, model.table).applyInArrow(parts("unseen"), "context long, place long, n double")
     more = unseen.join(backoff, "context").groupBy("place").agg(F.sum(F.col("n") * F.col("weight")).alias("more"))
-    scores = own.join(more, "place", "left").select(F.col("t").alias("__t"), "n_tokens", "n_known", "base_score", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    scores = scores.groupBy("__t").agg(*[F.min(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     docs = without(docs, "n_tokens", "n_known", "base_score", "score")
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.withColumn("__key", key).drop("text").join(scores, F.col("__key") == F.col("__t")).drop("__key", "__t")
+    t, key = unused(docs, "t", "key")
+    scores = own.join(more, "place", "left").select(F.col("t").alias(t), "n_tokens", "n_known", "base_score", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    scores = scores.groupBy(t).agg(*[F.min(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    # each text has one row of scores, so that copies of one text, however many, only repeat its key on one side
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return keyed.join(scores, F.col(key) == F.col(t)).drop(key, t)
