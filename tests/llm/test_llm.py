@@ -505,7 +505,7 @@ def test_near_documents_match_brute_force(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()}
     assert kept == {i for i, r in enumerate(root) if r == i} | {None}
     assert near_documents(docs.limit(0)).count() == 0
-    assert {r["doc_id"]: r["component_id"] for r in near_documents(docs, tile=5).collect()} == got
+    assert {r["doc_id"]: r["component_id"] for r in near_documents(docs, tile=5, tile_docs=3).collect()} == got
 
 
 def test_near_documents_at_the_least_similarity(spark):

@@ -21,6 +21,8 @@ TILE, PAIRS = 4096, 1_000_000
 #: Near-duplicate documents: words of a shingle, least Jaccard similarity, chance that a pair of just that similarity meets at no anchor,
 #: and bits of the sketch by which candidates are compared before their shingles are.
 NEAR_SHINGLE, SIMILAR, MISS, SKETCH = 5, 0.8, 0.03, 128
+#: Standard errors by which a candidate's sketch may differ more than that of the least similarity, documents of a tile whose shingles are compared, and shingles at a time.
+ERRORS, DOCS, COLUMNS = 3, 512, 4096
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -103,8 +105,8 @@ def _meetings(group: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray,
         at = to
 
 
-def _tiles(compare: Callable[[dict, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], cut: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
-    """Over partitions sorted by group: the links that compare finds, cut down now and then and before they leave the task."""
+def _tiles(compare: Callable[[dict, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
+    """Over partitions sorted by group: the links that compare finds, cut down to a forest before they leave the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -117,7 +119,7 @@ def _tiles(compare: Callable[[dict, np.ndarray, np.ndarray], tuple[np.ndarray, n
                 held.append(compare(rows, left, right))
                 size += len(held[-1][0])
                 if size > 4 * PAIRS:
-                    held = [cut(*(np.concatenate(x) for x in zip(*held)))]
+                    held = [_forest(*(np.concatenate(x) for x in zip(*held)))]
                     size = len(held[0][0])
 
         for b in batches:
@@ -131,7 +133,7 @@ def _tiles(compare: Callable[[dict, np.ndarray, np.ndarray], tuple[np.ndarray, n
         if rest is not None and len(rest["group"]):
             take(rest)
         if size:
-            a, b = cut(*(np.concatenate(x) for x in zip(*held)))
+            a, b = _forest(*(np.concatenate(x) for x in zip(*held)))
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
@@ -143,14 +145,6 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], roots[keep]
 
 
-def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((high, low))
-    low, high = low[order], high[order]
-    new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-    return low[new], high[new]
-
-
 def _dealt(rows: DataFrame, name: str, tile: int) -> DataFrame:
     """rows(anchor, home, name, ...) with their group instead of the anchor, dealt out and sorted by it.
 
@@ -196,7 +190,7 @@ def near_fingerprints(fps: DataFrame, bits: int = BITS, tile: int = TILE) -> Dat
         return rows["fp"][left[keep]], rows["fp"][right[keep]]
 
     rows = fps.mapInArrow(spread, "anchor long, fp long, home boolean")
-    return _dealt(rows, "fp", tile).mapInArrow(_tiles(compare, _forest), "a long, b long")
+    return _dealt(rows, "fp", tile).mapInArrow(_tiles(compare), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
@@ -249,15 +243,46 @@ def blocks_for(n: int, similar: float = SIMILAR, miss: float = MISS) -> tuple[in
     return (1 if meet >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - meet)))), width, p
 
 
-def near_documents(docs: DataFrame, similar: float = SIMILAR, shingle: int = NEAR_SHINGLE, miss: float = MISS, tile: int = TILE) -> DataFrame:
+def _jaccard_tile(similar: float):
+    """Of two parts of a candidate group: a forest of the links between documents of either, by the sizes of their shared shingles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        part, ids = (table.column(c).to_numpy() for c in ("part", "id"))
+        own = table.column("own").combine_chunks()
+        lengths = own.value_lengths().to_numpy()
+        _, column, times = np.unique(own.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(ids)), lengths)
+        again = times > 1  # a shingle of one document is shared with none
+        number = np.cumsum(again) - 1
+        keep = again[column]
+        row, column = row[keep], number[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        shared = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, int(again.sum()), COLUMNS):
+            lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+            x = np.zeros((len(ids), COLUMNS), np.float32)
+            x[row[lo:hi], column[lo:hi] - at] = 1
+            shared += x[a] @ x[b].T
+        shared = shared.astype(np.float64)
+        linked = (shared >= similar * (lengths[a][:, None] + lengths[b][None, :] - shared)) & (ids[a][:, None] != ids[b][None, :])
+        left, right = np.nonzero(linked)
+        nodes, roots = _forest(ids[a[left]], ids[b[right]])
+        return pa.table({"a": nodes, "b": roots})
+
+    return run
+
+
+def near_documents(docs: DataFrame, similar: float = SIMILAR, shingle: int = NEAR_SHINGLE, miss: float = MISS, tile: int = TILE, tile_docs: int = DOCS) -> DataFrame:
     """(doc_id, component_id): the documents that are not the first of their component of verified links.
 
     Texts with one set of shingles are one class, named by its smallest doc_id; classes are linked, not their copies. A fingerprint of the
     set is long enough for a number of blocks, in each of which it goes to the anchors of a covering code as in ``near_fingerprints``;
-    classes that meet at an anchor and whose sketches are close are candidates, and a
-    link is a pair of candidates of Jaccard similarity ``similar`` or more. First the pair of each class with its
-    smallest candidate is verified, then all pairs that these links leave in two components, so that a large group of near
-    copies is not compared pair by pair. No anchor is cut.
+    classes that meet at an anchor and whose sketches are close are candidates. Each task sends a forest of its candidates on, and these
+    are united. Inside each united group the shingles of all documents are then compared, in tiles of two parts of the group, and a
+    link is a Jaccard similarity of ``similar`` or more. No anchor and no group is cut, and no list of pairs leaves a task.
 
     Defined cases: null text is empty text; a text of fewer words than a shingle is one shingle; a text of any length is read whole; a null doc_id is in no class; repeated rows are
     one document; a doc_id with unlike texts is in the component of each, the smallest counting; an empty table gives an empty one.
@@ -265,7 +290,7 @@ def near_documents(docs: DataFrame, similar: float = SIMILAR, shingle: int = NEA
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks, width, p = blocks_for(rows.count(), similar, miss)
     sketch = min(SKETCH, blocks * width)
-    limit = math.floor(sketch * p + 5 * math.sqrt(sketch * p * (1 - p)))
+    limit = math.floor(sketch * p + ERRORS * math.sqrt(sketch * p * (1 - p)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,12 +303,10 @@ def near_documents(docs: DataFrame, similar: float = SIMILAR, shingle: int = NEA
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 b = whole.slice(i, 1000)
-                if not b.num_rows:
-                    continue
                 ids = b.column("least").to_numpy()
                 packed = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(len(ids), -1)
                 bits = np.unpackbits(packed, axis=1, bitorder="little")[:, : blocks * width]
-                first = np.zeros((len(ids), 2 * 64), np.uint8)
+                first = np.zeros((len(ids), 128), np.uint8)
                 first[:, :sketch] = bits[:, :sketch]
                 s = np.packbits(first, axis=1, bitorder="little").view("<i8")
                 for k in range(blocks):
@@ -303,22 +326,16 @@ def near_documents(docs: DataFrame, similar: float = SIMILAR, shingle: int = NEA
     signed = stored(rows.mapInArrow(sign, "doc_id long, digest binary, fp binary"))
     classes = stored(signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
     anchors = classes.select("least", "fp").mapInArrow(spread, "anchor long, id long, s0 long, s1 long, home boolean")
-    pairs = stored(_dealt(anchors, "id", tile).mapInArrow(_tiles(compare, _once), "a long, b long").distinct())
-    wanted = classes.select("least", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("least")).distinct(), "least")
+    united = stored(connected_components(_dealt(anchors, "id", tile).mapInArrow(_tiles(compare), "a long, b long")))
+    sizes = united.groupBy("component").agg(F.ceil(F.count("*") / tile_docs).cast("int").alias("k"))
+    wanted = stored(classes.select("digest", F.col("least").alias("doc_id")).join(united.join(sizes, "component"), F.col("doc_id") == F.col("id")).select("doc_id", "digest", "component", "k"))
     # a doc_id may stand in several rows of unlike text, so the digest is compared too
-    found = rows.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, digest binary, own array<long>")
-    sets = stored(found.join(wanted.withColumnRenamed("least", "doc_id"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "own"))
-
-    def verified(some: DataFrame) -> DataFrame:
-        both = some.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.where(shared >= F.lit(similar) * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-    first = stored(verified(pairs.groupBy(F.col("b").alias("b")).agg(F.min("a").alias("a"))))
-    reach = stored(connected_components(first))
-    left, right = (reach.select(F.col("id").alias(c), F.col("component").alias(f"{c}c")) for c in ("a", "b"))
-    open_ = pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
-    reach = connected_components(first.unionByName(stored(verified(open_))))
+    found = rows.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, digest binary, own array<long>")
+    members = found.join(wanted, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", F.col("doc_id").alias("id"), "own")
+    links = stored(dealt.repartition("component", "i", "j").groupBy("component", "i", "j").applyInArrow(_jaccard_tile(similar), "a long, b long"))
+    reach = connected_components(links)
     copies = signed.join(classes.select("digest", "least"), "digest").select("doc_id", "least")
     labelled = copies.join(reach, copies["least"] == reach["id"], "left").select("doc_id", F.coalesce("component", "least").alias("component_id"))
     return labelled.where("doc_id <> component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
