@@ -75,3 +75,27 @@ def percent(x: Col) -> Column:
 
 def plural(n: Col) -> Column:
     return F.when(col(n) == 1, "").otherwise("s")
+
+
+def share(n: Col, d: Col) -> Column:
+    """n / d within 0 and 1; 0 where d is 0 or null."""
+    return clamp(safe_div(n, d))
+
+
+def mean_or_zero(x: Col) -> Column:
+    """The mean of a group, 0 for one without values."""
+    return F.coalesce(F.avg(col(x)), F.lit(0.0))
+
+
+def round_or_none(x: Col, places: int) -> Column:
+    return F.when(~F.isnan(col(x).cast("double")), F.round(col(x), places))
+
+
+def utc(x: Col, zone: Col | None = None) -> Column:
+    """A time as UTC: one without a zone is UTC already, another is shifted by its zone."""
+    return col(x).cast("timestamp") if zone is None else F.when(col(zone).isNull(), col(x).cast("timestamp")).otherwise(F.to_utc_timestamp(col(x), F.coalesce(col(zone), F.lit("UTC"))))
+
+
+def date_prefix(x: Col) -> Column:
+    """The date that a text begins with; null where it begins with none."""
+    return F.substring(col(x), 1, 10).try_cast("date")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.config import GapConfig, IntelConfig
-from wardloom.functions.columns import band, clamp, haversine_m, percent_change, safe_div, title
+from wardloom.functions.columns import band, clamp, percent_change, safe_div, title
+from wardloom.functions.grid import within
 from wardloom.operators.mesh import ACTIVE_STATUSES, elapsed
+from wardloom.sources.io import checkpoint_dir
 
 CONFIG = IntelConfig()
 # Shares of the rank from which a tier begins.
@@ -110,26 +111,11 @@ def confirmatory(found: DataFrame) -> DataFrame:
 
 
 # ---- places ----------------------------------------------------------------
-CELL = 0.25
-
-
 def near_pairs(points: DataFrame, radius_m: float = CONFIG.radius_m) -> DataFrame:
-    """(a, b, metres) of points(ward_code, latitude, longitude) within the radius, a before b.
-
-    Points meet through a grid whose cells are wider than the radius at the latitudes in use, so each side
-    is shuffled by cell and only neighbours are compared; a cell far from the equator is narrower in metres, which
-    the step in longitude allows for.
-    """
-    step = radius_m / 111_000.0
-    reach = int(step / CELL) + 1
-    rows = points.where(F.col("latitude").between(-80, 80))
-    cells = rows.select("ward_code", "latitude", "longitude", F.floor(F.col("latitude") / CELL).alias("y"), F.floor(F.col("longitude") / CELL).alias("x"))
-    span = F.ceil(F.lit(step) / F.cos(F.radians(F.abs("latitude") + step)) / CELL).cast("int")
-    spread = cells.withColumn("dy", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("dx", F.explode(F.sequence(-span, span)))
-    right = spread.select(F.col("ward_code").alias("b"), F.col("latitude").alias("lat_b"), F.col("longitude").alias("lon_b"), (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
-    left = cells.select(F.col("ward_code").alias("a"), F.col("latitude").alias("lat_a"), F.col("longitude").alias("lon_a"), "y", "x")
-    metres = haversine_m("lat_a", "lon_a", "lat_b", "lon_b")
-    return left.join(right, ["y", "x"]).where("a < b").withColumn("metres", metres).where(F.col("metres") <= radius_m).select("a", "b", "metres").distinct()
+    """(a, b, metres) of points(ward_code, latitude, longitude) within the radius, a before b; poles and 180 degrees are no border."""
+    left = points.select(F.col("ward_code").alias("a"), F.col("latitude").alias("lat_a"), F.col("longitude").alias("lon_a"))
+    right = points.select(F.col("ward_code").alias("b"), F.col("latitude").alias("lat_b"), F.col("longitude").alias("lon_b"))
+    return within(left, right, ("lat_a", "lon_a"), ("lat_b", "lon_b"), radius_m).where("a < b").select("a", "b", "metres")
 
 
 def clusters(points: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -138,11 +124,7 @@ def clusters(points: DataFrame, pairs: DataFrame) -> DataFrame:
     Labels spread to neighbours and jump along labels until none changes; each round is checkpointed.
     """
     spark = points.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"wardloom-{uuid.uuid4().hex[:6]}-"))
+    checkpoint_dir(spark)
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = points.select("ward_code", F.col("ward_code").alias("cluster")).checkpoint()
     while True:
@@ -190,25 +172,17 @@ def hotspots(wards: DataFrame, demand: DataFrame, radius_m: float = CONFIG.radiu
 def assign_to_ward(points: DataFrame, wards: DataFrame, config: GapConfig = GapConfig(), half: float = 0.025) -> DataFrame:
     """points(point_id, lat, lon) with ward_code and how it was found: in a ward's box (least code first), else the nearest centroid.
 
-    Both ways meet wards through grid cells: a box covers few cells, and the nearest centroid within the limit lies in a neighbouring cell of
-    that width, or as many more cells to the east and west as the latitude narrows them. Longitudes do not wrap at 180 degrees.
+    Both ways meet wards through grid cells: a box covers few cells, and the nearest centroid is sought by ``within``.
     """
     cell = 0.05
     boxed = wards.select("ward_code", "latitude", "longitude", F.explode(F.sequence(F.floor((F.col("latitude") - half) / cell), F.floor((F.col("latitude") + half) / cell))).alias("y"))
     boxed = boxed.withColumn("x", F.explode(F.sequence(F.floor((F.col("longitude") - half) / cell), F.floor((F.col("longitude") + half) / cell))))
     here = points.withColumns({"y": F.floor(F.col("lat") / cell), "x": F.floor(F.col("lon") / cell)})
-    within = (F.abs(F.col("lat") - F.col("latitude")) <= half) & (F.abs(F.col("lon") - F.col("longitude")) <= half)
-    box = here.join(boxed, ["y", "x"]).where(within).groupBy("point_id").agg(F.min("ward_code").alias("in_box"))
-    wide = config.max_assignment_m / 100_000.0
-    near = wards.select("ward_code", "latitude", "longitude", F.floor(F.col("latitude") / wide).alias("y"), F.floor(F.col("longitude") / wide).alias("x"))
-    around = points.join(box, "point_id", "left_anti").select("point_id", "lat", "lon", F.explode(F.expr("sequence(-1L, 1L)")).alias("dy"))
-    # the edge of the limit that is nearer to a pole has the narrowest cells
-    narrow = F.cos(F.radians(F.least(F.abs(F.col("lat")) + wide, F.lit(89.0))))
-    reach = F.ceil(F.lit(config.max_assignment_m / (config.earth_radius_m * wide * 0.017453292519943295)) / narrow)
-    around = around.withColumn("dx", F.explode(F.sequence(-reach, reach)))
-    around = around.select("point_id", "lat", "lon", (F.floor(F.col("lat") / wide) + F.col("dy")).alias("y"), (F.floor(F.col("lon") / wide) + F.col("dx")).alias("x"))
-    metres = haversine_m("lat", "lon", "latitude", "longitude", config.earth_radius_m)
-    best = around.join(near, ["y", "x"]).withColumn("metres", metres).where(F.col("metres") <= config.max_assignment_m).groupBy("point_id").agg(F.min(F.struct("metres", "ward_code")).alias("m"))
+    boxed_in = (F.abs(F.col("lat") - F.col("latitude")) <= half) & (F.abs(F.col("lon") - F.col("longitude")) <= half)
+    box = here.join(boxed, ["y", "x"]).where(boxed_in).groupBy("point_id").agg(F.min("ward_code").alias("in_box"))
+    free = points.join(box, "point_id", "left_anti").select("point_id", "lat", "lon")
+    near = within(free, wards.select("ward_code", "latitude", "longitude"), ("lat", "lon"), ("latitude", "longitude"), config.max_assignment_m, config.earth_radius_m)
+    best = near.groupBy("point_id").agg(F.min(F.struct("metres", "ward_code")).alias("m"))
     out = points.join(box, "point_id", "left").join(best, "point_id", "left")
     method = F.when(F.col("in_box").isNotNull(), "BOX").when(F.col("m").isNotNull(), "NEAREST").otherwise("NONE")
     return out.select("point_id", F.coalesce("in_box", "m.ward_code").alias("ward_code"), method.alias("method"))
@@ -246,3 +220,25 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str]) -> D
 
 def risk_title(kind: str) -> Column:
     return F.concat(title("sector"), F.lit(f" {kind} in "), F.col("ward_code"))
+
+
+def hotspots_in_order(found: DataFrame) -> DataFrame:
+    """Hotspots, the highest rate first, then the most critical complaints, then by district."""
+    return found.orderBy(F.desc("mean_intensity"), F.desc("critical"), "district", "cluster")
+
+
+def open_risks(found: DataFrame, ward: str | None = None) -> DataFrame:
+    """Risks that are still open, of one ward or of all."""
+    rows = found.where("status = 'OPEN'")
+    return rows if ward is None else rows.where(F.col("ward_code") == ward)
+
+
+def trends_of_hotspots(spots: DataFrame, trends: DataFrame) -> DataFrame:
+    """(cluster, ward_code, sector, ...): the trends of a hotspot's wards in its own sectors; both are comma-joined names."""
+    own = spots.select("cluster", F.explode(F.split("ward_codes", ",")).alias("ward_code"), F.split("sectors", ",").alias("__sectors"))
+    return own.join(trends, "ward_code").where(F.array_contains("__sectors", F.col("sector"))).drop("__sectors")
+
+
+def missing_tables(wanted: tuple[str, ...], there: tuple[str, ...]) -> tuple[str, ...]:
+    """Tables that are wanted and not there, in order."""
+    return tuple(t for t in wanted if t not in set(there))

@@ -7,22 +7,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.config import DedupConfig
-from wardloom.functions.columns import clamp, haversine_m, valid_point
-from wardloom.functions.text import contains_phrase, jaccard, sequence_ratio, tokens
+from wardloom.functions.columns import clamp, haversine_m, lookup, valid_point
+from wardloom.functions.text import contains_phrase, jaccard, normalize_text, sequence_ratio, tokens
 from wardloom.vocab import SECTORS
 
-#: Our own small lexicon: (category, sub_category, term, weight). A phrase counts 1, a lemma a half.
+#: Our own lexicon: (category, sub_category, term, weight). A phrase counts 1, a lemma a half.
 LEXICON = (
-    ("ROAD", "DAMAGED_ROAD", "pothole", 1.0), ("ROAD", "DAMAGED_ROAD", "broken road", 1.0), ("ROAD", "ROAD_SAFETY", "speed breaker", 1.0), ("ROAD", "DAMAGED_ROAD", "road", 0.5),
-    ("WATER", "DRINKING_WATER", "drinking water", 1.0), ("WATER", "WATER_SUPPLY_DISRUPTION", "no water", 1.0), ("WATER", "WATER_QUALITY", "dirty water", 1.0), ("WATER", "DRINKING_WATER", "water", 0.5),
-    ("ELECTRICITY", "POWER_OUTAGE", "power cut", 1.0), ("ELECTRICITY", "STREET_LIGHTING", "street light", 1.0), ("ELECTRICITY", "TRANSFORMER_ISSUE", "transformer", 1.0),
-    ("HEALTHCARE", "AMBULANCE_SERVICE", "ambulance", 1.0), ("HEALTHCARE", "HOSPITAL_ACCESS", "hospital", 1.0), ("HEALTHCARE", "MEDICINE_SHORTAGE", "no medicine", 1.0),
-    ("EDUCATION", "SCHOOL_INFRASTRUCTURE", "school building", 1.0), ("EDUCATION", "TEACHER_SHORTAGE", "no teacher", 1.0), ("EDUCATION", "SCHOOL_ACCESS", "school", 0.5),
-    ("SANITATION", "SOLID_WASTE", "garbage", 1.0), ("SANITATION", "DRAINAGE", "drain", 1.0), ("SANITATION", "SEWAGE", "sewage", 1.0), ("SANITATION", "SOLID_WASTE", "trash", 0.5),
-    ("TRANSPORT", "BUS_SHELTER", "bus stop", 1.0), ("TRANSPORT", "PUBLIC_TRANSPORT", "bus", 0.5), ("DIGITAL_CONNECTIVITY", "INTERNET_CONNECTIVITY", "internet", 1.0), ("DIGITAL_CONNECTIVITY", "MOBILE_NETWORK", "token", 0.5),
-    ("HOUSING", "LAND_ENCROACHMENT", "encroachment", 1.0), ("HOUSING", "HOUSING_SCHEME", "license", 0.5), ("PUBLIC_SAFETY", "STREET_CRIME", "theft", 1.0), ("PUBLIC_SAFETY", "WOMEN_SAFETY", "harassment", 1.0), ("PUBLIC_SAFETY", "STREET_CRIME", "worthless", 0.5),
+    ("ROAD", "DAMAGED_ROAD", "pothole", 1.0), ("ROAD", "DAMAGED_ROAD", "potholes", 1.0), ("ROAD", "DAMAGED_ROAD", "broken road", 1.0), ("ROAD", "ROAD_SAFETY", "speed breaker", 1.0), ("ROAD", "ROAD_SAFETY", "traffic signal", 1.0), ("ROAD", "FOOTPATH", "footpath", 1.0), ("ROAD", "DAMAGED_ROAD", "road", 0.5),
+    ("WATER", "DRINKING_WATER", "drinking water", 1.0), ("WATER", "WATER_SUPPLY_DISRUPTION", "no water", 1.0), ("WATER", "WATER_SUPPLY_DISRUPTION", "water supply", 1.0), ("WATER", "WATER_QUALITY", "dirty water", 1.0), ("WATER", "PIPE_LEAK", "pipe leak", 1.0), ("WATER", "BOREWELL", "borewell", 1.0), ("WATER", "DRINKING_WATER", "water", 0.5),
+    ("ELECTRICITY", "POWER_OUTAGE", "power cut", 1.0), ("ELECTRICITY", "POWER_OUTAGE", "no power", 1.0), ("ELECTRICITY", "STREET_LIGHTING", "street light", 1.0), ("ELECTRICITY", "TRANSFORMER_ISSUE", "transformer", 1.0), ("ELECTRICITY", "LIVE_WIRE", "live wire", 1.0), ("ELECTRICITY", "POWER_OUTAGE", "electricity", 0.5), ("ELECTRICITY", "POWER_OUTAGE", "voltage", 0.5),
+    ("HEALTHCARE", "AMBULANCE_SERVICE", "ambulance", 1.0), ("HEALTHCARE", "HOSPITAL_ACCESS", "hospital", 1.0), ("HEALTHCARE", "MEDICINE_SHORTAGE", "no medicine", 1.0), ("HEALTHCARE", "DOCTOR_SHORTAGE", "no doctor", 1.0), ("HEALTHCARE", "HOSPITAL_ACCESS", "clinic", 0.5), ("HEALTHCARE", "DISEASE_OUTBREAK", "dengue", 1.0),
+    ("EDUCATION", "SCHOOL_INFRASTRUCTURE", "school building", 1.0), ("EDUCATION", "TEACHER_SHORTAGE", "no teacher", 1.0), ("EDUCATION", "MIDDAY_MEAL", "midday meal", 1.0), ("EDUCATION", "SCHOOL_ACCESS", "school", 0.5), ("EDUCATION", "SCHOOL_ACCESS", "classroom", 0.5),
+    ("SANITATION", "SOLID_WASTE", "garbage", 1.0), ("SANITATION", "SOLID_WASTE", "waste bin", 1.0), ("SANITATION", "DRAINAGE", "drain", 1.0), ("SANITATION", "DRAINAGE", "drainage", 1.0), ("SANITATION", "SEWAGE", "sewage", 1.0), ("SANITATION", "PUBLIC_TOILET", "public toilet", 1.0), ("SANITATION", "MOSQUITOES", "mosquito", 0.5),
+    ("TRANSPORT", "BUS_SHELTER", "bus stop", 1.0), ("TRANSPORT", "BUS_FREQUENCY", "no bus", 1.0), ("TRANSPORT", "PUBLIC_TRANSPORT", "bus", 0.5), ("TRANSPORT", "PUBLIC_TRANSPORT", "train", 0.5), ("DIGITAL_CONNECTIVITY", "INTERNET_CONNECTIVITY", "internet", 1.0), ("DIGITAL_CONNECTIVITY", "MOBILE_NETWORK", "mobile network", 1.0), ("DIGITAL_CONNECTIVITY", "MOBILE_NETWORK", "no signal", 1.0), ("DIGITAL_CONNECTIVITY", "INTERNET_CONNECTIVITY", "wifi", 0.5),
+    ("HOUSING", "LAND_ENCROACHMENT", "encroachment", 1.0), ("HOUSING", "HOUSING_SCHEME", "housing scheme", 1.0), ("HOUSING", "UNSAFE_BUILDING", "collapsed wall", 1.0), ("HOUSING", "HOUSING_SCHEME", "house", 0.5), ("PUBLIC_SAFETY", "STREET_CRIME", "theft", 1.0), ("PUBLIC_SAFETY", "WOMEN_SAFETY", "harassment", 1.0), ("PUBLIC_SAFETY", "STRAY_ANIMALS", "stray dogs", 1.0), ("PUBLIC_SAFETY", "STREET_CRIME", "police", 0.5),
 )
-SEVERITY = {"critical": ("danger", "accident", "emergency", "death"), "high": ("broken", "urgent", "disgusting"), "medium": ("problem", "issue", "stupid"), "mitigator": ("minor", "small", "clown"), "personal_health": ("my child is sick", "fever")}
+SEVERITY = {"critical": ("danger", "dangerous", "accident", "emergency", "death", "electrocuted", "collapsed"), "high": ("broken", "urgent", "blocked", "contaminated", "severe"), "medium": ("problem", "issue", "damaged", "delay", "dirty"), "mitigator": ("minor", "small", "slight", "suggestion"), "personal_health": ("my child is sick", "fever", "injured", "fell ill")}
 
 
 def classify(rows: DataFrame, key: str, text: str, floor: float = 0.20) -> DataFrame:
@@ -52,18 +52,82 @@ def severity(text: str, days: Column) -> Column:
     return clamp(score, 1, 5).cast("int")
 
 
-ENTITIES = {"COORDINATE": r"(?<![\d.])-?\d{1,2}\.\d{3,}\s*,\s*-?\d{1,3}\.\d{3,}(?![\d.])", "PHONE": r"(?<!\d)(?:\+91[ -]?)?[6-9]\d{9}(?!\d)", "PINCODE": r"(?<!\d)[1-9]\d{5}(?!\d)", "DURATION": r"\b\d+\s+(?:day|week|month|year)s?\b", "DATE": r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"}
+# Number words, and days of each unit of a duration.
+NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "एक": 1, "दो": 2, "तीन": 3, "चार": 4, "ஒன்று": 1, "இரண்டு": 2, "மூன்று": 3, "நான்கு": 4, "ఒకటి": 1, "రెండు": 2, "మూడు": 3, "నాలుగు": 4}
+UNIT_DAYS = {"day": 1, "days": 1, "night": 1, "nights": 1, "din": 1, "दिन": 1, "दिनों": 1, "நாள்": 1, "நாட்கள்": 1, "రోజు": 1, "రోజులు": 1, "week": 7, "weeks": 7, "सप्ताह": 7, "வாரம்": 7, "வாரங்கள்": 7, "month": 30, "months": 30, "महीना": 30, "மாதம்": 30, "மாதங்கள்": 30, "నెల": 30, "నెలల": 30}
+_EDGE = r"[\p{L}\p{M}\p{N}_]"
+_MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
+# What each kind of entity looks like in lower case, and how sure it is.
+ENTITIES = {
+    "COORDINATE": (r"-?\d{1,2}\.\d{3,}\s*[,/]?\s*-?\d{1,3}\.\d{3,}", 0.99),
+    "PHONE": (r"(?:\+?91[\s-]?)?[6-9]\d{9}(?!\d)", 0.95),
+    "PINCODE": (r"(?<!\d)\d{6}(?!\d)", 0.97),
+    "DURATION": (rf"(?<!{_EDGE})(?:for\s+|since\s+)?(?:\d{{1,3}}|{'|'.join(NUMBERS)})\s+(?:{'|'.join(sorted(UNIT_DAYS, key=lambda u: (-len(u), u)))})(?!{_EDGE})", 0.80),
+    "SINCE": (rf"(?<!{_EDGE})(?:since|for a long time|for months|for weeks|மாதங்கள்|వారాలుగా|महीनों|दिनों)(?!{_EDGE})", 0.80),
+    "DATE": (rf"(?<!{_EDGE})(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|{_MONTHS})(?!{_EDGE})", 0.70),
+}
+#: Our own gazetteer of kinds of places and things.
+PLACES = {"LANDMARK": ("hospital", "railway station", "bus stop", "market", "temple", "school"), "ADMIN_UNIT": ("ward", "district", "panchayat", "taluk", "nagar"), "INFRA_ASSET": ("street light", "transformer", "borewell", "drain", "bridge", "water tank")}
+PLACE_CONFIDENCE = 0.85
+
+
+def matches(text: str, pattern: str) -> Column:
+    """Array of (value, start, stop) of a pattern's matches in a column, by the lengths of the pieces between them."""
+    pieces = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("value"), F.split(F.col(text), pattern, -1).alias("gap"))
+    none = F.array().cast("array<struct<value:string,start:int,stop:int>>")
+    start = lambda s, x: s["at"] + F.length(x["gap"])
+    step = lambda s, x: F.struct((start(s, x) + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"), F.when(x["value"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(x["value"].alias("value"), start(s, x).alias("start"), (start(s, x) + F.length(x["value"])).alias("stop"))))).alias("out"))
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
 
 
 def entities(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, type, value), one row for each match."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    """(key, type, value, start, stop, confidence, amount, unit): entities of normal text, of each span the surest; a relative time has no amount.
+
+    Coordinates must be a point. Places are found as words of the text, at the first place where they stand.
+    """
+    low = rows.select(key, F.lower(normalize_text(text)).alias("__t"))
+    number = lambda m: F.regexp_extract(m["value"], r"(\S+)\s+\S+$", 1)
+    part = lambda m, i: F.regexp_extract(m["value"], r"(-?\d{1,2}\.\d{3,})\s*[,/]?\s*(-?\d{1,3}\.\d{3,})", i).try_cast("double")
+
+    def of(kind: str, pattern: str, sure: float) -> Column:
+        spans = matches("__t", pattern)
+        if kind == "COORDINATE":
+            spans = F.filter(spans, lambda m: part(m, 1).between(-90, 90) & part(m, 2).between(-180, 180))
+
+        def made(m: Column) -> Column:
+            amount = F.coalesce(lookup(number(m), NUMBERS), number(m).try_cast("int")) if kind == "DURATION" else F.lit(None)
+            unit = F.regexp_extract(m["value"], r"(\S+)$", 1) if kind == "DURATION" else F.lit("relative" if kind == "SINCE" else None)
+            return F.struct(F.lit("DURATION" if kind == "SINCE" else kind).alias("type"), m["value"].alias("value"), m["start"].alias("start"), m["stop"].alias("stop"), F.lit(sure).alias("confidence"), amount.cast("int").alias("amount"), unit.cast("string").alias("unit"))
+
+        return F.transform(spans, made)
+
+    found = [of(kind, pattern, sure) for kind, (pattern, sure) in ENTITIES.items()]
+    terms = F.array(*[F.struct(F.lit(k).alias("type"), F.lit(t).alias("value")) for k, names in PLACES.items() for t in names])
+    padded = F.concat(F.lit(" "), F.array_join(tokens("__t"), " "), F.lit(" "))
+    at = lambda p: F.greatest(F.call_function("instr", F.col("__t"), p["value"]) - 1, F.lit(0))
+    here = F.filter(terms, lambda p: F.contains(F.col("__w"), F.concat(F.lit(" "), p["value"], F.lit(" "))))
+    found.append(F.transform(here, lambda p: F.struct(p["type"].alias("type"), p["value"].alias("value"), at(p).cast("int").alias("start"), (at(p) + F.length(p["value"])).cast("int").alias("stop"), F.lit(PLACE_CONFIDENCE).alias("confidence"), F.lit(None).cast("int").alias("amount"), F.lit(None).cast("string").alias("unit"))))
+    every = low.withColumn("__w", padded).select(key, F.explode(F.flatten(F.array(*found))).alias("e")).select(key, "e.*")
+    return surest(every, key)
 
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
 
-    found = F.flatten(F.array(*[of(k, p) for k, p in ENTITIES.items()]))
-    return rows.select(key, F.explode(found).alias("e")).select(key, "e.*")
+def surest(found: DataFrame, key: str) -> DataFrame:
+    """Of the entities on one span the one of the highest confidence, then of the first type by name."""
+    rest = [c for c in found.columns if c not in (key, "start", "stop")]
+    best = found.groupBy(key, "start", "stop").agg(F.min_by(F.struct(*rest), F.struct((-F.col("confidence")).alias("c"), "type", "value")).alias("e"))
+    return best.select(key, "e.type", "e.value", "start", "stop", *[f"e.{c}" for c in rest if c not in ("type", "value")])
+
+
+def merged_entities(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """All of the first pass, and of the second what the first does not know by type and text."""
+    known = first.select(key, "type", F.lower("value").alias("__v")).distinct()
+    return first.unionByName(second.withColumn("__v", F.lower("value")).join(known, [key, "type", "__v"], "left_anti").drop("__v"))
+
+
+def longest_days(found: DataFrame, key: str) -> DataFrame:
+    """(key, days): the longest duration with an amount."""
+    days = F.col("amount") * lookup("unit", UNIT_DAYS)
+    return found.where("type = 'DURATION' and amount is not null").groupBy(key).agg(F.max(days).alias("days")).where("days is not null")
 
 
 def translate(text: Column, glossary: dict[str, str]) -> Column:
@@ -84,7 +148,7 @@ def parsed_time(x: str) -> Column:
     """ISO and other written times, or seconds or milliseconds since 1970; null where it is none. Times are UTC."""
     number = F.col(x).try_cast("double")
     epoch = F.when(number > 1e11, number / 1000).otherwise(number).cast("timestamp")
-    written = [F.try_to_timestamp(F.col(x), F.lit(p)) for p in ("yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy")]
+    written = [F.try_to_timestamp(F.col(x), F.lit(p)) for p in ("yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "dd-MM-yyyy")]
     return F.coalesce(F.when(number.isNotNull(), epoch), *written)
 
 
@@ -110,23 +174,58 @@ def findings(as_of: Column) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(level).alias("severity"))) for c, code, level in rules]), lambda x: x.isNotNull())
 
 
+def all_findings(as_of: Column) -> Column:
+    """Array of (code, severity) of a record that has been cleaned, normalised and geocoded.
+
+    Reads request_id_valid, category, description, norm_category, norm_sub_category, norm_mismatch, norm_source, location_present, latitude, longitude,
+    location_status, created_at, severity, language_supported. Without a place nothing else is said of it.
+    """
+    lat, lon, placed = F.col("latitude"), F.col("longitude"), F.col("location_present")
+    half = lat.isNull() != lon.isNull()
+    # Codes and levels of the findings.
+    rules = [
+        (~F.col("request_id_valid"), "INVALID_REQUEST_ID", "error"),
+        (F.col("category").isNull() & F.col("description").isNull(), "MISSING_CATEGORY", "error"),
+        (F.col("norm_category") == "UNKNOWN", "INVALID_CATEGORY", "error"),
+        (F.col("norm_sub_category") == "UNCLASSIFIED", "MISSING_SUB_CATEGORY", "warning"),
+        (F.col("norm_mismatch"), "CATEGORY_SUBCATEGORY_MISMATCH", "warning"),
+        (~placed, "MISSING_LOCATION", "error"),
+        (placed & half, "INCOMPLETE_COORDINATES", "error"),
+        (placed & lat.isNotNull() & lon.isNotNull() & ~valid_point(lat, lon), "INVALID_COORDINATES", "error"),
+        (placed & (F.col("location_status") == "UNRESOLVED"), "LOCATION_UNRESOLVED", "warning"),
+        (placed & (F.col("location_status") == "PARTIAL"), "LOCATION_PARTIALLY_RESOLVED", "warning"),
+        (F.col("created_at").isNull(), "MISSING_TIMESTAMP", "error"),
+        (F.col("created_at") > as_of + F.expr("interval 1 day"), "FUTURE_TIMESTAMP", "warning"),
+        (F.year("created_at") < 1970, "IMPLAUSIBLE_TIMESTAMP", "error"),
+        (F.col("severity").isNull(), "MISSING_SEVERITY", "warning"),
+        (~F.col("severity").between(1, 5), "INVALID_SEVERITY", "error"),
+        (F.col("description").isNull(), "MISSING_DESCRIPTION", "warning"),
+        (~F.col("language_supported"), "UNSUPPORTED_LANGUAGE", "warning"),
+        (F.col("norm_source") == "fallback", "NORMALIZATION_FAILED", "error"),
+    ]
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(level).alias("severity"))) for c, code, level in rules]))
+
+
 def status_of(found: str) -> Column:
     return F.when(F.exists(found, lambda f: f["severity"] == "error"), "INVALID").when(F.exists(found, lambda f: f["severity"] == "warning"), "NEEDS_REVIEW").otherwise("VALID")
 
 
-# Weights of the quality factors.
+# Weights of the quality factors, and the least score of a valid record.
 QUALITY_WEIGHTS = {"required": 0.22, "location": 0.14, "category": 0.14, "timestamp": 0.10, "geocode": 0.14, "severity": 0.10, "description": 0.16}
+VALID_SCORE = 0.85
 
 
 def quality(as_of: Column) -> dict[str, Column]:
+    """Factors from 0 to 1 of a record as for ``all_findings``, with district, state and location_text."""
     have = valid_point("latitude", "longitude")
-    present = lambda c: F.when(F.col(c).isNotNull(), 0.25).otherwise(0.0)
+    admin = F.col("district").isNotNull() | F.col("state").isNotNull()
+    present = lambda c: F.when(c, 0.25).otherwise(0.0)
     return {
-        "required": present("request_id") + present("category") + present("created_at") + F.when(have, 0.25).otherwise(0.0),
-        "location": F.when(have, 0.75).otherwise(0.0),
-        "category": F.when(F.col("category").isin(*SECTORS), F.when(F.coalesce(F.col("sub_category") != "UNCLASSIFIED", F.lit(False)), 1.0).otherwise(0.75)).otherwise(0.1),
+        "required": present(F.col("request_id_valid")) + present(F.col("category").isNotNull() | F.col("description").isNotNull()) + present(F.col("location_present")) + present(F.col("created_at").isNotNull()),
+        "location": F.when(have & admin, 1.0).when(have, 0.75).when(admin, 0.6).when(F.col("location_text").isNotNull(), 0.35).otherwise(0.0),
+        "category": F.when(F.col("norm_category") == "UNKNOWN", 0.1).when(F.col("norm_sub_category") == "UNCLASSIFIED", 0.75).otherwise(1.0),
         "timestamp": F.when(F.col("created_at").isNull(), 0.0).when(F.col("created_at") > as_of, 0.4).when(F.year("created_at") < 1970, 0.2).otherwise(1.0),
-        "geocode": F.when(have, 0.6).otherwise(0.0),
+        "geocode": F.when(F.col("location_status") == "RESOLVED", 1.0).when(F.col("location_status") == "PARTIAL", 0.6).otherwise(0.0),
         "severity": F.when(F.col("severity").isNull(), 0.4).when(F.col("severity").between(1, 5), 1.0).otherwise(0.0),
         "description": F.when(F.coalesce(F.trim("description"), F.lit("")) != "", 1.0).otherwise(0.0),
     }
@@ -139,6 +238,11 @@ def quality_score(as_of: Column) -> Column:
     return F.round(total / sum(QUALITY_WEIGHTS.values()), 3)
 
 
+def quality_status(validation: str, score: str) -> Column:
+    """The status of the findings, but that a valid record needs a score too."""
+    return F.when(F.col(validation).isin("INVALID", "NEEDS_REVIEW"), F.col(validation)).when(F.col(score) >= VALID_SCORE, "VALID").otherwise("NEEDS_REVIEW")
+
+
 # ---- duplicates ------------------------------------------------------------
 def match_scores(reports: DataFrame, groups: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
     """The best group of each report: same category and sub-category, near in place, text and time, and a score of ``least`` or more.

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardloom.functions import text as tx
-from wardloom.functions.columns import title
+from wardloom.functions.columns import title, valid_point
 from wardloom.operators import records
 from wardloom.plans.registry import query
 from wardloom.sources import io
 from wardloom.sources.testdata import Tables
+from wardloom.vocab import SECTORS
 
 REC = """rec as (select event_id, request_id, ts as created_at, user_id, event_type, props, case when event_id % 11 = 0 then null else case event_id % 6 when 0 then 'ROAD' when 1 then 'WATER' when 2 then 'HEALTHCARE' when 3 then 'NOISE' when 4 then 'HOUSING' else 'SANITATION' end end as category,
   case when event_id % 5 = 0 then 'UNCLASSIFIED' else 'DRAINAGE' end as sub_category, case when event_id % 13 = 0 then null else cast(event_id % 7 as int) end as severity, case when event_id % 17 = 0 then null else cast(event_id % 200 - 100 as double) end as latitude, case when event_id % 19 = 0 then null else cast(event_id % 400 - 200 as double) end as longitude,
@@ -25,7 +26,11 @@ STATUS = "case when list_contains(list_transform(f, lambda x: x[-1]), 'e') then
 
 
 def records_of(t: Tables) -> DataFrame:
-    return t.spark.sql(_REC_BODY.replace("from envelopes", "from {envelopes}"), envelopes=t.envelopes)
+    rows = t.spark.sql(_REC_BODY.replace("from envelopes", "from {envelopes}"), envelopes=t.envelopes)
+    have = valid_point("latitude", "longitude")
+    known = F.when(F.col("category").isin(*SECTORS), F.col("category")).otherwise("UNKNOWN")
+    none = F.lit(None).cast("string")
+    return rows.withColumns({"request_id_valid": F.lit(True), "norm_category": known, "norm_sub_category": F.col("sub_category"), "location_present": F.col("latitude").isNotNull() | F.col("longitude").isNotNull(), "location_status": F.when(have, "PARTIAL").otherwise("UNRESOLVED"), "district": none, "state": none, "location_text": none})
 
 
 def _as_of():
@@ -38,7 +43,7 @@ def _(t: Tables) -> DataFrame:
     return rows.select("event_id", F.array_join(F.transform("f", lambda x: x["code"]), ",").alias("findings"), records.status_of("f").alias("status"))
 
 
-@query("h23_record_quality", f"with {REC} select event_id, round(cast(0.22 * (0.25 + case when category is null then 0 else 0.25 end + 0.25 + case when ok then 0.25 else 0 end) + 0.14 * (case when ok then 0.75 else 0 end) + 0.14 * (case when category is not null and category <> 'NOISE' then case when sub_category <> 'UNCLASSIFIED' then 1 else 0.75 end else 0.1 end) + 0.10 * (case when created_at > timestamp '2024-01-20' then 0.4 else 1 end) + 0.14 * (case when ok then 0.6 else 0 end) + 0.10 * (case when severity is null then 0.4 when severity between 1 and 5 then 1 else 0 end) + 0.16 * (case when trim(description) <> '' then 1 else 0 end) as double), 3) as quality from (select *, coalesce(latitude between -90 and 90 and longitude between -180 and 180, false) as ok from rec) x")
+@query("h23_record_quality", f"with {REC} select event_id, round(cast(0.22 * (0.75 + case when latitude is null and longitude is null then 0 else 0.25 end) + 0.14 * (case when ok then 0.75 else 0 end) + 0.14 * (case when category is not null and category <> 'NOISE' then case when sub_category <> 'UNCLASSIFIED' then 1 else 0.75 end else 0.1 end) + 0.10 * (case when created_at > timestamp '2024-01-20' then 0.4 else 1 end) + 0.14 * (case when ok then 0.6 else 0 end) + 0.10 * (case when severity is null then 0.4 when severity between 1 and 5 then 1 else 0 end) + 0.16 * (case when trim(description) <> '' then 1 else 0 end) as double), 3) as quality from (select *, coalesce(latitude between -90 and 90 and longitude between -180 and 180, false) as ok from rec) x")
 def _(t: Tables) -> DataFrame:
     return records_of(t).select("event_id", records.quality_score(_as_of()).alias("quality"))
 
@@ -160,7 +165,10 @@ def _(t: Tables) -> DataFrame:
     return t.base("documents").select("doc_id", F.length(tx.normalize_text("text")).cast("long").alias("n"))
 
 
-@query("h60_language", "select doc_id, case when regexp_matches(text, '\\p{L}') then 'en' else 'und' end as language from documents")
+_MARKS = lambda lang: "[" + ", ".join(f"'{w}'" for w in tx.MARKERS[lang]) + "]"
+
+
+@query("h60_language", rf"with dw as (select doc_id, coalesce(text, '') as text, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}\p{{M}}_]+'), lambda x: x <> '')) as w from documents) select doc_id, case when trim(text) = '' then 'und' when len(list_intersect(w, {_MARKS('romanised')})) > len(list_intersect(w, {_MARKS('en')})) then 'romanised' when len(list_intersect(w, {_MARKS('en')})) > 0 then 'en' else 'und' end as language from dw")
 def _(t: Tables) -> DataFrame:
     return t.base("documents").select("doc_id", tx.detect_language("text")["language"].alias("language"))
 
@@ -173,14 +181,13 @@ def _(t: Tables) -> DataFrame:
     return records.classify(t.base("documents"), "doc_id", "text")
 
 
-@query("h63_severity", r"with dw as (select doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}\p{M}_]+'), lambda x: x <> ''), ' ') || ' ' as w from documents) select doc_id, cast(case when contains(w, ' clown ') or contains(w, ' minor ') or contains(w, ' small ') then least(2, b) else b end as int) as severity from (select doc_id, w, least(5, case when contains(w, ' disgusting ') or contains(w, ' broken ') or contains(w, ' urgent ') then 4 when contains(w, ' stupid ') or contains(w, ' problem ') or contains(w, ' issue ') then 3 else 2 end + case when doc_id % 10 >= 7 then 1 else 0 end) as b from dw) x")
-def _(t: Tables) -> DataFrame:
-    return t.base("documents").select("doc_id", records.severity("text", F.col("doc_id") % 10).alias("severity"))
+_HAS = lambda words: "(" + " or ".join(f"contains(w, ' {x} ')" for x in words) + ")"
+_BASE = f"case when {_HAS(records.SEVERITY['critical'])} then 5 when {_HAS(records.SEVERITY['high'])} then 4 when {_HAS(records.SEVERITY['medium'])} then 3 else 2 end + case when doc_id % 10 >= 7 then 1 else 0 end"
 
 
-@query("h64_entities")
+@query("h63_severity", rf"with dw as (select doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}\p{{M}}_]+'), lambda x: x <> ''), ' ') || ' ' as w from documents), b as (select doc_id, w, case when {_HAS(records.SEVERITY['personal_health'])} then greatest(4, {_BASE}) else {_BASE} end as b from dw) select doc_id, cast(least(5, case when {_HAS(records.SEVERITY['mitigator'])} and not {_HAS(records.SEVERITY['critical'])} then least(2, b) else b end) as int) as severity from b")
 def _(t: Tables) -> DataFrame:
-    return records.entities(t.base("documents"), "doc_id", "text")
+    return t.base("documents").select("doc_id", records.severity("text", F.col("doc_id") % 10).alias("severity"))
 
 
 @query("h65_glossary", "select doc_id, sha256(replace(replace(text, 'License', 'Lizenz'), 'the', 'das')) as gloss from documents")

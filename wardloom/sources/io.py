@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,3 +72,14 @@ def outbox(rows: DataFrame, sent: DataFrame) -> DataFrame:
     tries = sent.groupBy("event_id").agg(F.max("ok").alias("ok"), F.count("*").alias("attempts"))
     status = F.when(F.col("ok"), "PUBLISHED").when(F.col("attempts") > 0, "FAILED").otherwise("PENDING")
     return rows.join(tries, "event_id", "left").withColumns({"status": status, "attempts": F.coalesce("attempts", F.lit(0)).cast("long")}).drop("ok")
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names. Where none is named, a temporary one for a master in one process, as in tests, and an error on a cluster."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wardloom-"))
+    return sc.getCheckpointDir()

@@ -13,7 +13,8 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 
 def _pick(key: str, values: tuple[str, ...]) -> str:
-    return "case " + " ".join(f"when {key} = {i} then '{v}'" for i, v in enumerate(values)) + " end"
+    quoted = ["null" if v is None else v if v.startswith("concat(") or v.startswith("repeat(") else "'" + v + "'" for v in values]
+    return "case " + " ".join(f"when {key} = {i} then {v}" for i, v in enumerate(quoted)) + " end"
 
 
 _SECTORS = ("WATER", "ELECTRICITY", "ROAD", "SANITATION", "HEALTHCARE", "EDUCATION", "TRANSPORT", "DIGITAL_CONNECTIVITY")
@@ -50,6 +51,27 @@ select event_id, concat('REQ-2024-', lpad(cast(case when event_id % 7 = 3 then e
 }
 
 
+#: Raw complaints: written as citizens and other systems write them, in every form that cleaning knows.
+COMPLAINT_TEXTS = (
+    "The road near Gandhi Nagar hospital is broken since three weeks", "No water for 12 days in ward 14, pincode 560001", "bijli nahi hai mere gaon mein", "मेरी सड़क बहुत खराब है और पानी नहीं है", "माझ्या गावात पाणी नाही आणि रस्ता खराब आहे", "சாலை பழுது pincode 560001",
+    "Call 9876543210 or +91 9123456789 about the street light at 12.9716, 77.5946", "Garbage on 12/05/2024, drain blocked for months", " N/A ", "", None, "Kein Strom in der Strasse", "Dr. O’Neil’s “clinic” –  no medicine…",
+)
+COMPLAINT_FIELDS = {
+    "request_id": (6, ("concat('REQ-', cast(event_id as string))", " a_b-7 ", "bad id!", None, "---", "repeat('x', 65)")),
+    "language": (9, ("en", "EN-in", "Tamil", "mr", "xx-unknown-long", "hindi", "", None, "zh_Hans")),
+    "category": (10, ("water", "Roads", "POWER", "school", "noise", None, "", "Public Safety", "jal", "unknown")),
+    "sub_category": (7, ("no water", "pothole", "disruption", None, "garbage pile", "xyz", "street light")),
+    "description": (13, COMPLAINT_TEXTS),
+    "severity": (8, ("3", "4,5", "abc", "9", "", None, "0", "5")),
+    "latitude": (5, ("12.9716", "91", "abc", None, "")),
+    "longitude": (5, ("77.5946", "10", "77", "77.1", "")),
+    "location": (11, ('{{"latitude": 13.08, "longitude": 80.27, "address": "MG Road"}}', *[None] * 10)),
+    "place": (4, ("Near Gandhi Nagar", "unknown", None, "  Market   street ")),
+    "created_at": (7, ("2024-01-05T10:00:00Z", "2024-01-06 11:00:00", "1704499200", "1704499200000", "31/12/2023", "not a date", "2099-01-01")),
+}
+ADAPTERS["complaints"] = "select event_id, " + ", ".join(f"{_pick(f'event_id % {n}', values)} as {name}" for name, (n, values) in COMPLAINT_FIELDS.items()) + ", cast(case event_id % 8 when 0 then 12.9716 when 1 then 13.3 when 2 then 28.6 when 3 then 60 when 4 then -40 when 5 then 91 when 7 then 13.2 end as double) as lat, cast(case event_id % 8 when 0 then 77.5946 when 1 then 80.3 when 2 then 77.2 when 3 then 10 when 4 then 10 when 5 then 10 when 7 then 77.59 end as double) as lon from {events}"
+
+
 def with_tables(sql: str) -> str:
     """sql behind the adapters that it names, as common table expressions over the registered views."""
     plain = {t: t for t in BASE}
@@ -74,4 +96,5 @@ class Tables:
     citizen_demand = cached_property(lambda self: self._made("citizen_demand"))
     assets = cached_property(lambda self: self._made("assets"))
     projects = cached_property(lambda self: self._made("projects"))
+    complaints = cached_property(lambda self: self._made("complaints"))
     envelopes = cached_property(lambda self: self._made("envelopes"))

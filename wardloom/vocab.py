@@ -37,7 +37,17 @@ DIRECTIONS = ("WORSENING", "IMPROVING", "STABLE", "UNKNOWN")
 RISK_SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 RISK_TYPES = ("SPIKE", "NEW_CATEGORY", "DETERIORATING_WITH_SPEND", "STALLED_ABSORPTION", "CRITICAL_CONCENTRATION")
 LANGUAGES = ("en", "ta", "hi", "te", "bn", "kn", "ml")
-NULL_TOKENS = ("", "null", "none", "n/a", "na", "nan", "undefined", "-")
+# Texts that stand for nothing.
+NULL_TOKENS = ("", "null", "none", "nil", "n/a", "na", "na.", "nan", "undefined", "-", "--", "unknown", "not specified", "not available", "no data", "नहीं पता", "தெரியவில்லை")
+# Codes and names of each language, and the languages that texts are normalised in and that detection may give.
+LANGUAGE_NAMES = {
+    "en": ("en", "eng", "english"), "ta": ("ta", "tam", "tamil", "தமிழ்"), "hi": ("hi", "hin", "hindi", "हिन्दी", "हिंदी"), "te": ("te", "tel", "telugu", "తెలుగు"),
+    "bn": ("bn", "ben", "bengali", "bangla", "বাংলা"), "kn": ("kn", "kan", "kannada", "ಕನ್ನಡ"), "ml": ("ml", "mal", "malayalam", "മലയാളം"), "mr": ("mr", "mar", "marathi", "मराठी"),
+    "pt": ("pt", "por", "portuguese"), "ru": ("ru", "rus", "russian"), "zh": ("zh", "zho", "chinese", "中文"),
+}
+ROMANISED_NAMES = ("romanised", "romanized", "transliterated")
+SUPPORTED_LANGUAGES = ("en", "ta", "hi", "te", "bn", "kn", "ml")
+DETECTED_LANGUAGES = ("en", "ta", "hi", "te", "bn", "kn", "ml", "mr", "romanised")
 
 
 def sector_assets(spark: SparkSession) -> DataFrame:
