@@ -274,16 +274,25 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
     carried = [*kinds, "copies"]
     picked = rows.join(F.broadcast(chosen), ["doc_id", "ord"]).select("text", *carried)
     picked = picked.mapInArrow(featured, "ord long, votes string, gold_quality int, gold_toxic int, copies int, words binary, shapes binary, weights binary")
-    table = picked.dropDuplicates(kinds).drop("ord").toArrow().to_pydict()
+    table = picked.dropDuplicates(kinds).drop("ord").toArrow().combine_chunks()
+
+    def parts(name: str, kind: str) -> list[np.ndarray]:
+        """The cells of a binary column, read where they lie."""
+        out = []
+        for chunk in table.column(name).chunks:
+            ends = np.frombuffer(chunk.buffers()[1], "<i4", len(chunk) + 1, 4 * chunk.offset) // 4
+            data = np.frombuffer(chunk.buffers()[2] or b"", kind)
+            out += [data[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        return out
+
     targets = {}
     for i, task in enumerate(TASKS):
-        guess = [posterior[task].get(tuple(map(int, v.split(",")[i])), 0.5) for v in table["votes"]]
-        targets[task] = np.array([p if g is None else g for p, g in zip(guess, table[f"gold_{task}"])], float)
-    word_rows = [np.frombuffer(x, "<i4") for x in table["words"]]
-    shape_rows = [np.frombuffer(x, "<i4") for x in table["shapes"]]
-    copies = np.array(table["copies"], float)
-    toxic = _fit_toxic(word_rows, targets["toxic"], copies, np.array([g is not None for g in table["gold_toxic"]], bool))
-    quality = _fit(shape_rows, [np.frombuffer(x, "<f4") for x in table["weights"]], targets["quality"], copies, 1 << SHAPE_BITS, 3)
+        guess = [posterior[task].get(tuple(map(int, v.split(",")[i])), 0.5) for v in table.column("votes").to_pylist()]
+        targets[task] = np.array([p if g is None else g for p, g in zip(guess, table.column(f"gold_{task}").to_pylist())], float)
+    word_rows, shape_rows = parts("words", "<i4"), parts("shapes", "<i4")
+    copies = table.column("copies").to_numpy().astype(float)
+    toxic = _fit_toxic(word_rows, targets["toxic"], copies, table.column("gold_toxic").is_valid().to_numpy())
+    quality = _fit(shape_rows, parts("weights", "<f4"), targets["quality"], copies, 1 << SHAPE_BITS, 3)
     return QualityModel(quality, toxic)
 
 
