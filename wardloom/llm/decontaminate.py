@@ -89,6 +89,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> Dat
     hits = _seeds(_spans(texts, "tokens", every).join(ends, "ends", "left_semi")).join(seeds, "seed")
     hits = stored(hits.select("doc_id", "th", "item_id", "ih", (F.col("at") - F.col("item_at")).alias("offset")).distinct())
     hit = hits.alias("h").join(items.select(F.col("item_id").alias("same_id"), F.xxhash64("item").alias("same_ih"), "item"), [F.col("h.item_id").eqNullSafe(F.col("same_id")), F.col("h.ih") == F.col("same_ih")]).drop("same_id", "same_ih")
+    # the texts of documents without a hit stay where they are, for the keys of the others are small enough to be broadcast or cheap to shuffle
+    found = stored(hits.select(F.col("doc_id").alias("found_id"), F.col("th").alias("found_th")).distinct())
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    texts = texts.join(found, texts["doc_id"].eqNullSafe(found["found_id"]) & (texts["th"] == found["found_th"]), "left_semi").select("doc_id", "th", words(F.col("text")).alias("tokens"))
     laid = texts.alias("t").join(hit.alias("h"), [F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")), F.col("t.th") == F.col("h.th")])
     laid = laid.select("h.doc_id", "h.th", "h.item_id", "offset", "item", "tokens").withColumn("part", _best_part())
     return laid.where(F.col("part") >= agree).groupBy("doc_id", "th", "item_id").agg(F.max("part").alias("part"))
