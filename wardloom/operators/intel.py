@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from wardloom.config import GapConfig, IntelConfig
 from wardloom.functions.columns import band, clamp, percent_change, safe_div, title
 from wardloom.functions.grid import within
+from wardloom.functions.ordered import checkpoint_dir, running
 from wardloom.operators.mesh import ACTIVE_STATUSES, elapsed
-from wardloom.sources.io import checkpoint_dir
 
 CONFIG = IntelConfig()
 # Shares of the rank from which a tier begins.
@@ -144,10 +144,11 @@ def ward_signals(wards: DataFrame, demand: DataFrame) -> DataFrame:
     return rows.withColumn("intensity", F.round(F.col("complaints") / (F.greatest("population", F.lit(1)) / 1000), 4))
 
 
-def hotspots(wards: DataFrame, demand: DataFrame, radius_m: float = CONFIG.radius_m) -> DataFrame:
-    """Clusters of wards with complaints, their rate, z-score against all wards and tier by rank."""
+def hotspots(wards: DataFrame, demand: DataFrame, radius_m: float = CONFIG.radius_m, grouped: DataFrame | None = None) -> DataFrame:
+    """Clusters of wards with complaints, their rate, z-score against all wards and tier by rank. grouped: the wards' clusters, where they are known."""
+    checkpoint_dir(wards.sparkSession)
     signals = ward_signals(wards, demand)
-    members = signals.join(clusters(wards, near_pairs(wards, radius_m)), "ward_code")
+    members = signals.join(clusters(wards, near_pairs(wards, radius_m)) if grouped is None else grouped, "ward_code")
     spread = signals.agg(F.avg("intensity").alias("mean"), F.stddev_pop("intensity").alias("dev"))
     out = members.groupBy("cluster").agg(
         F.min_by("district", "ward_code").alias("district"),
@@ -163,10 +164,12 @@ def hotspots(wards: DataFrame, demand: DataFrame, radius_m: float = CONFIG.radiu
         F.count("*").alias("wards"),
     ).where("complaints >= 1")
     rate = F.col("complaints") / (F.greatest("population", F.lit(1)) / 1000)
-    out = out.crossJoin(F.broadcast(spread)).withColumns({"mean_intensity": F.round(rate, 4), "z": F.when(F.col("dev") > 0, F.round((rate - F.col("mean")) / F.col("dev"), 4)).otherwise(F.lit(0.0))}).drop("mean", "dev")
-    # clusters are far fewer than wards, and their rank is over all of them
-    rank = F.round(F.cume_dist().over(Window.orderBy("mean_intensity")), 4)
-    return out.withColumn("rank_fraction", rank).withColumn("tier", band("rank_fraction", TIER_CUTS, "NORMAL"))
+    out = out.crossJoin(F.broadcast(spread)).withColumns({"mean_intensity": F.round(rate, 4), "z": F.when(F.col("dev") > 0, F.round((rate - F.col("mean")) / F.col("dev"), 4)).otherwise(F.lit(0.0))}).drop("mean", "dev").checkpoint()
+    # the share of hotspots up to a rate, ties included: rates are counted, then summed in order
+    upto = running(out.groupBy("mean_intensity").agg(F.count("*").alias("n")), ["mean_intensity"], upto=F.col("n")).drop("n")
+    total = out.agg(F.count("*").alias("total"))
+    out = out.join(upto, "mean_intensity").crossJoin(F.broadcast(total))
+    return out.withColumn("rank_fraction", F.round(F.col("upto") / F.col("total"), 4)).drop("upto", "total").withColumn("tier", band("rank_fraction", TIER_CUTS, "NORMAL"))
 
 
 def assign_to_ward(points: DataFrame, wards: DataFrame, config: GapConfig = GapConfig(), half: float = 0.025) -> DataFrame:

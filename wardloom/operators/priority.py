@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardloom.config import PriorityConfig
 from wardloom.functions.columns import band, clamp, safe_div
+from wardloom.functions.ordered import running
 
 CONFIG = PriorityConfig()
 FACTORS = ("demand", "severity", "trend", "coverage", "service_failure")
@@ -66,8 +67,8 @@ def scored(rows: DataFrame, config: PriorityConfig = CONFIG) -> DataFrame:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """rank 1..n by falling score, then code. Hotspots are summaries, so one window over them is small."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "cluster"))).withColumn("hotspot_code", F.format_string("HS-%d-%04d", F.lit(90), "rank"))
+    """rank 1..n by falling score, then code."""
+    return running(rows, [F.desc("score"), F.col("cluster")], rank=F.lit(1)).withColumn("rank", F.col("rank").cast("int")).withColumn("hotspot_code", F.format_string("HS-%d-%04d", F.lit(90), "rank"))
 
 
 def recommendation() -> Column:
@@ -92,7 +93,7 @@ def cost_lakhs() -> Column:
 def action_plan(rows: DataFrame) -> DataFrame:
     """The ranking with costs, running cost in rank order, and the recommendation."""
     rows = rows.withColumns({"cost_lakhs": cost_lakhs(), "recommendation": recommendation()})
-    return rows.withColumn("cumulative_lakhs", F.round(F.sum("cost_lakhs").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)), 1))
+    return running(rows, ["rank"], cumulative_lakhs=F.col("cost_lakhs")).withColumn("cumulative_lakhs", F.round("cumulative_lakhs", 1))
 
 
 def movement(now: DataFrame, history: DataFrame) -> DataFrame:

@@ -65,10 +65,10 @@ def _(t: Tables) -> DataFrame:
     return trends_of(t).agg(F.round(F.avg("slope"), 6).alias("slope"))
 
 
-@query("f3_trends_in_order", f"with {SERIES} select ward_code, sector, direction, pct_change from tr order by case direction when 'WORSENING' then 0 when 'IMPROVING' then 1 when 'STABLE' then 2 else 3 end, pct_change desc, ward_code, sector limit 50")
+@query("f3_trends_in_order", f"with {SERIES} select ward_code, sector, direction, pct_change from tr order by case direction when 'WORSENING' then 0 when 'IMPROVING' then 1 when 'STABLE' then 2 else 3 end, pct_change desc, ward_code, sector")
 def _(t: Tables) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, DIRECTIONS)), F.col("direction"))
-    return trends_of(t).orderBy(rank, F.desc("pct_change"), "ward_code", "sector").limit(50).select("ward_code", "sector", "direction", "pct_change")
+    return trends_of(t).orderBy(rank, F.desc("pct_change"), "ward_code", "sector").select("ward_code", "sector", "direction", "pct_change")
 
 
 @query("f4_emerging_top", f"with {SERIES} select ward_code, sector, momentum, pct_change from tr where direction = 'WORSENING' order by momentum desc, pct_change desc, ward_code, sector limit 10")
@@ -112,10 +112,10 @@ def _(t: Tables) -> DataFrame:
     return one_column(t.spark, "risk_type", RISK_TYPES).join(counts, "risk_type", "left").select("risk_type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("f5_risks_in_order", f"with {RISKS} select risk_code, severity, confidence from rk order by case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end, confidence desc, risk_code limit 50")
+@query("f5_risks_in_order", f"with {RISKS} select risk_code, severity, confidence from rk order by case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end, confidence desc, risk_code")
 def _(t: Tables) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, ("CRITICAL", "HIGH", "MEDIUM", "LOW"))), F.col("severity"))
-    return risks_of(t).orderBy(rank, F.desc("confidence"), "risk_code").limit(50).select("risk_code", "severity", "confidence")
+    return risks_of(t).orderBy(rank, F.desc("confidence"), "risk_code").select("risk_code", "severity", "confidence")
 
 
 @query("d28_active_money", f"with {MONEY} select ward_code, sector, active, round(committed, 6) as committed, round(spent, 6) as spent from am")

@@ -87,9 +87,9 @@ def _(t: Tables) -> DataFrame:
     return gaps_of(t).groupBy("severity").agg(F.count("*").alias("n"), F.count_distinct("sector").alias("sectors"), F.round(F.max("gap_score"), 6).alias("worst"))
 
 
-@query("f1_gaps_worst_first", f"with {GAPS} select ward_code, sector, gap_score from gaps order by gap_score desc, ward_code, sector limit 20")
+@query("f1_gaps_worst_first", f"with {GAPS} select ward_code, sector, gap_score from gaps order by gap_score desc, ward_code, sector")
 def _(t: Tables) -> DataFrame:
-    return gaps_of(t).select("ward_code", "sector", "gap_score").orderBy(F.desc("gap_score"), "ward_code", "sector").limit(20)
+    return gaps_of(t).select("ward_code", "sector", "gap_score").orderBy(F.desc("gap_score"), "ward_code", "sector")
 
 
 @query("b6_gaps_filtered", f"with {GAPS} select ward_code, sector, gap_score, severity from gaps where sector = 'WATER' and severity in ('HIGH', 'CRITICAL') and gap_score >= 50")
@@ -181,9 +181,9 @@ def _(t: Tables) -> DataFrame:
     return t.base("documents").groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("d6_status_counts_zero_filled", "with e as (select unnest(['PLANNED', 'IN_PROGRESS', 'COMPLETED', 'DELAYED', 'CANCELLED']) as status) select e.status, coalesce(n, 0) as n from e left join (select status, count(*) as n from projects where budget_lakhs > 400 group by status) p on p.status = e.status")
+@query("d6_status_counts_zero_filled", "with e as (select unnest(['PLANNED', 'IN_PROGRESS', 'COMPLETED', 'DELAYED', 'CANCELLED']) as status) select e.status, coalesce(n, 0) as n from e left join (select status, count(*) as n from projects group by status) p on p.status = e.status")
 def _(t: Tables) -> DataFrame:
-    counts = t.projects.where("budget_lakhs > 400").groupBy("status").agg(F.count("*").alias("n"))
+    counts = t.projects.groupBy("status").agg(F.count("*").alias("n"))
     return one_column(t.spark, "status", PROJECT_STATUSES).join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardloom.config import AS_OF
 from wardloom.functions import text as tx
 from wardloom.functions.columns import inside, lookup, valid_point
+from wardloom.functions.ordered import running
 from wardloom.operators import geocode, intel, mesh, priority
 from wardloom.plans.intel_queries import MONEY, PAIRS, SERIES, trends_of
 from wardloom.plans.mesh_queries import GAPS, STALLED, YEAR, gaps_of
@@ -237,10 +238,10 @@ def _(t: Tables) -> DataFrame:
     return t.base("documents").select("doc_id", lookup(clean, {"english": "en", "en": "en", "ta": "ta", "tamil": "ta", "hi": "hi", "hindi": "hi"}).alias("code"))
 
 
-@query("h68_lakh_labels", "select project_code, case when budget_lakhs >= 100 then printf('%.1f cr', budget_lakhs / 100) else printf('%.0f L', budget_lakhs) end as label from projects where delay_days % 2 = 0")
+@query("h68_lakh_labels", "select project_code, case when budget_lakhs >= 100 then printf('%.1f cr', budget_lakhs / 100) else printf('%.0f L', budget_lakhs) end as label from projects")
 def _(t: Tables) -> DataFrame:
     label = F.when(F.col("budget_lakhs") >= 100, F.format_string("%.1f cr", F.col("budget_lakhs") / 100)).otherwise(F.format_string("%.0f L", "budget_lakhs"))
-    return t.projects.where("delay_days % 2 = 0").select("project_code", label.alias("label"))
+    return t.projects.select("project_code", label.alias("label"))
 
 
 @query("h71_window_bounds", "select project_code, sanctioned_on + planned_days as window_end, sanctioned_on + planned_days - 30 as window_start from projects")
@@ -267,8 +268,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("n8_issue_ids", "select event_type, printf('ISSUE-%05d', row_number() over (order by event_type)) as issue from (select distinct event_type from events) x")
 def _(t: Tables) -> DataFrame:
-    groups = t.base("events").select("event_type").distinct()
-    return groups.select("event_type", F.format_string("ISSUE-%05d", F.row_number().over(Window.orderBy("event_type"))).alias("issue"))
+    groups = running(t.base("events").select("event_type").distinct(), ["event_type"], no=F.lit(1))
+    return groups.select("event_type", F.format_string("ISSUE-%05d", "no").alias("issue"))
 
 
 @query("n12_census_by_ward", "select ward_code, year, n from (select ward_code, installed_year as year, count(*) as n, row_number() over (partition by ward_code order by installed_year desc) as r from assets group by 1, 2) x where r = 1")

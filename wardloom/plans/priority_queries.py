@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardloom.functions.ordered import running
 from wardloom.operators import intel, priority
-from wardloom.plans.intel_queries import SERIES, SPOTS, hotspots_of, trends_of
+from wardloom.plans.intel_queries import SERIES, SPOTS, trends_of
 from wardloom.plans.mesh_queries import GAPS, gaps_of
 from wardloom.plans.registry import query
 from wardloom.sources.testdata import Tables
@@ -28,8 +29,9 @@ pl as (select *, round(50 + 5 * wards + 15 * least(2, coalesce(stalled_share, 0)
 
 
 def ranked_of(t: Tables) -> DataFrame:
-    spots = hotspots_of(t)
-    members = intel.clusters(t.wards, intel.near_pairs(t.wards)).join(spots.select("cluster"), "cluster", "left_semi")
+    grouped = intel.clusters(t.wards, intel.near_pairs(t.wards))
+    spots = intel.hotspots(t.wards, t.citizen_demand, grouped=grouped)
+    members = grouped.join(spots.select("cluster"), "cluster", "left_semi")
     return priority.ranked(priority.scored(priority.signals(spots, members, t.citizen_demand, trends_of(t), gaps_of(t), t.projects)))
 
 
@@ -57,10 +59,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("e10_movement", f"with recursive {RANKED}, hi as (select cluster, row_number() over (order by complaints desc, cluster) as r from sc) select sc.cluster, sc.rank, hi.r - sc.rank as rank_change from sc join hi on hi.cluster = sc.cluster")
 def _(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     now = ranked_of(t)
-    history = now.select("cluster", F.lit(1).alias("run_id"), F.row_number().over(Window.orderBy(F.desc("complaints"), "cluster")).alias("rank"), "score")
+    history = running(now.select("cluster", "complaints", F.lit(1).alias("run_id"), "score"), [F.desc("complaints"), F.col("cluster")], rank=F.lit(1)).drop("complaints")
     return priority.movement(now, history).select("cluster", "rank", "rank_change")
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardloom.functions.ordered import running
+
 ENVELOPE = T.StructType([T.StructField(n, T.StringType()) for n in ("event_id", "event", "event_type", "channel", "correlation_id", "request_id", "schema_version", "source_module", "timestamp")] + [T.StructField("payload", T.MapType(T.StringType(), T.StringType()))])
 COLUMNS = ["event_id", "event", "event_type", "request_key", "correlation_id", "channel", "timestamp", "payload"]
 
@@ -58,13 +57,8 @@ def surrogate(prefix: str, key: Column) -> Column:
 
 
 def request_ids(rows: DataFrame, order: str, year: int) -> DataFrame:
-    """rows with sequential ids; the counts of ordered ranges before a row's own give its offset, so no task holds all rows."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
-    own = ranged.withColumn("__n", (F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33)) + 1)
-    sizes = own.groupBy("__part").agg(F.max("__n").alias("size"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy(F.col("a.__part").alias("__p")).agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("before"))
-    out = own.join(F.broadcast(before), F.col("__part") == F.col("__p"))
-    return out.withColumn("request_no", F.format_string(f"REQ-{year}-%06d", F.col("before") + F.col("__n"))).drop("__part", "__at", "__n", "__p", "before")
+    """rows with sequential ids in the order, which no two rows share."""
+    return running(rows, [order], __no=F.lit(1)).withColumn("request_no", F.format_string(f"REQ-{year}-%06d", "__no")).drop("__no")
 
 
 def outbox(rows: DataFrame, sent: DataFrame) -> DataFrame:
@@ -72,14 +66,3 @@ def outbox(rows: DataFrame, sent: DataFrame) -> DataFrame:
     tries = sent.groupBy("event_id").agg(F.max("ok").alias("ok"), F.count("*").alias("attempts"))
     status = F.when(F.col("ok"), "PUBLISHED").when(F.col("attempts") > 0, "FAILED").otherwise("PENDING")
     return rows.join(tries, "event_id", "left").withColumns({"status": status, "attempts": F.coalesce("attempts", F.lit(0)).cast("long")}).drop("ok")
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names. Where none is named, a temporary one for a master in one process, as in tests, and an error on a cluster."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wardloom-"))
-    return sc.getCheckpointDir()
