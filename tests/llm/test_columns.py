@@ -11,6 +11,7 @@ from wardloom.llm.simhash import dedup_simhash
 from wardloom.llm.substring_dedup import remove_repeats
 from wardloom.llm.vector_dedup import link_embeddings
 from wardloom.llm.weak_quality import QualityModel, fit_quality, score_quality
+from wardloom.llm.word_runs import collapse_runs
 from wardloom.llm.zstd_language import predict_language
 
 
@@ -39,6 +40,7 @@ OPERATORS = {
     "leaks": lambda d: decontaminate(d, bench(d.sparkSession)),
     "language": lambda d: predict_language(d, {"en": b"the and ing", "de": b"sch ung ein"}),
     "quality": quality,
+    "runs": collapse_runs,
     "katz": lambda d: katz.score(d, katz.fit(d, F.lit(True)), F.lit(True)),
 }
 

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline, and the SQL that checks them."""
+"""The registered queries of the operators and of the pipeline, and the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardloom.llm.common import documents, stored
@@ -19,6 +19,7 @@ from wardloom.llm.simhash import simhash_components
 from wardloom.llm.vector_dedup import link_embeddings
 from wardloom.llm.substring_dedup import remove_repeats
 from wardloom.llm.weak_quality import fit_quality, score_quality
+from wardloom.llm.word_runs import collapse_runs
 from wardloom.llm.zstd_language import fit_dictionaries, held_out, predict_language
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +83,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def made_periodic(doc_id: str, text: str) -> Column:
+    """The text of a document whose id asks for it with its words repeated from one of them on, by the rule of op11's contract; other texts as they are."""
+    h = F.crc32(F.col(doc_id).cast("string"))
+    g = F.floor(h / 10)
+
+    def written(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        block = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, 1, a), F.slice(block, 1, n - a)), " ")
+
+    words = F.array_remove(F.split(F.col(text), "[\\x20\\x09-\\x0D]+"), "")
+    return F.when((h % 10 == 0) & F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.transform(F.array(words), written)[0]).otherwise(F.col(text))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", made_periodic("doc_id", "text").alias("text"))
+    greater = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), greater)
+    found = collapse_runs(docs).withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 OP1_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 k AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
@@ -130,6 +163,30 @@ SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, v.vec_id = c
 FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
+#: All pairs of equal 16 words of a document, which any run of 24 words and three periods has at its period, in islands of one distance.
+OP11_SQL = r"""
+WITH e AS (SELECT doc_id, text, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda acc, b: list_reduce(list_prepend(xor(acc, b), CAST(range(8) AS BIGINT[])), lambda c, i: xor(c >> 1, (c & 1) * 3988292384))) AS crc FROM documents),
+d AS (SELECT doc_id, xor(crc, 4294967295) AS h, list_filter(string_split_regex(coalesce(text, ''), '[ 	
+]+'), lambda x: x <> '') AS w FROM e),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w FROM p),
+s AS (SELECT doc_id, w, unnest(range(0, n - 15)) AS i FROM t WHERE n >= 16),
+m AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i + 1, i + 16), ' ')) AS m FROM s),
+q AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.m = y.m AND x.i < y.i),
+o AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM q),
+l AS (SELECT doc_id, q, min(i) AS start, count(*) + 15 + q AS length FROM o GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM l WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+b AS (SELECT x.* FROM r x WHERE NOT EXISTS (SELECT 1 FROM r y WHERE y.doc_id = x.doc_id AND (y.length * x.period > x.length * y.period OR (y.length * x.period = x.length * y.period AND (y.start < x.start OR (y.start = x.start AND y.period < x.period)))))),
+c AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+u AS (SELECT doc_id, unnest(w) AS x, unnest(range(n)) AS i FROM t),
+k AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.i) AS kept FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.i = u.i WHERE g.i IS NULL GROUP BY u.doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(c.runs, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN c ON c.doc_id = t.doc_id LEFT JOIN b ON b.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -143,9 +200,10 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_language_model": op9_language_model,
         "op10_simhash": op10_simhash,
+        "op11_periodic_runs": op11_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_embedding_dedup": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op11_periodic_runs": OP11_SQL}
