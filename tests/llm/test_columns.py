@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from wardloom.llm import katz
 from wardloom.llm.decontaminate import decontaminate
 from wardloom.llm.line_dedup import dedup_lines
+from wardloom.llm.line_quality import clean_lines
 from wardloom.llm.piece_codec import encode_documents
 from wardloom.llm.simhash import dedup_simhash
 from wardloom.llm.substring_dedup import remove_repeats
@@ -41,6 +42,7 @@ OPERATORS = {
     "language": lambda d: predict_language(d, {"en": b"the and ing", "de": b"sch ung ein"}),
     "quality": quality,
     "runs": collapse_runs,
+    "line rules": clean_lines,
     "katz": lambda d: katz.score(d, katz.fit(d, F.lit(True)), F.lit(True)),
 }
 

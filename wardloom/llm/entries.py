@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wardloom.llm.common import documents, stored
 from wardloom.llm.decontaminate import contamination
 from wardloom.llm import katz
+from wardloom.llm import line_quality
 from wardloom.llm.line_dedup import dedup_lines
 from wardloom.llm.piece_codec import encode_documents
 from wardloom.llm.private_data import KINDS, count_of, find_private, written
@@ -115,6 +116,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_quality.clean_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_navigation", "n_boilerplate", "n_punctuation", F.sha2("text", 256).alias("cleaned_sha256"))
+
+
 OP1_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 k AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
@@ -168,7 +174,8 @@ OP11_SQL = r"""
 WITH e AS (SELECT doc_id, text, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
   lambda acc, b: list_reduce(list_prepend(xor(acc, b), CAST(range(8) AS BIGINT[])), lambda c, i: xor(c >> 1, (c & 1) * 3988292384))) AS crc FROM documents),
 d AS (SELECT doc_id, xor(crc, 4294967295) AS h, list_filter(string_split_regex(coalesce(text, ''), '[ 	
-]+'), lambda x: x <> '') AS w FROM e),
+
+]+'), lambda x: x <> '') AS w FROM e),
 a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
 p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
 t AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w FROM p),
@@ -187,6 +194,30 @@ SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 100
 FROM t LEFT JOIN c ON c.doc_id = t.doc_id LEFT JOIN b ON b.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id
 """
 
+_SQL_SPACES = r"[ \t\n\x0B\f\r]+"
+
+OP12_SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(line, '{_SQL_SPACES}'), lambda x: x <> '') AS w FROM l),
+c AS (SELECT *, len(w) AS n, array_to_string(w, ' ') AS plain, length(array_to_string(w, '')) AS chars, len(regexp_extract_all(line, '{line_quality.SYMBOLS}')) AS symbols,
+  len(list_filter(w, lambda x: regexp_matches(x, '{line_quality.SEPARATOR}'))) AS seps, len(list_filter(w, lambda x: regexp_matches(x, '{line_quality.MARKED}'))) AS marks FROM w),
+j AS (SELECT *, CASE WHEN n = 0 THEN NULL
+  WHEN seps >= 3 AND 100 * seps >= 25 * n OR n <= 6 AND regexp_matches(lower(plain), '^({"|".join(line_quality.MENU)})[.:]?$') THEN 'navigation'
+  WHEN n <= 30 AND regexp_matches(lower(plain), '{"|".join(line_quality.BOILERPLATE)}') THEN 'boilerplate'
+  WHEN symbols >= 3 AND 100 * symbols > 30 * n OR marks >= 3 AND 100 * marks > 33 * n OR n < 4 AND NOT regexp_matches(plain, '{line_quality.FINAL.replace("'", "''")}') THEN 'punctuation' END AS failed,
+  n > 0 AND row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM c),
+d AS (SELECT doc_id, sum(n) AS n_words, sum(chars) AS word_chars, sum(symbols) AS n_symbols, count(*) FILTER (WHERE again) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE failed IS NOT NULL), 0) AS lost,
+  count(*) FILTER (WHERE failed = 'navigation') AS n_navigation, count(*) FILTER (WHERE failed = 'boilerplate') AS n_boilerplate, count(*) FILTER (WHERE failed = 'punctuation') AS n_punctuation,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE failed IS NULL), '')) AS cleaned_sha256 FROM j GROUP BY doc_id),
+t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_SQL_SPACES}'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+p AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r WHERE n > 1) GROUP BY doc_id),
+f AS (SELECT d.*, coalesce(p.n_repeat_words, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(p.n_repeat_words, 0) > 20 * n_words AS base_failed FROM d LEFT JOIN p USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost <= 70 * word_chars AS kept,
+  n_navigation, n_boilerplate, n_punctuation, cleaned_sha256 FROM f
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -201,9 +232,10 @@ def queries() -> dict[str, Query]:
         "op9_language_model": op9_language_model,
         "op10_simhash": op10_simhash,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_quality_rules": op12_quality_rules,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op11_periodic_runs": OP11_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op11_periodic_runs": OP11_SQL, "op12_quality_rules": OP12_SQL}
