@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardloom.llm.collocations import collocations
 from wardloom.llm.common import documents, stored
 from wardloom.llm.decontaminate import contamination
 from wardloom.llm import katz
@@ -121,6 +122,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_navigation", "n_boilerplate", "n_punctuation", F.sha2("text", 256).alias("cleaned_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir).select("lang", "text"))
+
+
 OP1_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 k AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
@@ -218,6 +223,25 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   n_navigation, n_boilerplate, n_punctuation, cleaned_sha256 FROM f
 """
 
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
+g AS (SELECT lang, list_slice(w, i, i + k - 1) AS g, k FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w)),
+f AS MATERIALIZED (SELECT lang, array_to_string(g, ' ') AS phrase, k, count(*) AS a FROM g GROUP BY lang, g, k HAVING count(*) >= 100),
+v AS (SELECT *, string_split(phrase, ' ') AS w FROM f),
+e AS (SELECT lang, array_to_string(list_slice(w, 1, k - 1), ' ') AS phrase, a FROM v UNION ALL SELECT lang, array_to_string(list_slice(w, 2, k), ' '), a FROM v),
+x AS (SELECT lang, phrase, max(a) AS longer FROM e GROUP BY lang, phrase),
+c AS (SELECT v.* FROM v LEFT JOIN x USING (lang, phrase) WHERE k >= 2 AND (longer IS NULL OR longer < a)),
+u AS (SELECT lang, phrase, a, unnest(range(1, k)) AS cut, w, k FROM c),
+z AS (SELECT u.lang, u.phrase, u.a, u.cut, l.a AS l, r.a AS r, t.n, CAST(1000 AS HUGEINT) * u.a * t.n // (CAST(l.a AS HUGEINT) * r.a) AS score FROM u
+  JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(list_slice(w, 1, cut), ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(list_slice(w, cut + 1, u.k), ' ') JOIN t ON t.lang = u.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS worst FROM z),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE worst = 1)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -233,9 +257,10 @@ def queries() -> dict[str, Query]:
         "op10_simhash": op10_simhash,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_quality_rules": op12_quality_rules,
+        "op13_collocations": op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op11_periodic_runs": OP11_SQL, "op12_quality_rules": OP12_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op11_periodic_runs": OP11_SQL, "op12_quality_rules": OP12_SQL, "op13_collocations": OP13_SQL}
