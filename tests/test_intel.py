@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from wardloom.operators import intel, priority, records
+from wardloom.operators import intel, issues, priority, records
 from wardloom.sources import io
 from wardloom.streaming import ingest
 
@@ -74,7 +74,7 @@ def test_issue_groups_follow_time(spark):
     t0 = dt.datetime(2024, 1, 1)
     rows = [("R1", "ROAD", "S", 12.9249, 80.1, t0, "big pothole near school"), ("R2", "ROAD", "S", 12.9250, 80.1001, t0 + dt.timedelta(hours=2), "pothole near school"), ("R3", "ROAD", "S", 12.95, 80.2, t0, "pothole near school"), ("R4", "ROAD", "S", 12.9249, 80.1, t0 + dt.timedelta(days=60), "big pothole near school")]
     df = spark.createDataFrame(rows, "report_id string, category string, sub_category string, lat double, lon double, at timestamp, text string")
-    assert {r["report_id"]: r["group_id"] for r in records.group_issues(df).collect()} == {"R1": "R1", "R2": "R1", "R3": "R3", "R4": "R4"}
+    assert {r["report_id"]: r["group_id"] for r in issues.group_issues(df).collect()} == {"R1": "R1", "R2": "R1", "R3": "R3", "R4": "R4"}
 
 
 def test_envelopes(spark):

@@ -40,3 +40,22 @@ def within(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at
     there = there.withColumns({"__y": row(right_at[0]) + F.col("__dy"), "__x": F.pmod(column(right_at[1]) + F.col("__dx"), F.lit(n))}).drop("__dy", "__dx")
     met = here.join(there, ["__y", "__x"]).drop("__y", "__x")
     return met.withColumn("metres", haversine_m(*left_at, *right_at, earth_m)).where(F.col("metres") <= radius_m)
+
+
+def tiles(lat: Column, lon: Column, size: float, radius_m: float = 0.0) -> Column:
+    """Array of the names of the tiles that a circle touches; one for a point. Tiles are ``size`` degrees high and as wide or wider, in metres, at every latitude; they end at 180 degrees and meet there."""
+    reach = math.degrees(radius_m / EARTH_M) * (1 + 1e-9)
+    rows = max(1, int(180 / size))
+    height = 180 / rows
+    row = lambda y: F.greatest(F.lit(0), F.least(F.lit(rows - 1), F.floor((y + 90) / height))).cast("int")
+    part = F.lit(math.sin(math.radians(min(reach, 90.0)))) / F.greatest(F.cos(F.radians(F.abs(lat))), F.lit(1e-12))
+    east = F.when(part < 1, F.degrees(F.asin(F.least(part, F.lit(1.0)))) * (1 + 1e-9)).otherwise(F.lit(180.0))
+
+    def of(r: Column) -> Column:
+        edge = F.greatest(F.abs(r * height - 90), F.abs((r + 1) * height - 90))
+        n = F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / height)).cast("int")
+        low, high = F.floor((lon + 180 - east) * n / 360).cast("int"), F.floor((lon + 180 + east) * n / 360).cast("int")
+        columns = F.when(high - low + 1 >= n, F.sequence(F.lit(0), n - 1)).otherwise(F.array_distinct(F.transform(F.sequence(low, high), lambda c: F.pmod(c, n))))
+        return F.transform(columns, lambda c: F.concat_ws(":", r, c))
+
+    return F.flatten(F.transform(F.sequence(row(lat - reach), row(lat + reach)), of))

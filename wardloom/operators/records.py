@@ -1,14 +1,12 @@
-"""Complaint records: cleaning, classification, validation, quality, entities, duplicates and ingestion."""
+"""Complaint records: cleaning, classification, validation, quality, entities and ingestion."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardloom.config import DedupConfig
-from wardloom.functions.columns import clamp, haversine_m, lookup, valid_point
-from wardloom.functions.text import contains_phrase, jaccard, normalize_text, sequence_ratio, tokens
+from wardloom.functions.columns import clamp, lookup, valid_point
+from wardloom.functions.text import contains_phrase, normalize_text, tokens
 from wardloom.vocab import SECTORS
 
 #: Our own lexicon: (category, sub_category, term, weight). A phrase counts 1, a lemma a half.
@@ -243,68 +241,6 @@ def quality_status(validation: str, score: str) -> Column:
     return F.when(F.col(validation).isin("INVALID", "NEEDS_REVIEW"), F.col(validation)).when(F.col(score) >= VALID_SCORE, "VALID").otherwise("NEEDS_REVIEW")
 
 
-# ---- duplicates ------------------------------------------------------------
-def match_scores(reports: DataFrame, groups: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
-    """The best group of each report: same category and sub-category, near in place, text and time, and a score of ``least`` or more.
-
-    Both sides meet on category, sub-category and a grid cell at least as wide as the radius, so a busy category is spread over
-    its places. Of a report's candidates the newest ``candidates`` are scored, as the operator is defined.
-    """
-    cell = 0.05
-    here = reports.withColumns({"y": F.floor(F.col("lat") / cell), "x": F.floor(F.col("lon") / cell)})
-    there = groups.withColumn("y", F.explode(F.transform(F.expr("sequence(-1L, 1L)"), lambda d: F.floor(F.col("g_lat") / cell) + d))).withColumn("x", F.explode(F.transform(F.expr("sequence(-1L, 1L)"), lambda d: F.floor(F.col("g_lon") / cell) + d)))
-    hours = (F.unix_timestamp("at") - F.unix_timestamp("g_at")) / 3600
-    metres = haversine_m("lat", "lon", "g_lat", "g_lon")
-    pairs = here.join(there, ["category", "sub_category", "y", "x"]).withColumns({"metres": metres, "hours": F.abs(hours)}).where((F.col("metres") <= config.radius_m) & (F.col("hours") <= config.horizon_hours))
-    pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy("report_id").orderBy(F.desc("g_at"), "group_id"))).where(F.col("n") <= config.candidates)
-    inside_ = F.contains("text", "g_text") | F.contains("g_text", "text")
-    near = (sequence_ratio("text", "g_text") + jaccard(tokens("text"), tokens("g_text"))) / 2
-    pairs = pairs.withColumn("text_score", F.when(inside_, 1.0).otherwise(near)).where(F.col("text_score") >= config.least_text)
-    score = config.geo * (1 - F.col("metres") / config.radius_m) + config.text * F.col("text_score") + config.time * F.greatest(F.lit(0.0), 1 - F.col("hours") / config.horizon_hours)
-    best = pairs.withColumn("score", F.round(score, 6)).where(F.col("score") >= config.least)
-    return best.withColumn("n", F.row_number().over(Window.partitionBy("report_id").orderBy(F.desc("score"), F.desc("g_at"), "group_id"))).where("n = 1").select("report_id", "group_id", "score")
-
-
-def group_issues(reports: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
-    """Reports with the issue group that each joins or opens, in order of time.
-
-    Each report is compared with the groups that stand when it comes, so a key's reports must be taken one after the
-    other; the key holds the category, sub-category and a coarse cell of place, and a key's open groups are bounded by the horizon.
-    """
-    import math
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        import difflib
-
-        groups: list[dict] = []
-        ids = []
-        for r in pdf.sort_values(["at", "report_id"]).itertuples():
-            groups = [g for g in groups if (r.at - g["at"]).total_seconds() <= config.horizon_hours * 3600]
-            best, top = None, 0.0
-            for g in groups:
-                a = math.sin(math.radians(g["lat"] - r.lat) / 2) ** 2 + math.cos(math.radians(r.lat)) * math.cos(math.radians(g["lat"])) * math.sin(math.radians(g["lon"] - r.lon) / 2) ** 2
-                metres = 2 * 6_371_008.8 * math.asin(math.sqrt(min(1.0, a)))
-                if metres > config.radius_m:
-                    continue
-                x, y = set(r.text.split()), set(g["text"].split())
-                text = 1.0 if r.text in g["text"] or g["text"] in r.text else (difflib.SequenceMatcher(None, r.text, g["text"]).ratio() + (len(x & y) / len(x | y) if x | y else 0.0)) / 2
-                if text < config.least_text:
-                    continue
-                late = max(0.0, 1 - (r.at - g["at"]).total_seconds() / 3600 / config.horizon_hours)
-                score = config.geo * (1 - metres / config.radius_m) + config.text * text + config.time * late
-                if score >= config.least and score > top:
-                    best, top = g, score
-            if best is None:
-                best = {"id": r.report_id, "lat": r.lat, "lon": r.lon, "text": r.text}
-                groups.append(best)
-            best["at"] = r.at
-            ids.append((r.report_id, best["id"]))
-        return pd.DataFrame(ids, columns=["report_id", "group_id"])
-
-    keyed = reports.withColumns({"y": F.floor(F.col("lat") / 0.5), "x": F.floor(F.col("lon") / 0.5)})
-    return keyed.groupBy("category", "sub_category", "y", "x").applyInPandas(run, "report_id string, group_id string")
-
-
 # ---- ingestion -------------------------------------------------------------
 def first_by_request(rows: DataFrame) -> DataFrame:
     """One row of each request: the first by time, then event."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardloom.functions import text as tx
 from wardloom.functions.columns import title, valid_point
-from wardloom.operators import records
+from wardloom.operators import issues, records
 from wardloom.plans.registry import query
 from wardloom.sources import io
 from wardloom.sources.testdata import Tables
@@ -232,7 +232,7 @@ def reports_of(t: Tables) -> DataFrame:
 
 @query("i6_issue_groups")
 def _(t: Tables) -> DataFrame:
-    return records.group_issues(reports_of(t))
+    return issues.group_issues(reports_of(t)).select("report_id", "group_id")
 
 
 @query("c8_best_match")
@@ -240,8 +240,8 @@ def _(t: Tables) -> DataFrame:
     rows = reports_of(t)
     # groups stand from the even days on, and reports come on the odd ones, so that both sides grow with the events
     day = F.unix_date(F.to_date("at"))
-    groups = rows.where(day % 2 == 0).select(F.col("report_id").alias("group_id"), "category", "sub_category", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"), F.col("at").alias("g_at"), F.col("text").alias("g_text"))
-    return records.match_scores(rows.where(day % 2 == 1), groups)
+    groups = rows.where(day % 2 == 0).select(F.col("report_id").alias("group_id"), "category", "sub_category", "lat", "lon", F.lit(None).cast("string").alias("district"), F.lit(None).cast("string").alias("state"), "text", F.col("at").alias("last"))
+    return issues.match_issues(rows.where(day % 2 == 1), groups)
 
 
 @query("j1_embedding_similarity", "with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings) select a.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) as cosine from v a join v b on b.vec_id = a.vec_id + 1")
