@@ -80,3 +80,42 @@ def test_trends_of_hotspots_in_their_sectors(spark):
     assert intel.missing_tables(("a", "b", "c"), ("b",)) == ("a", "c")
     risks = spark.createDataFrame([("W1", "OPEN"), ("W1", "CLOSED"), ("W2", "OPEN")], "ward_code string, status string")
     assert intel.open_risks(risks, "W1").count() == 1 and intel.open_risks(risks).where(F.col("status") == "OPEN").count() == 2
+
+
+def test_times_in_any_writing(spark):
+    from wardloom.operators.records import parsed_time
+
+    five = "2024-01-05 10:00:00"
+    forms = {
+        "2024-01-05T10:00:00Z": five, "2024-01-05T10:00:00": five, "2024-01-05T10:00:00.000Z": five, "2024-01-05T15:30:00+05:30": five, "2024-01-05T15:30:00+0530": five, "2024-01-05 10:00": five, "20240105T100000Z": five, "2024-01-05T10:00:00.123456789Z": "2024-01-05 10:00:00.123456",
+        "2024-01-05T10:00:00,5": "2024-01-05 10:00:00.5", " 05/01/2024 10:00:00 ": five, "1704448800": five, "1704448800000": five, "1704448800.0": five, "20240105": "2024-01-05 00:00:00", "2024/01/05": "2024-01-05 00:00:00", "05/01/2024": "2024-01-05 00:00:00", "05-01-2024": "2024-01-05 00:00:00", "2024-01-05": "2024-01-05 00:00:00",
+        "NaN": None, "Infinity": None, "-inf": None, "1e30": None, "9e18": None, "-1e300": None, "2024-13-45": None, "2024-02-30T10:00:00Z": None, "2024-01-05T25:00:00Z": None, "": None, "soon": None, None: None, "99999999": None, "12:30": None, "2024-01-05T10:00:00+99:99": None,
+    }
+    rows = spark.createDataFrame([(x,) for x in forms], "x string")
+    got = {r["x"]: r["at"] for r in rows.select("x", parsed_time("x").cast("string").alias("at")).collect()}
+    assert got == forms
+
+
+def test_no_string_ends_the_cleaning(spark):
+    import random
+
+    from wardloom.operators.intake import clean
+    from wardloom.plans import all_queries  # noqa: F401
+    from wardloom.sources.testdata import COMPLAINT_FIELDS
+
+    rng = random.Random(3)
+    odd = ["NaN", "Infinity", "1e30", "-", "+", "0x1", "1e", "{", '{"latitude": "x"}', "\x00", "🙂", "null", "٣", "1,5", "9" * 400, " ", "2024-99-99", "T", "%s", "\\", "12.9716", None]
+    names = list(COMPLAINT_FIELDS)
+    rows = [(i, *[rng.choice(odd) if rng.random() < 0.7 else "".join(rng.choice("0123456789.+-eETZ:/ abc{}\"") for _ in range(rng.randrange(24))) for _ in names]) for i in range(1000)]
+    table = spark.createDataFrame(rows, "event_id long, " + ", ".join(f"{n} string" for n in names))
+    assert {r[0] for r in clean(table, F.lit("2024-06-01").cast("timestamp")).select("event_id").collect()} == set(range(1000))
+
+
+def test_boxes_across_180_degrees(spark):
+    from wardloom.operators.geocode import by_box, country_of
+
+    points = spark.createDataFrame([(1, -18.0, 179.5), (2, -18.0, -179.5), (3, -18.0, 0.0), (4, None, 1.0)], "id long, lat double, lon double")
+    boxes = spark.createDataFrame([("Fiji", -21.0, -12.0, 177.0, -178.0), ("World", -90.0, 90.0, -180.0, 180.0)], "place string, south double, north double, west double, east double")
+    assert {r["id"]: r["place"] for r in by_box(points, boxes, "id").collect()} == {1: "Fiji", 2: "Fiji", 3: "World", 4: None}
+    countries = boxes.withColumnRenamed("place", "country").selectExpr("country", "cast(south as int) as order", "south", "north", "west", "east")
+    assert {r["id"]: r["country"] for r in country_of(points, countries, "id").collect()} == {1: "World", 2: "World", 3: "World", 4: None}

@@ -105,12 +105,12 @@ def test_stream_drops_replays(spark, tmp_path):
 
 
 def test_stream_state(spark, tmp_path):
-    spark.createDataFrame([("ROAD", "S", 3), ("ROAD", "S", 5)], "category string, sub_category string, severity int").write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("ROAD", "S", 3), ("ROAD", "S", 5), ("ROAD", "S", None), ("WATER", None, None)], "category string, sub_category string, severity int").write.parquet(str(tmp_path / "in"))
     rows = spark.readStream.schema("category string, sub_category string, severity int").parquet(str(tmp_path / "in"))
     seen = []
     q = ingest.stream_issue_counts(rows).writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend(b.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     q.awaitTermination(60)
-    assert [(r["report_count"], r["severity_max"]) for r in seen] == [(2, 5)]
+    assert {(r["category"], r["report_count"], r["severity_max"]) for r in seen} == {("ROAD", 3, 5), ("WATER", 1, None)}
 
 
 def test_nearest_ward_at_high_latitude(spark):

@@ -34,9 +34,12 @@ def by_text(rows: DataFrame, gazetteer: DataFrame, key: str, text: str) -> DataF
 
 
 def _boxed(rows: DataFrame, boxes: DataFrame) -> DataFrame:
-    """rows(lat, lon) with every box(south, north, west, east, ...) around them; both meet in cells of a degree."""
+    """rows(lat, lon) with every box(south, north, west, east, ...) around them; both meet in cells of a degree. A box whose west lies east of its east goes across 180 degrees."""
     cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / CELL), F.floor(F.col(high) / CELL)))
-    dealt = boxes.where("south <= north and west <= east").withColumn("__y", cells("south", "north")).withColumn("__x", cells("west", "east"))
+    sides = F.when(F.col("west") <= F.col("east"), F.array(F.struct("west", "east"))).otherwise(F.array(F.struct("west", F.lit(180.0).alias("east")), F.struct(F.lit(-180.0).alias("west"), "east")))
+    rest = [c for c in boxes.columns if c not in ("west", "east")]
+    dealt = boxes.where("south <= north and west is not null and east is not null").withColumns({"west": F.col("west").cast("double"), "east": F.col("east").cast("double")}).select(*rest, F.explode(sides).alias("__side")).select(*rest, "__side.*")
+    dealt = dealt.withColumn("__y", cells("south", "north")).withColumn("__x", cells("west", "east"))
     here = rows.withColumns({"__y": F.floor(F.col("lat") / CELL), "__x": F.floor(F.col("lon") / CELL)})
     inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
     return here.join(dealt, ["__y", "__x"]).where(inside).drop("__y", "__x")
@@ -44,8 +47,8 @@ def _boxed(rows: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def by_box(rows: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     """(key, place): the smallest of boxes(place, south, north, west, east) around rows(key, lat, lon)."""
-    area = (F.col("north") - F.col("south")) * (F.col("east") - F.col("west"))
-    best = _boxed(rows.select(key, "lat", "lon"), boxes).groupBy(key).agg(F.min(F.struct(area.alias("a"), "place"))["place"].alias("place"))
+    area = (F.col("north") - F.col("south")) * (F.col("east") - F.col("west") + F.when(F.col("west") > F.col("east"), 360).otherwise(0))
+    best = _boxed(rows.select(key, "lat", "lon"), boxes.withColumn("__area", area)).groupBy(key).agg(F.min(F.struct("__area", "place"))["place"].alias("place"))
     return rows.select(key).join(best, key, "left")
 
 

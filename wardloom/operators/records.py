@@ -142,12 +142,24 @@ def request_id_valid(x: str) -> Column:
     return F.coalesce(F.col(x).rlike(r"^[A-Za-z0-9_-]{1,64}$") & F.col(x).rlike("[A-Za-z0-9]"), F.lit(False))
 
 
+#: A date, alone or with a time of the day, and its zone, in the long and the short form of ISO 8601.
+ISO_TIME = r"^(\d{4})-?(\d{2})-?(\d{2})(?:[T ](\d{2}):?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?([Zz]|[+-]\d{2}(?::?\d{2})?)?)?$"
+#: Seconds since 1970 of the first and the last moment that a timestamp can be.
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
+
+
 def parsed_time(x: str) -> Column:
-    """ISO and other written times, or seconds or milliseconds since 1970; null where it is none. Times are UTC."""
-    number = F.col(x).try_cast("double")
-    epoch = F.when(number > 1e11, number / 1000).otherwise(number).cast("timestamp")
-    written = [F.try_to_timestamp(F.col(x), F.lit(p)) for p in ("yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "dd-MM-yyyy")]
-    return F.coalesce(F.when(number.isNotNull(), epoch), *written)
+    """ISO and other written times, or seconds or milliseconds since 1970; null where it is none, whatever the text is. Times without a zone are UTC; eight digits are a date."""
+    text = F.trim(F.col(x))
+    part = lambda i: F.regexp_extract(text, ISO_TIME, i)
+    filled = lambda i: F.when(part(i) == "", "00").otherwise(part(i))
+    zone = F.when(part(8).rlike("^[+-]"), F.rpad(F.replace(part(8), F.lit(":")), 5, "0")).otherwise("+0000")
+    iso = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("T"), filled(4), F.lit(":"), filled(5), F.lit(":"), filled(6), F.lit("."), F.rpad(part(7), 6, "0"), F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2))
+    number = F.when(~text.rlike(r"^\d{8}$") & text.rlike(r"^[+-]?\d+([.]\d+)?([eE][+-]?\d+)?$"), text.try_cast("double"))
+    seconds = F.when(number > 1e11, number / 1000).otherwise(number)
+    epoch = F.when(seconds.between(FIRST_SECOND, LAST_SECOND), F.timestamp_micros((seconds * 1e6).try_cast("long")))
+    written = [F.try_to_timestamp(F.concat(text, F.lit(" +00:00")), F.lit(f"{p} xxx")) for p in ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "dd-MM-yyyy", "yyyy/MM/dd")]
+    return F.coalesce(F.when(text.rlike(ISO_TIME), iso.try_cast("timestamp")), epoch, *written)
 
 
 def findings(as_of: Column) -> Column:
