@@ -21,10 +21,12 @@ _REPORTS = """select printf('R%08d', event_id) as report_id, event_id, event_typ
   case when event_id % 4 = 0 then null when event_id % 4 = 1 then 'water' else concat('no water in ', event_type) end as text, cast(1 + event_id % 5 as double) as severity from events"""
 
 
+def _made(t: Tables, sql: str) -> DataFrame:
+    return t.spark.sql(sql.replace("from events", "from {events}"), events=t.base("events"))
+
+
 def _reports(t: Tables) -> DataFrame:
-    t.base("events").createOrReplaceTempView("events")
-    rows = t.spark.sql(_REPORTS).withColumnRenamed("seen", "at")
-    t.spark.catalog.dropTempView("events")
+    rows = _made(t, _REPORTS).withColumnRenamed("seen", "at")
     return rows.withColumns({"lat": F.col("lat").cast("double"), "lon": F.col("lon").cast("double")})
 
 
@@ -100,9 +102,7 @@ g as (select category, sub_category, concat('P', cast(place as varchar(3))) as n
 select report_id, name as group_id, round(0.4 * near + 0.4 * alike + 0.2 * greatest(hours, 0), 6) as score from m where 0.4 * near + 0.4 * alike + 0.2 * greatest(hours, 0) >= 0.55""",
 )
 def _(t: Tables) -> DataFrame:
-    t.base("events").createOrReplaceTempView("events")
-    reports, groups = t.spark.sql(f"with {_STANDING} select * from h").withColumnRenamed("seen", "at"), t.spark.sql(f"with {_STANDING} select * from g")
-    t.spark.catalog.dropTempView("events")
+    reports, groups = _made(t, f"with {_STANDING} select * from h").withColumnRenamed("seen", "at"), _made(t, f"with {_STANDING} select * from g")
     standing = groups.withColumn("group_id", F.concat_ws("/", "category", "sub_category", "name"))
     found = issues.match_issues(reports, standing)
     return found.select("report_id", F.element_at(F.split("group_id", "/"), -1).alias("group_id"), F.round("score", 6).alias("score"))

@@ -135,8 +135,8 @@ class Store:
             first = first.withColumn("old", F.lit(None).cast(f"struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in rows.schema if f.name not in key)}>"))
         known = {"skip": "skipped", "stored": "returned", "refresh": "refreshed", "overwrite": "overwritten", "insert": "conflict", "update": "updated"}[policy]
         outcome = F.when(~valid, "rejected").when(F.col("old").isNotNull(), known).otherwise("unknown" if policy == "update" else "inserted")
-        stored_names = [c for c in (base.tables[name]["schema"]["fields"] if name in base else [])]
-        shared = [c for c in rest if not stored_names or c in {f["name"] for f in stored_names}]
+        stored_names = [f["name"] for f in base.tables[name]["schema"]["fields"]] if name in base else []
+        shared = [c for c in rest if not stored_names or c in stored_names]
         same = F.lit(True)
         for c in shared:
             same = same & F.col("new")[c].eqNullSafe(F.col("old")[c])
@@ -145,7 +145,7 @@ class Store:
         staged = self.spark.read.parquet(staged_at)
         if policy == "insert" and not staged.where("outcome = 'conflict'").isEmpty():
             raise ConflictError(f"keys of {name} are known already")
-        target = [f["name"] for f in stored_names] if stored_names else rows.columns
+        target = stored_names or rows.columns
         take = {"refresh": set(columns or rest), "update": set(columns or rest), "overwrite": set(rest)}.get(policy, set())
 
         def value(c: str) -> Column:
