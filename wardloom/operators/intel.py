@@ -144,27 +144,27 @@ def ward_signals(wards: DataFrame, demand: DataFrame) -> DataFrame:
     return rows.withColumn("intensity", F.round(F.col("complaints") / (F.greatest("population", F.lit(1)) / 1000), 4))
 
 
-def hotspots(wards: DataFrame, demand: DataFrame, radius_m: float = CONFIG.radius_m, grouped: DataFrame | None = None) -> DataFrame:
-    """Clusters of wards with complaints, their rate, z-score against all wards and tier by rank. grouped: the wards' clusters, where they are known."""
-    checkpoint_dir(wards.sparkSession)
-    signals = ward_signals(wards, demand)
-    members = signals.join(clusters(wards, near_pairs(wards, radius_m)) if grouped is None else grouped, "ward_code")
-    spread = signals.agg(F.avg("intensity").alias("mean"), F.stddev_pop("intensity").alias("dev"))
-    out = members.groupBy("cluster").agg(
+def cluster_sums(members: DataFrame) -> DataFrame:
+    """Sums of each cluster over its wards, rows of ``ward_signals`` with a cluster. No column grows with the cluster."""
+    return members.groupBy("cluster").agg(
         F.min_by("district", "ward_code").alias("district"),
         F.avg("latitude").alias("latitude"),
         F.avg("longitude").alias("longitude"),
-        F.array_join(F.sort_array(F.collect_list("ward_code")), ",").alias("ward_codes"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("sectors", F.array().cast("array<string>")))))), ",").alias("sectors"),
         F.sum("population").alias("population"),
         F.sum("complaints").alias("complaints"),
         F.sum("critical").alias("critical"),
         F.max("intensity").alias("peak_intensity"),
         F.round(F.max("peak_severity"), 4).alias("peak_severity"),
         F.count("*").alias("wards"),
-    ).where("complaints >= 1")
+    )
+
+
+def tiers(sums: DataFrame, signals: DataFrame) -> DataFrame:
+    """Clusters with complaints, their rate, z-score against all wards and tier by rank."""
+    checkpoint_dir(sums.sparkSession)
+    spread = signals.agg(F.avg("intensity").alias("mean"), F.stddev_pop("intensity").alias("dev"))
     rate = F.col("complaints") / (F.greatest("population", F.lit(1)) / 1000)
-    out = out.crossJoin(F.broadcast(spread)).withColumns({"mean_intensity": F.round(rate, 4), "z": F.when(F.col("dev") > 0, F.round((rate - F.col("mean")) / F.col("dev"), 4)).otherwise(F.lit(0.0))}).drop("mean", "dev").checkpoint()
+    out = sums.where("complaints >= 1").crossJoin(F.broadcast(spread)).withColumns({"mean_intensity": F.round(rate, 4), "z": F.when(F.col("dev") > 0, F.round((rate - F.col("mean")) / F.col("dev"), 4)).otherwise(F.lit(0.0))}).drop("mean", "dev").checkpoint()
     # the share of hotspots up to a rate, ties included: rates are counted, then summed in order
     upto = running(out.groupBy("mean_intensity").agg(F.count("*").alias("n")), ["mean_intensity"], upto=F.col("n")).drop("n")
     total = out.agg(F.count("*").alias("total"))
@@ -172,6 +172,23 @@ def hotspots(wards: DataFrame, demand: DataFrame, radius_m: float = CONFIG.radiu
     return out.withColumn("rank_fraction", F.round(F.col("upto") / F.col("total"), 4)).drop("upto", "total").withColumn("tier", band("rank_fraction", TIER_CUTS, "NORMAL"))
 
 
+def with_lists(spots: DataFrame, members: DataFrame) -> DataFrame:
+    """Hotspots with their ward codes and sectors as comma-joined names, for what shows one hotspot in a row."""
+    lists = members.groupBy("cluster").agg(
+        F.array_join(F.sort_array(F.collect_list("ward_code")), ",").alias("ward_codes"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("sectors", F.array().cast("array<string>")))))), ",").alias("sectors"),
+    )
+    return spots.join(lists, "cluster")
+
+
+def hotspots(wards: DataFrame, demand: DataFrame, radius_m: float = CONFIG.radius_m, grouped: DataFrame | None = None, lists: bool = True) -> DataFrame:
+    """Clusters of wards with complaints, their rate, z-score against all wards and tier by rank. grouped: the wards' clusters, where they are known; lists: with ``with_lists``."""
+    signals = ward_signals(wards, demand)
+    members = signals.join(clusters(wards, near_pairs(wards, radius_m)) if grouped is None else grouped, "ward_code")
+    spots = tiers(cluster_sums(members), signals)
+    return with_lists(spots, members) if lists else spots
+
+
 def assign_to_ward(points: DataFrame, wards: DataFrame, config: GapConfig = GapConfig(), half: float = 0.025) -> DataFrame:
     """points(point_id, lat, lon) with ward_code and how it was found: in a ward's box (least code first), else the nearest centroid.
 
