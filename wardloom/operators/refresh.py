@@ -155,22 +155,26 @@ def _changes(base: Snapshot, t: dict[str, DataFrame], as_of: dt.date, config: In
     for c in place:
         stays = stays & F.col(c).eqNullSafe(F.col(f"to_{c}"))
     moved = at.where(~stays).select("ward_code", "cluster", "here", *[f"to_{c}" for c in place]).checkpoint()
-    put = moved.where("here").select(F.col("ward_code").alias("moved"), *[f"to_{c}" for c in place])
-    near = within(put, had.select("cluster", *place), ("to_latitude", "to_longitude"), place, config.radius_m).select("cluster")
-    torn = near.unionByName(moved.where("cluster is not null").select("cluster")).distinct().checkpoint()
-    rest = had.join(torn, "cluster", "left_semi").join(moved.select("ward_code"), "ward_code", "left_anti").select("ward_code", *place)
-    region = rest.unionByName(put.select(F.col("moved").alias("ward_code"), *[F.col(f"to_{c}").alias(c) for c in place])).checkpoint()
-    again = region.join(intel.clusters(region, intel.near_pairs(region, config.radius_m)), "ward_code").select("ward_code", "cluster", *place)
-    gone = moved.where("here is null and cluster is not null").select("ward_code", "cluster", *[F.lit(None).cast("double").alias(c) for c in place], F.lit(False).alias("stands"))
-    delta = again.withColumn("stands", F.lit(True)).unionByName(gone).checkpoint()
-    whole = had.join(delta.select("ward_code"), "ward_code", "left_anti").unionByName(delta.where("stands").drop("stands")).select("ward_code", "cluster")
+    if moved.isEmpty():
+        torn, whole = moved.select("cluster"), had.select("ward_code", "cluster")
+    else:
+        put = moved.where("here").select(F.col("ward_code").alias("moved"), *[f"to_{c}" for c in place])
+        near = within(put, had.select("cluster", *place), ("to_latitude", "to_longitude"), place, config.radius_m).select("cluster")
+        torn = near.unionByName(moved.where("cluster is not null").select("cluster")).distinct()
+        rest = had.join(torn, "cluster", "left_semi").join(moved.select("ward_code"), "ward_code", "left_anti").select("ward_code", *place)
+        region = rest.unionByName(put.select(F.col("moved").alias("ward_code"), *[F.col(f"to_{c}").alias(c) for c in place])).checkpoint()
+        again = region.join(intel.clusters(region, intel.near_pairs(region, config.radius_m)), "ward_code").select("ward_code", "cluster", *place)
+        gone = moved.where("here is null and cluster is not null").select("ward_code", "cluster", *[F.lit(None).cast("double").alias(c) for c in place], F.lit(False).alias("stands"))
+        delta = again.withColumn("stands", F.lit(True)).unionByName(gone)
+        torn = torn.unionByName(again.select("cluster"))
+        whole = had.join(delta.select("ward_code"), "ward_code", "left_anti").select("ward_code", "cluster").unionByName(again.select("ward_code", "cluster"))
+        out["clusters"] = (delta, ["ward_code"])
     own_clusters = whole.join(small(changed.select("ward_code")), "ward_code", "left_semi").select("cluster")
-    touched = torn.unionByName(delta.where("stands").select("cluster")).unionByName(own_clusters).distinct().checkpoint()
+    touched = torn.unionByName(own_clusters).distinct().checkpoint()
     kept = standing(base, "signals").join(small(changed.select("ward_code")), "ward_code", "left_anti") if known else signals.where("false")
     rows = kept.unionByName(signals).join(whole.join(touched, "cluster", "left_semi"), "ward_code")
-    sums = intel.cluster_sums(rows).checkpoint()
+    sums = intel.cluster_sums(rows)
     names = [c for c in sums.columns if c != "cluster"]
-    buried = touched.join(sums.select("cluster"), "cluster", "left_anti").select("cluster", *[F.lit(None).cast(sums.schema[c].dataType).alias(c) for c in names], F.lit(False).alias("stands"))
-    out["clusters"] = (delta, ["ward_code"])
+    buried = touched.join(whole.select("cluster"), "cluster", "left_anti").select("cluster", *[F.lit(None).cast(sums.schema[c].dataType).alias(c) for c in names], F.lit(False).alias("stands"))
     out["cluster_sums"] = (sums.withColumn("stands", F.lit(True)).unionByName(buried), ["cluster"])
     return out, (total, n, touched.count())
