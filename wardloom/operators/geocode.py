@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from wardloom.functions.columns import valid_point
 from wardloom.functions.grid import within
+from wardloom.operators.terms import dealt_join, occurrences
 
-#: Characters of an alias that its text is looked up by, and degrees of a cell that boxes are dealt to.
-PREFIX, CELL = 3, 1.0
+#: Degrees of a cell that boxes are dealt to.
+CELL = 1.0
 # Confidence by the way in which a place was found.
 CONFIDENCE = {"gazetteer_text": 0.90, "gazetteer_text_without_point": 0.60, "gazetteer_bbox": 0.80, "nearest_place": 0.70, "country": 0.40, "coordinates": 0.30}
 
@@ -17,20 +18,11 @@ CONFIDENCE = {"gazetteer_text": 0.90, "gazetteer_text_without_point": 0.60, "gaz
 def by_text(rows: DataFrame, gazetteer: DataFrame, key: str, text: str) -> DataFrame:
     """(key, place): the place whose alias stands in the text, the longest alias first, then the least.
 
-    Texts and aliases meet on the first characters of an alias, which stand in the text too; a text gives each of its short pieces once.
+    Names are looked for in one pass over the texts; of an alias of several places the least counts. A row without any has a null place.
     """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-
-    def cut(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - n + 1, F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(n)))
-
-    pieces = F.array_distinct(F.flatten(F.array(*map(cut, range(1, PREFIX + 1)))))
-    texts = rows.select(key, low.alias("low")).select(key, "low", F.explode(pieces).alias("piece"))
-    alias = gazetteer.select(F.lower("alias").alias("alias"), "place").where("alias <> ''")
-    alias = alias.withColumn("piece", F.substring("alias", F.lit(1), F.least(F.length("alias"), F.lit(PREFIX))))
-    hit = texts.join(alias, "piece").where(F.contains("low", "alias"))
-    best = hit.groupBy(key).agg(F.min(F.struct((-F.length("alias")).alias("n"), "alias", "place"))["place"].alias("place"))
-    return rows.select(key).join(best, key, "left")
+    names = gazetteer.select(F.lower("alias").alias("term"), "place").where("term <> ''").groupBy("term").agg(F.min("place").alias("place"))
+    found = occurrences(rows, names, key, text).groupBy(key).agg(F.min(F.struct((-F.length("term")).alias("n"), "term"))["term"].alias("term"))
+    return rows.select(key).join(dealt_join(found, names, key).select(key, "place"), key, "left")
 
 
 def _boxed(rows: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardloom.functions.columns import clamp, lookup, valid_point
 from wardloom.functions.text import contains_phrase, normalize_text, tokens
+from wardloom.operators.terms import dealt_join, occurrences
 from wardloom.vocab import SECTORS
 
 #: Our own lexicon: (category, sub_category, term, weight). A phrase counts 1, a lemma a half.
@@ -23,14 +24,20 @@ LEXICON = (
 SEVERITY = {"critical": ("danger", "dangerous", "accident", "emergency", "death", "electrocuted", "collapsed"), "high": ("broken", "urgent", "blocked", "contaminated", "severe"), "medium": ("problem", "issue", "damaged", "delay", "dirty"), "mitigator": ("minor", "small", "slight", "suggestion"), "personal_health": ("my child is sick", "fever", "injured", "fell ill")}
 
 
-def classify(rows: DataFrame, key: str, text: str, floor: float = 0.20) -> DataFrame:
+def classify(rows: DataFrame, key: str, text: str, floor: float = 0.20, lexicon: DataFrame | None = None) -> DataFrame:
     """(key, category, sub_category, confidence): the category with most matched weight, its share of all; UNKNOWN under the floor.
 
-    Each lexicon term is looked for in the tokens; only matches are exploded, so rows grow with what is found.
+    Each lexicon term is looked for in the tokens; only matches are exploded, so rows grow with what is found. lexicon(category, sub_category,
+    term, weight) of any size takes the place of this module's.
     """
     words = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
     hit = F.array(*[F.when(F.contains(F.col("__w"), F.lit(f" {term} ")), F.struct(F.lit(c).alias("category"), F.lit(s).alias("sub_category"), F.lit(w).alias("weight"))) for c, s, term, w in LEXICON])
-    found = rows.select(F.col(key), words.alias("__w")).select(key, F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("h")).select(key, "h.*")
+    told = rows.select(F.col(key), words.alias("__w"))
+    if lexicon is None:
+        found = told.select(key, F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("h")).select(key, "h.*")
+    else:
+        entries = lexicon.select(F.lower("term").alias("term"), "category", "sub_category", "weight")
+        found = dealt_join(occurrences(told, entries, key, "__w", whole_words=True), entries, key)
     per = found.groupBy(key, "category", "sub_category").agg(F.sum("weight").alias("weight"))
     per = per.withColumns({"of_category": F.sum("weight").over(Window.partitionBy(key, "category")), "of_all": F.sum("weight").over(Window.partitionBy(key))})
     best = per.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("of_category"), "category", F.desc("weight"), "sub_category"))).where("n = 1")

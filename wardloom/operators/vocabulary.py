@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.functions.columns import lookup
 from wardloom.functions.text import normalize_description, normalize_key
+from wardloom.operators.terms import dealt_join, occurrences
 from wardloom.vocab import SECTORS, UNKNOWN
 
 UNCLASSIFIED = "UNCLASSIFIED"
@@ -77,24 +78,50 @@ def best_keyword(text: str, language: str, category: str | None, with_sub: bool)
     return F.array_min(scored)
 
 
-def normalize(rows: DataFrame, category: str = "category", sub_category: str = "sub_category", language: str = "language", description: str = "description") -> DataFrame:
+def keyword_matches(rows: DataFrame, dictionary: DataFrame, key: str, text: str, language: str, category: str | None = None) -> DataFrame:
+    """(key, rank, score, keyword, category, sub_category): what ``best_keyword`` chooses from, best first, for a table of keywords of any size.
+
+    dictionary: (category, sub_category or null, language, keyword). Of each (category, sub_category) the longest keyword in a text counts, then the least; its score is
+    its length, and three more in the row's language. With category, only keywords of the row's own count where it has one. A row without a match gives no row; keys are unique.
+    """
+    entries = dictionary.select(F.lower("keyword").alias("term"), F.col("language").alias("__language"), F.col("category").alias("__category"), F.col("sub_category").alias("__sub"))
+    found = dealt_join(occurrences(rows, entries, key, text).drop("starts"), entries, key)
+    told = rows.select(key, F.col(language).alias("__own"), (F.lit(None).cast("string") if category is None else F.col(category)).alias("__hint"))
+    met = found.join(told, key).where("__hint is null or __hint = __category")
+    other = F.when(F.col("__language").eqNullSafe(F.col("__own")), 0).otherwise(1).alias("other")
+    per = met.groupBy(key, "__category", "__sub").agg(F.min(F.struct((-F.length("term")).alias("n"), "term", other)).alias("__k"))
+    score = (F.when(F.col("__k.other") == 0, LANGUAGE_BOOST).otherwise(0.0) - F.col("__k.n")).alias("score")
+    out = per.select(key, score, F.col("__k.term").alias("keyword"), F.col("__category").alias("category"), F.col("__sub").alias("sub_category"))
+    order = Window.partitionBy(key).orderBy(F.desc("score"), "keyword", "category", "sub_category")
+    return out.select(key, F.row_number().over(order).alias("rank"), "score", "keyword", "category", "sub_category")
+
+
+def normalize(rows: DataFrame, category: str = "category", sub_category: str = "sub_category", language: str = "language", description: str = "description", dictionary: DataFrame | None = None, key: str | None = None) -> DataFrame:
     """rows with norm_category, norm_sub_category, norm_confidence, norm_source, norm_keyword, norm_mismatch.
 
     Explicit names come first, through the aliases; a missing sub-category is sought by keyword, within the category if that is
-    known; then a category alone; else UNKNOWN. Each row by itself: no shuffle.
+    known; then a category alone; else UNKNOWN. Each row by itself: no shuffle. With a dictionary as ``keyword_matches`` takes it, and the rows' unique
+    key, its keywords are looked for instead of the short list of this module, and what is found is joined to the rows.
     """
     steps = rows.withColumns({"__text": normalize_description(description), "__cat": resolve_category(category)})
     alias_cat, alias_sub, mismatch = resolve_sub_category(sub_category, F.col("__cat"))
     steps = steps.withColumns({"__mis": mismatch, "__sub": alias_sub, "__cat": F.coalesce("__cat", alias_cat)})
-    steps = steps.withColumn("__kw", F.when(F.col("__sub").isNull(), best_keyword("__text", language, "__cat", True)))
-    steps = steps.withColumn("__only", F.when(F.col("__cat").isNull() & F.col("__kw").isNull(), best_keyword("__text", language, None, False)))
+    if dictionary is None:
+        with_sub, alone = best_keyword("__text", language, "__cat", True), best_keyword("__text", language, None, False)
+    else:
+        best = lambda words, hint, name: keyword_matches(steps, words, key, "__text", language, hint).where("rank = 1").select(key, F.struct("keyword", "category", "sub_category").alias(name))
+        found_with, found_alone = best(dictionary.where("sub_category is not null"), "__cat", "__best"), best(dictionary.where("sub_category is null"), None, "__alone")
+        steps = steps.join(found_with, key, "left").join(found_alone, key, "left")
+        with_sub, alone = F.col("__best"), F.col("__alone")
+    steps = steps.withColumn("__kw", F.when(F.col("__sub").isNull(), with_sub))
+    steps = steps.withColumn("__only", F.when(F.col("__cat").isNull() & F.col("__kw").isNull(), alone))
     had = F.col("__cat").isNotNull()
     found = F.coalesce("__cat", "__kw.category", "__only.category", F.lit(UNKNOWN))
     given = resolve_category(category).isNotNull()
     source = F.when(F.col("__sub").isNotNull(), F.when(had, "explicit").otherwise("explicit_sub_category")).when(F.col("__kw").isNotNull() & given, "explicit_category+inferred_sub_category").when(F.col("__kw").isNotNull(), "inferred").when(found != UNKNOWN, "category_only").otherwise("fallback")
     out = steps.withColumn("norm_source", source)
     out = out.withColumns({"norm_category": found, "norm_sub_category": F.coalesce("__sub", "__kw.sub_category", F.lit(UNCLASSIFIED)), "norm_confidence": lookup("norm_source", SOURCES), "norm_keyword": F.coalesce("__kw.keyword", "__only.keyword"), "norm_mismatch": F.coalesce("__mis", F.lit(False))})
-    return out.drop("__text", "__cat", "__mis", "__sub", "__kw", "__only")
+    return out.drop("__text", "__cat", "__mis", "__sub", "__kw", "__only", "__best", "__alone")
 
 
 def sector_for(category: str) -> Column:
