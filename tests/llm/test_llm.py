@@ -438,6 +438,15 @@ def test_katz_sums_to_one_and_matches_recursion(spark, prose):
     assert {r["n_known"] for r in katz.score(docs, nothing, F.lit(False)).collect()} == {0}
 
 
+def test_katz_does_not_lose_texts_that_it_was_not_fitted_on(spark, prose):
+    docs = table(spark, prose)
+    model = katz.fit(docs, F.lit(True))
+    assert katz.score(docs.where("doc_id < 3"), model, F.lit(True)).count() == 3
+    for column in ("n_tokens", "n_known", "base_score", "score"):
+        with pytest.raises(Exception, match="was not among those"):
+            katz.score(table(spark, [prose[0], "never seen by it"]), model, F.lit(True)).select(column).collect()
+
+
 def test_katz_knows_few_hot_words(spark):
     """In small bundles all words fill much of their bundle; those that are rare overall are not hot, and the scores do not depend on it."""
     texts_ = [f"u{i} v{i} common" for i in range(600)]

@@ -22,6 +22,8 @@ BUNDLE_TEXTS, BUNDLE_WORDS, BUCKETS, HOT = 4096, 1_000_000, 64, 8
 END, BEGIN = np.uint64(1), np.uint64(2)
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WORDS_KEPT = 200_000
+#: Bits of a bundle's number within its input partition, and so 26 for the partition's, beside the 13 of a text in its bundle.
+BUNDLE_BITS = 24
 
 
 class _Hashes(dict):
@@ -134,7 +136,9 @@ def _grams(buckets: int, hot: np.ndarray):
             payload = []
             for p, c in zip(np.split(by, first[1:]), np.split(cells_by, first_cell[1:])):
                 payload.append(np.array([len(p), len(c)], np.uint32).tobytes() + b"".join(x.tobytes() for x in (word[p], before[p], run_length[p], text[c], count[c], copies[c])))
-            bundle = (part << 32) | number
+            if number >> BUNDLE_BITS:
+                raise ValueError("a partition has more bundles than a place can name")
+            bundle = (part << BUNDLE_BITS) | number
             rows = [(int(n), bundle, p, None) for n, p in zip(names, payload)]
             rows.append((int(bundle % buckets), bundle, None, b.t.tobytes() + b.lengths.astype(np.int64).tobytes()))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "bundle", "payload", "head"])
@@ -312,7 +316,7 @@ def fit(docs: DataFrame, train: Column) -> Katz:
 def score(docs: DataFrame, model: Katz, train: Column) -> DataFrame:
     """docs with ``n_tokens``, ``n_known``, ``base_score`` and ``score``: log10 probabilities of the whole text.
 
-    docs and train must be those that the model was fitted on. log10 P(word | context) is log10 of the
+    Every text of docs must be among those that the model was fitted on, taught or not: one that is not ends the job with an error, since it has no counts. log10 P(word | context) is log10 of the
     discounted pair count over the context's count, or for an unseen pair the backoff weight and the word's own
     probability; after an unseen context it is the word's own. A text's score is summed in the words' buckets:
     what a pair gives there, less the count of each word as the next one's context; unseen pairs alone are sent on to the
@@ -381,4 +385,5 @@ def score(docs: DataFrame, model: Katz, train: Column) -> DataFrame:
     scores = scores.groupBy(t).agg(*[F.min(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     # each text has one row of scores, so that copies of one text, however many, only repeat its key on one side
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return keyed.join(scores, F.col(key) == F.col(t)).drop(key, t)
+    unknown = F.raise_error(F.lit("a text to be scored was not among those that the model was fitted on; give it to fit with train false"))
+    return keyed.join(scores, F.col(key) == F.col(t), "left").withColumns({c: F.coalesce(c, unknown) for c in ("n_tokens", "n_known", "base_score", "score")}).drop(key, t)
