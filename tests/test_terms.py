@@ -77,3 +77,14 @@ def test_gazetteer_spans(spark):
     names = spark.createDataFrame([("mg road", "STREET"), ("MG Road", "LANDMARK"), ("road", "STREET")], "name string, type string")
     got = sorted((r["type"], r["text"], r["start"], r["end"]) for r in terms.gazetteer_entities(rows, names, "k", "t").collect())
     assert got == [("LANDMARK", "mg road", 0, 7), ("LANDMARK", "mg road", 19, 26), ("STREET", "mg road", 0, 7), ("STREET", "mg road", 19, 26), ("STREET", "road", 3, 7), ("STREET", "road", 22, 26)]
+
+
+def test_candidates_that_are_no_terms_stay_in_the_worker(spark, monkeypatch):
+    rows = spark.range(50).selectExpr("id as k", "repeat(concat('abcdefghij', id), 200) as t")
+    table = spark.createDataFrame([("a" + "x" * n,) for n in range(1, 40)] + [("abcdefghij7",)], "term string")
+    met = []
+    join = terms.dealt_join
+    monkeypatch.setattr(terms, "dealt_join", lambda found, *rest: met.append(found.count()) or join(found, *rest))
+    monkeypatch.setattr(terms, "FINDS", 3)
+    got = terms.occurrences(rows, table, "k", "t", most_chars=1).collect()
+    assert [(r["k"], r["term"], len(r["starts"])) for r in got] == [(7, "abcdefghij7", 200)] and met[0] < 50

@@ -7,10 +7,12 @@ the automaton; of more, their first characters are, and what follows these in a
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,42 +23,76 @@ MOST_CHARS = 2_000_000
 HEADS = (32, 24, 16, 12, 8, 6, 4, 3, 2, 1)
 #: Parts that one term's finds are dealt over in a join, since a single term may stand in a third of all texts.
 SALT = 8
-_FOUND = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))]))
+#: Bits of the map of all terms that candidates must be in, as a power of two; terms beyond it let more candidates through and lose none.
+SIEVE = 24
+#: Texts that a worker takes at a time, and finds that it gives back at a time.
+TEXTS, FINDS = 1000, 50_000
 
 
 def _wordlike(c: str) -> bool:
     return c == "_" or unicodedata.category(c)[0] in "LNM"
 
 
-def _finder(heads: DataFrame, whole_words: bool) -> Column:
-    """A function of text that gives what stands behind each head, in the lengths that its terms have."""
+def _sieve(wanted: DataFrame) -> bytes:
+    """A map of a fixed size with a bit set for the checksum of each term."""
+    at = wanted.select((F.crc32(F.encode("term", "UTF-8")) % (1 << SIEVE)).alias("at"))
+    words = at.groupBy(F.expr("cast(at div 32 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 32 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << SIEVE - 5, dtype="<u4")
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().astype("<u4")
+    return bits.tobytes()
+
+
+def _finds(rows: DataFrame, key: str, text: Column, heads: DataFrame, whole_words: bool, sieve: bytes | None) -> DataFrame:
+    """(key, term, starts): what stands behind each head in the lengths that its terms have, where the sieve has it. Texts come and finds go in small batches."""
+    spark = rows.sparkSession
     # bounded: the caller has summed its characters
-    shared = heads.sparkSession.sparkContext.broadcast([(r["head"], tuple(r["lengths"])) for r in heads.collect()])
+    shared = spark.sparkContext.broadcast(([(r["head"], tuple(r["lengths"])) for r in heads.collect()], sieve))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, TEXTS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS)
+    mask = (1 << SIEVE) - 1
 
-    @F.pandas_udf(_FOUND)
-    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bits = shared.value
         automaton = ahocorasick.Automaton()
-        for head, lengths in shared.value:
+        for head, lengths in known:
             automaton.add_word(head, (len(head), lengths))
-        if shared.value:
+        if known:
             automaton.make_automaton()
 
-        def of(text: str) -> list[dict]:
+        def of(text: str) -> dict[str, list[int]]:
             starts: dict[str, list[int]] = {}
-            for last, (n, lengths) in automaton.iter(text) if shared.value else ():
+            for last, (n, lengths) in automaton.iter(text) if known else ():
                 start = last - n + 1
                 if whole_words and start and _wordlike(text[start - 1]):
                     continue
                 for length in lengths:
                     end = start + length
-                    if end <= len(text) and not (whole_words and end < len(text) and _wordlike(text[end])):
-                        starts.setdefault(text[start:end], []).append(start)
-            return [{"term": t, "starts": sorted(s)} for t, s in starts.items()]
-
-        for part in texts:
-            yield part.map(of)
-
-    return find
+                    if end > len(text) or whole_words and end < len(text) and _wordlike(text[end]):
+                        continue
+                    term = text[start:end]
+                    if bits is not None:
+                        at = zlib.crc32(term.encode()) & mask
+                        if not bits[at >> 3] >> (at & 7) & 1:
+                            continue
+                    starts.setdefault(term, []).append(start)
+            return starts
+
+        for batch in batches:
+            at, names, places = [], [], []
+            given = lambda: pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(names, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["k", "term", "starts"])  # noqa: B023, E731
+            for i, text in enumerate(batch.column(1)):
+                for term, starts in of(text.as_py()).items():
+                    at.append(i)
+                    names.append(term)
+                    places.append(sorted(starts))
+                    if len(at) >= FINDS:
+                        yield given()
+                        at, names, places = [], [], []
+            yield given()
+
+    given = rows.select(F.col(key).alias("k"), text.alias("text"))
+    schema = T.StructType([given.schema["k"], T.StructField("term", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))])
+    return given.mapInArrow(find, schema).withColumnRenamed("k", key)
 
 
 def _headed(terms: DataFrame, chars: int | None) -> DataFrame:
@@ -81,7 +117,7 @@ def occurrences(rows: DataFrame, terms: DataFrame, key: str, text: str, term: st
     Overlaps count. With whole_words no letter, mark, digit or underscore stands before or behind a find. Terms are told apart in
     lower case; null and empty ones, and texts, give nothing; rows with equal keys give their own rows each. Texts are read whole and are not shuffled.
     Up to most_chars the terms are one automaton in each task. Beyond, the longest heads of ``HEADS`` that fit are; a find of a
-    head gives one candidate for each length of its terms, once a text, and an equi-join with the terms keeps the right ones. key is neither ``term`` nor ``starts``.
+    head gives one candidate for each length of its terms, once a text, if a map of the terms' checksums has it, and an equi-join with the terms keeps the right ones. key is neither ``term`` nor ``starts``.
     """
     wanted = terms.select(F.lower(F.col(term)).alias("term")).where("term <> ''").distinct()
     heads, whole = _headed(wanted, None), True
@@ -92,8 +128,7 @@ def occurrences(rows: DataFrame, terms: DataFrame, key: str, text: str, term: st
             # single characters are the least: as many as there are code points, with the lengths of terms
             if chars == 1 or _size(heads) <= most_chars:
                 break
-    find = _finder(heads, whole_words)
-    found = rows.select(key, F.explode(find(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))))).alias("__m")).select(key, "__m.term", "__m.starts")
+    found = _finds(rows, key, F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), heads, whole_words, None if whole else _sieve(wanted))
     return found if whole else dealt_join(found, wanted, key).select(key, "term", "starts")
 
 
