@@ -129,3 +129,23 @@ def test_group_queries_take_all_categories(spark):
     assert all_queries()["i6_issue_groups"](spark, sf_dir).count() == events.count()
     matched = all_queries()["c8_best_match"](spark, sf_dir).join(events, "report_id")
     assert {r[0] for r in matched.select("event_type").distinct().collect()} == {r[0] for r in events.select("event_type").distinct().collect()}
+
+
+@pytest.mark.parametrize(("direct", "few"), [(10**6, 1024), (0, 16)])
+def test_clusters_without_all_pairs(spark, monkeypatch, direct, few):
+    """Two dense groups a hair more or less than the radius apart, over 180 degrees, and a place with many wards; no pairs are listed."""
+    monkeypatch.setattr(intel, "DIRECT_PAIRS", direct)
+    monkeypatch.setattr(intel, "FEW_PAIRS", few)
+    schema, step = "ward_code string, latitude double, longitude double", 12_000 / 111_195.08
+    for gap, n in ((1.0005, 3), (0.9995, 2)):
+        rows = [(f"W{i:03d}", 10.0 - i % 7 * 1e-4 if i % 2 else 10.0 + step * gap + i % 7 * 1e-4, (180.0 if i % 3 else -180.0) if i % 5 else 179.99) for i in range(120)] + [("N", None, 1.0)]
+        points = spark.createDataFrame(rows, schema)
+        got = sorted(map(tuple, intel.near_clusters(points).collect()))
+        assert got == sorted(map(tuple, intel.clusters(points, intel.near_pairs(points)).collect())) and len({c for _, c in got}) == n
+
+
+def test_hotspots_list_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(intel, "near_pairs", None)
+    wards = spark.createDataFrame([(f"W{i}", "D", 10.0, 78.0, 1000) for i in range(50)], "ward_code string, district string, latitude double, longitude double, population long")
+    demand = spark.createDataFrame([("W1", "WATER", 5, 1, 2.0)], "ward_code string, sector string, complaint_count long, critical_count long, avg_severity double")
+    assert [(r["cluster"], r["wards"], r["sectors"]) for r in intel.hotspots(wards, demand).collect()] == [("W0", 50, "WATER")]
