@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardloom.config import AS_OF
 from wardloom.functions import text as tx
-from wardloom.functions.columns import inside, lookup, valid_point
+from wardloom.functions.columns import inside, lookup, printed, valid_point
 from wardloom.functions.ordered import running
 from wardloom.operators import geocode, intel, mesh, priority
 from wardloom.plans.intel_queries import MONEY, PAIRS, SERIES, trends_of
@@ -240,7 +240,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("h68_lakh_labels", "select project_code, case when budget_lakhs >= 100 then printf('%.1f cr', budget_lakhs / 100) else printf('%.0f L', budget_lakhs) end as label from projects")
 def _(t: Tables) -> DataFrame:
-    label = F.when(F.col("budget_lakhs") >= 100, F.format_string("%.1f cr", F.col("budget_lakhs") / 100)).otherwise(F.format_string("%.0f L", "budget_lakhs"))
+    label = F.when(F.col("budget_lakhs") >= 100, F.concat(printed(F.col("budget_lakhs") / 100, 1), F.lit(" cr"))).otherwise(F.concat(printed("budget_lakhs", 0), F.lit(" L")))
     return t.projects.select("project_code", label.alias("label"))
 
 
