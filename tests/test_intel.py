@@ -131,17 +131,16 @@ def test_group_queries_take_all_categories(spark):
     assert {r[0] for r in matched.select("event_type").distinct().collect()} == {r[0] for r in events.select("event_type").distinct().collect()}
 
 
-@pytest.mark.parametrize(("direct", "few"), [(10**6, 1024), (0, 16)])
-def test_clusters_without_all_pairs(spark, monkeypatch, direct, few):
+@pytest.mark.parametrize(("direct", "few", "gap", "n"), [(10**6, 1024, 1.0005, 3), (0, 16, 0.9995, 2)])
+def test_clusters_without_all_pairs(spark, monkeypatch, direct, few, gap, n):
     """Two dense groups a hair more or less than the radius apart, over 180 degrees, and a place with many wards; no pairs are listed."""
     monkeypatch.setattr(intel, "DIRECT_PAIRS", direct)
     monkeypatch.setattr(intel, "FEW_PAIRS", few)
     schema, step = "ward_code string, latitude double, longitude double", 12_000 / 111_195.08
-    for gap, n in ((1.0005, 3), (0.9995, 2)):
-        rows = [(f"W{i:03d}", 10.0 - i % 7 * 1e-4 if i % 2 else 10.0 + step * gap + i % 7 * 1e-4, (180.0 if i % 3 else -180.0) if i % 5 else 179.99) for i in range(120)] + [("N", None, 1.0)]
-        points = spark.createDataFrame(rows, schema)
-        got = sorted(map(tuple, intel.near_clusters(points).collect()))
-        assert got == sorted(map(tuple, intel.clusters(points, intel.near_pairs(points)).collect())) and len({c for _, c in got}) == n
+    rows = [(f"W{i:03d}", 10.0 - i % 7 * 1e-4 if i % 2 else 10.0 + step * gap + i % 7 * 1e-4, (180.0 if i % 3 else -180.0) if i % 5 else 179.99) for i in range(120)] + [("N", None, 1.0)]
+    points = spark.createDataFrame(rows, schema)
+    got = sorted(map(tuple, intel.near_clusters(points).collect()))
+    assert got == sorted(map(tuple, intel.clusters(points, intel.near_pairs(points)).collect())) and len({c for _, c in got}) == n
 
 
 def test_hotspots_list_no_pairs(spark, monkeypatch):
@@ -149,3 +148,21 @@ def test_hotspots_list_no_pairs(spark, monkeypatch):
     wards = spark.createDataFrame([(f"W{i}", "D", 10.0, 78.0, 1000) for i in range(50)], "ward_code string, district string, latitude double, longitude double, population long")
     demand = spark.createDataFrame([("W1", "WATER", 5, 1, 2.0)], "ward_code string, sector string, complaint_count long, critical_count long, avg_severity double")
     assert [(r["cluster"], r["wards"], r["sectors"]) for r in intel.hotspots(wards, demand).collect()] == [("W0", 50, "WATER")]
+
+
+def test_nearest_ward_meets_places_once(spark, monkeypatch):
+    """Points and wards at one place meet once, and a far ward is sought only where none is close."""
+    met, within = [], intel.within
+    monkeypatch.setattr(intel, "within", lambda *a: met.append(within(*a).count()) or within(*a))
+    wards = spark.createDataFrame([(f"W{i:03d}", 10.0 + i % 2 * 0.1, 78.0) for i in range(100)], "ward_code string, latitude double, longitude double")
+    points = spark.createDataFrame([(i, 10.03, 78.0) for i in range(50)] + [(50, None, 1.0)], "point_id long, lat double, lon double")
+    got = {tuple(r)[1:] for r in intel.assign_to_ward(points, wards).collect()}
+    assert got == {("W000", "NEAREST"), (None, "NONE")} and met == [0, 2]
+
+
+def test_numbers_are_printed_as_by_c(spark):
+    from wardloom.functions.columns import printed
+
+    values = [0.05, 0.15, 0.25, 1.15, 1.25, 2.35, 3.45, 9.95, 44.5, 45.5, 0.5, 1.0, 99.95, 123456.75]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", printed("v", 0), printed("v", 1)).collect()
+    assert [(r[1], r[2]) for r in got] == [("%.0f" % v, "%.1f" % v) for v in values]
