@@ -166,3 +166,11 @@ def test_numbers_are_printed_as_by_c(spark):
     values = [0.05, 0.15, 0.25, 1.15, 1.25, 2.35, 3.45, 9.95, 44.5, 45.5, 0.5, 1.0, 99.95, 123456.75]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", printed("v", 0), printed("v", 1)).collect()
     assert [(r[1], r[2]) for r in got] == [("%.0f" % v, "%.1f" % v) for v in values]
+
+
+def test_a_text_is_made_normal_once(spark):
+    from wardloom.operators import intake
+
+    rows = spark.createDataFrame([(" a  b ",), ("N/A",), ("",), (None,)], "x string").select(intake._usable(F.col("x")).alias("y"))
+    assert [r["y"] for r in rows.collect()] == ["a b", None, None, None]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("\\p{Pd}") == 1

@@ -23,8 +23,8 @@ def _text(x: str) -> Column:
 
 def _usable(x: Column) -> Column:
     """Normal text, null where it stands for nothing."""
-    plain = normalize_text(x)
-    return F.when((plain != "") & ~F.lower(plain).isin(*NULL_TOKENS), plain)
+    # in an array, so that a long text is made normal once, not again for each test
+    return F.get(F.transform(F.array(normalize_text(x)), lambda plain: F.when((plain != "") & ~F.lower(plain).isin(*NULL_TOKENS), plain)), F.lit(0))
 
 
 def _issue(when: Column, code: str, field: str, severity: str = "error") -> Column:
