@@ -100,6 +100,25 @@ def test_processed_again(spark):
     assert got(back)["a"] == "a~3" and {r["group_id"] for r in groups.collect()} == {"a", "a~3"}
 
 
+def test_processed_again_after_later_groups_were_opened(spark):
+    """A group without a text is joined for longer than the horizon, then one that fits better by text opens at its place."""
+    rows = [report("a", 0, 12.0, 77.0, text=None), report("b", 700, 12.0, 77.0), report("c", 1400, 12.0, 77.0), report("d", 2400, 12.0, 77.0)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    found = group_issues(table).checkpoint()
+    assert got(found) == {"a": "a", "b": "a", "c": "a", "d": "d"}
+    same, groups = regroup(found, states(found), table)
+    assert got(same) == got(found) and {r["group_id"] for r in groups.collect()} == {"a", "d"}
+    moved, _ = regroup(same.checkpoint(), groups, spark.createDataFrame([report("b", 700, 50.0, 50.0)], SCHEMA))
+    assert got(moved) == got(found) | {"b": "b"}
+
+
+def test_all_processed_again(spark):
+    table = spark.createDataFrame(scattered(7), SCHEMA)
+    found = group_issues(table).checkpoint()
+    same, _ = regroup(found, states(found), table)
+    assert got(same) == got(found)
+
+
 def test_matches_with_groups_that_stand(spark):
     groups = spark.createDataFrame([("g1", *r[1:3], *r[4:9], r[3]) for r in (report("", 0, 0.0, 179.9999), )] + [("g2", *r[1:3], *r[4:9], r[3]) for r in (report("", 5, 85.0, 10.0), )] + [("g3", *r[1:3], *r[4:9], r[3]) for r in (report("", 5, district="D", text=None), )], "group_id string, category string, sub_category string, lat double, lon double, district string, state string, text string, last timestamp")
     rows = [report("a", 1, 0.0, -179.9999), report("b", 1, 85.0, 10.09), report("c", 1, district="D"), report("d", 1, district="E"), report("e", 1), report("f", 1, 12.0, 77.0), report("g", 1, 0.0, 179.9999, text="street light broken"), report("h", 900, 0.0, 179.9999)]

@@ -70,7 +70,7 @@ def _(t: Tables) -> DataFrame:
     """All reports processed a second time: each stays where it is, and no count grows."""
     rows = _reports(t)
     found = issues.group_issues(rows).checkpoint()
-    again, _ = issues.regroup(found.select("report_id", "group_id"), issues.states(found), rows)
+    again, _ = issues.regroup(found, issues.states(found), rows)
     return issues.issue_totals(again, rows)
 
 
