@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wardloom.config import DedupConfig
 from wardloom.functions.grid import tiles
+from wardloom.operators import issues
 from wardloom.operators.issues import Group, best_of, group_issues, issue_totals, match_issues, metres, regroup, states, text_similarity
 from wardloom.sources.store import Store
 from wardloom.streaming.issues import ASSIGNED, REPORTS, IssueStream
@@ -126,6 +127,39 @@ def test_matches_with_groups_that_stand(spark):
     assert got(found) == {"a": "g1", "b": "g2", "c": "g3"} and all(r["score"] >= 0.55 for r in found.collect())
 
 
+def test_matches_of_crowded_places(spark, monkeypatch):
+    """More groups at a place, in a district and without any place than count, and reports dealt to several tasks: the matches are those of a comparison with all groups."""
+    monkeypatch.setattr(issues, "CROWD", 30)
+    c = DedupConfig(candidates=5)
+    given, rng = scattered(9, 240), random.Random(9)
+    rows = [(*r[:4], *((12.9, 77.6) if r[4] and rng.random() < 0.5 else r[4:6]), *r[6:]) for r in given]
+    micros = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)
+    valid = lambda r: r[4] is not None and -90 <= r[4] <= 90
+    stand = [(f"g{r[0]}", *r[1:3], *(r[4:6] if valid(r) else (None, None)), *r[6:9], r[3]) for r in rows[:160]]
+    groups = spark.createDataFrame(stand, "group_id string, category string, sub_category string, lat double, lon double, district string, state string, text string, last timestamp")
+    assert issues._newest(groups, c).where("lat = 12.9 and lon = 77.6").groupBy("category", "sub_category").count().agg(F.max("count")).first()[0] == 5
+    found = {r["report_id"]: (r["group_id"], r["score"]) for r in match_issues(spark.createDataFrame(rows[100:], SCHEMA), groups, c).collect()}
+    want = {}
+    for r in rows[100:]:
+        known = [Group(g[0], micros(g[8]), *g[3:8]) for g in stand if g[1:3] == r[1:3]]
+        g, score = best_of(iter(known), micros(r[3]), *(r[4:6] if valid(r) else (None, None)), *r[6:9], c)
+        if g:
+            want[r[0]] = (g.id, score)
+    assert len(want) > 60 and found == want
+
+
+def test_standing_groups_in_small_steps(monkeypatch):
+    monkeypatch.setattr(issues, "CHUNK", 7)
+    monkeypatch.setattr(issues, "PLACES_KEPT", 3)
+    rng, c = random.Random(10), DedupConfig(candidates=20)
+    rows = [(f"g{i:03d}", rng.randrange(100) * 10**9, 12.9 + rng.gauss(0, 0.005), rng.choice([180.0, -180.0]) + rng.gauss(0, 0.001), " ".join(rng.choice("abcdefgh") * 3 for _ in range(6)) if i % 9 else None) for i in range(300)]
+    standing = issues.Standing(rows, c, issues.Similarities())
+    for _ in range(200):
+        at, lat, lon, text = rng.randrange(200) * 10**9, 12.9 + rng.gauss(0, 0.005), 179.999, rng.choice([None, "aaa bbb ccc", rows[1][4]])
+        g, score = best_of((Group(i, last, a, o, None, None, t) for i, last, a, o, t in rows), at, lat, lon, None, None, text, c)
+        assert standing.best(at, lat, lon, None, None, text) == (g and g.id, score)
+
+
 def test_tiles(spark):
     rng = random.Random(1)
     points = [(rng.choice([rng.uniform(-90, 90), 90.0, -90.0, 89.99, 0.0]), rng.choice([rng.uniform(-180, 180), 180.0, -180.0])) for _ in range(300)]
