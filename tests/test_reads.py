@@ -57,3 +57,15 @@ def test_summaries_of_nothing(spark):
     none = spark.createDataFrame([], "ward_code string, sector string, risk_code string, risk_type string, severity string, confidence double, status string")
     assert set(reads.risk_summary(none).first()) == {0}
     assert reads.risk_summary(spark.createDataFrame([("W", "ROAD", "a", "SPIKE", "LOW", 0.5, "OPEN"), ("W", "ROAD", "b", "NEW_CATEGORY", "LOW", 0.5, "RESOLVED"), ("W", "WATER", "c", "SPIKE", "HIGH", 0.5, "OPEN")], none.schema)).first().asDict() == {"total": 3, "open": 2, "spike": 2, "new_category": 1, "deteriorating_with_spend": 0, "stalled_absorption": 0, "critical_concentration": 0, "low": 2, "medium": 0, "high": 1, "critical": 0, "confirmatory": 2}
+
+
+def test_refreshes_read_tables_that_are_made_once(spark, monkeypatch):
+    from wardloom.plans import read_queries
+    from wardloom.sources.testdata import Tables
+
+    given = []
+    monkeypatch.setattr(read_queries.refresh, "refresh", lambda store, tables, as_of: given.append(tables))
+    sf_dir = "/root/testdata/sf0.001"
+    read_queries._refreshed(Tables(spark, sf_dir))
+    assert len(given) == 3 and all(sf_dir not in f for tables in given for df in tables.values() for f in df.inputFiles())
+    assert given[1]["demand_windows"].inputFiles() == given[2]["demand_windows"].inputFiles() != []
