@@ -68,6 +68,13 @@ def test_chain_over_many_tiles(spark):
     assert len(set(want.values())) > 20 and got(group_issues(spark.createDataFrame(rows, SCHEMA))) == want
 
 
+def test_only_homes_decide_at_first(spark, monkeypatch):
+    """Reports within one tile, near its edges: no tile without reports of its own is dealt any."""
+    rows, dealt, decided = [report(f"R{i:02d}", i, 10.001, 78.015 + i * 0.0001) for i in range(20)], [], issues._decided
+    monkeypatch.setattr(issues, "_decided", lambda rows, c: dealt.append(rows.count()) or decided(rows, c))
+    assert got(group_issues(spark.createDataFrame(rows, SCHEMA))) == one_pass(rows) and dealt == [20]
+
+
 def test_defined_cases(spark):
     rows = [
         report("a", 0, 12.99999, 77.0), report("b", 1, 13.00001, 77.0), report("c", 2, 60.0, 179.9999), report("d", 3, 60.0, -179.9999), report("e", 800, 12.99999, 77.0), report("f", 10, 12.99999, 77.0, text="street light broken"),
