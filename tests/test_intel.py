@@ -143,6 +143,29 @@ def test_clusters_without_all_pairs(spark, monkeypatch, direct, few, gap, n):
     assert got == sorted(map(tuple, intel.clusters(points, intel.near_pairs(points)).collect())) and len({c for _, c in got}) == n
 
 
+@pytest.mark.parametrize("direct", [10**6, 0])
+def test_a_ward_code_at_several_places_is_one_row(spark, monkeypatch, direct):
+    """A code that several wards have links their places, as clusters of pairs of codes do."""
+    monkeypatch.setattr(intel, "DIRECT_PAIRS", direct)
+    rows = [("W1", 10.0, 78.0), ("W2", 10.01, 78.0), ("W2", 20.0, 78.0), ("W3", 20.01, 78.0), ("W1", 30.0, 78.0), ("W4", 30.05, 78.0), ("W4", None, 78.0), ("W5", 40.0, 78.0), ("W6", None, 78.0)]
+    points = spark.createDataFrame(rows, "ward_code string, latitude double, longitude double")
+    assert sorted(map(tuple, intel.near_clusters(points).collect())) == [("W1", "W1"), ("W2", "W1"), ("W3", "W1"), ("W4", "W1"), ("W5", "W5"), ("W6", "W6")]
+
+
+@pytest.mark.parametrize("name", ["h19_priority_scores", "e5_rank_fraction"])
+def test_demand_is_made_once(spark, monkeypatch, name):
+    """What reads the citizens' demand reads a stored table, not lineitem grouped again."""
+    from wardloom.operators import mesh
+    from wardloom.plans import all_queries
+
+    read = []
+    for module, of, at in ((intel, "ward_signals", 1), (mesh, "demand_by_ward", 0), (priority, "signals", 2)):
+        own = getattr(module, of)
+        monkeypatch.setattr(module, of, lambda *a, own=own, at=at: read.append(a[at].inputFiles()) or own(*a))
+    assert all_queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert read and not [f for files in read for f in files if "lineitem" in f]
+
+
 def test_hotspots_list_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(intel, "near_pairs", None)
     wards = spark.createDataFrame([(f"W{i}", "D", 10.0, 78.0, 1000) for i in range(50)], "ward_code string, district string, latitude double, longitude double, population long")
