@@ -119,3 +119,34 @@ def test_boxes_across_180_degrees(spark):
     assert {r["id"]: r["place"] for r in by_box(points, boxes, "id").collect()} == {1: "Fiji", 2: "Fiji", 3: "World", 4: None}
     countries = boxes.withColumnRenamed("place", "country").selectExpr("country", "cast(south as int) as order", "south", "north", "west", "east")
     assert {r["id"]: r["country"] for r in country_of(points, countries, "id").collect()} == {1: "World", 2: "World", 3: "World", 4: None}
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_normal_text_is_that_of_the_whole_text(spark):
+    import re
+    import unicodedata
+
+    def whole(s):
+        s = unicodedata.normalize("NFKC", s or "")
+        s = re.sub("[“-‟]", '"', re.sub("[‘-‛]", "'", s))
+        s = "".join("-" if unicodedata.category(c) == "Pd" else "" if unicodedata.category(c) == "Cf" else c for c in s)
+        return re.sub("[ \x00-\x1f\x7f]+", " ", s).strip(" ")
+
+    parts = ["a", "é", "é", "́", " ", "­", "​", " ", "  ", "\t", "\x7f", "ﬁ", "…", "’", "“", "—", "֊", "ड़", "ड़", "சொ", "ா", "가", "ᆨ", "하", "Ａ", "\U0001d400", "_", "-", "7"]
+    texts = [a + b + c for a in parts for b in parts for c in (" x", "́", " ா  ", "​ y")]
+    rows = spark.createDataFrame([(t,) for t in [None, "", *texts, *(t * 50 for t in texts[:200])]], "x string")
+    assert [r for r in rows.select("x", tx.normalize_text("x").alias("y")).collect() if r["y"] != whole(r["x"])] == []
+
+
+def test_times_and_numbers_of_a_record_are_read_once(spark):
+    from wardloom.operators import intake
+
+    names = ["request_id", "language", "category", "sub_category", "severity", "created_at", "latitude", "longitude", "location", "place", "description"]
+    rows = spark.createDataFrame([(1, *[None] * 4, "4,5", "31/12/2023", "12.9", "abc", None, None, "a … " * 3000), (2, *[None] * 4, "x", "never", "91", "10", None, None, "b " * 2500)], "event_id long, " + ", ".join(f"{n} string" for n in names))
+    out = intake.clean(rows, F.lit(dt.datetime(2024, 1, 20))).select("event_id", "description", "latitude", "severity", "issues")
+    got = {r["event_id"]: (len(r["description"]), r["latitude"], r["severity"], [i["code"] for i in r["issues"] if not i["code"].startswith(("MISSING", "LANG"))]) for r in out.collect()}
+    assert got == {1: (5000, 12.9, 4.5, ["DESCRIPTION_TRUNCATED", "MALFORMED_COORDINATES", "INCOMPLETE_COORDINATES"]), 2: (4999, 91.0, None, ["MALFORMED_SEVERITY", "COORDINATES_OUT_OF_RANGE", "MALFORMED_TIMESTAMP"])}
+    assert _plan(out.select("issues")).count("yyyy/MM/dd xxx") == 1

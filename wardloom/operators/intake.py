@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardloom.functions.columns import lookup, valid_point
-from wardloom.functions.text import normalize_text, to_double
+from wardloom.functions.text import normalize_text, once, to_double
 from wardloom.operators.records import parsed_time
 from wardloom.vocab import LANGUAGE_NAMES, NULL_TOKENS, SUPPORTED_LANGUAGES
 
@@ -15,6 +15,8 @@ MOST_DESCRIPTION, MOST_TEXT, MOST_ID = 5_000, 1_000, 64
 DESCRIPTION_KEYS = ("text", "description", "message", "content", "raw_text")
 PLACE_KEYS = ("text", "address", "place", "name")
 MANDATORY = ("request_id", "category", "location", "created_at")
+#: A text of more bytes is no null token: a character has four at most, and none becomes fewer in lower case.
+MOST_NULL_BYTES = 4 * max(map(len, NULL_TOKENS))
 
 
 def _text(x: str) -> Column:
@@ -23,8 +25,8 @@ def _text(x: str) -> Column:
 
 def _usable(x: Column) -> Column:
     """Normal text, null where it stands for nothing."""
-    # in an array, so that a long text is made normal once, not again for each test
-    return F.get(F.transform(F.array(normalize_text(x)), lambda plain: F.when((plain != "") & ~F.lower(plain).isin(*NULL_TOKENS), plain)), F.lit(0))
+    nothing = lambda plain: (F.octet_length(plain) <= MOST_NULL_BYTES) & F.lower(plain).isin(*NULL_TOKENS)
+    return once(normalize_text(x), lambda plain: F.when((plain != "") & ~nothing(plain), plain))
 
 
 def _issue(when: Column, code: str, field: str, severity: str = "error") -> Column:
@@ -61,15 +63,15 @@ def clean_text(x: str) -> Column:
     return F.substring(_usable(_text(x)), 1, MOST_TEXT)
 
 
-def clean_severity(x: str = "severity") -> tuple[Column, list[Column]]:
-    """A number, kept though it may lie outside 1 to 5."""
-    number = to_double(F.col(x).cast("string"))
+def clean_severity(x: str = "severity", number: Column | None = None) -> tuple[Column, list[Column]]:
+    """A number, kept though it may lie outside 1 to 5; number is that of x where it has been read already."""
+    number = to_double(F.col(x).cast("string")) if number is None else number
     return number, [_issue(number.isNull() & (F.coalesce(F.col(x).cast("string"), F.lit("")) != ""), "MALFORMED_SEVERITY", "severity", "warning"), _issue(~number.between(1, 5), "SEVERITY_OUT_OF_RANGE", "severity")]
 
 
-def clean_point(latitude: Column, longitude: Column) -> tuple[Column, Column, list[Column]]:
-    """Two numbers, kept though they may be no point."""
-    lat, lon = to_double(latitude), to_double(longitude)
+def clean_point(latitude: Column, longitude: Column, numbers: tuple[Column, Column] | None = None) -> tuple[Column, Column, list[Column]]:
+    """Two numbers, kept though they may be no point; numbers are those of both where they have been read already."""
+    lat, lon = numbers or (to_double(latitude), to_double(longitude))
     bad = lambda raw, x: (F.coalesce(F.trim(raw), F.lit("")) != "") & x.isNull()
     issues = [_issue(bad(latitude, lat) | bad(longitude, lon), "MALFORMED_COORDINATES", "location"), _issue(~lat.between(-90, 90) | ~lon.between(-180, 180), "COORDINATES_OUT_OF_RANGE", "location"), _issue(lat.isNull() != lon.isNull(), "INCOMPLETE_COORDINATES", "location")]
     return lat, lon, issues
@@ -88,13 +90,16 @@ def clean(rows: DataFrame, as_of: Column, row_key: str = "event_id") -> DataFram
     ``issues`` (code, severity, field). No row is lost: what can't be read is null and has its issue.
     """
     have = [k for k in DESCRIPTION_KEYS if k in rows.columns]
+    # numbers and times are columns of their own, so that they are read once, not again for each issue
+    rows = rows.withColumns({"__severity": to_double(F.col("severity").cast("string")), "__latitude": nested_or_flat("location", "latitude", "$.latitude"), "__longitude": nested_or_flat("location", "longitude", "$.longitude"), "__at": parsed_time("created_at")})
+    rows = rows.withColumns({"__lat": to_double("__latitude"), "__lon": to_double("__longitude")})
     request, i1 = clean_request_id("request_id", row_key)
     language, supported, i2 = clean_language()
     description, i3 = clean_description(tuple(have))
-    severity, i4 = clean_severity()
-    lat, lon, i5 = clean_point(nested_or_flat("location", "latitude", "$.latitude"), nested_or_flat("location", "longitude", "$.longitude"))
+    severity, i4 = clean_severity("severity", F.col("__severity"))
+    lat, lon, i5 = clean_point(F.col("__latitude"), F.col("__longitude"), (F.col("__lat"), F.col("__lon")))
     place = F.coalesce(*[_usable(F.get_json_object("location", f"$.{k}")) for k in PLACE_KEYS], clean_text("place"))
-    at = parsed_time("created_at")
+    at = F.col("__at")
     i6 = [_issue(_text("created_at").isNull(), "MISSING_TIMESTAMP", "created_at"), _issue(_text("created_at").isNotNull() & at.isNull(), "MALFORMED_TIMESTAMP", "created_at"), _issue(at > as_of + F.expr("interval 1 day"), "FUTURE_TIMESTAMP", "created_at", "warning"), _issue(at < F.lit("1970-01-01").cast("timestamp"), "IMPLAUSIBLE_TIMESTAMP", "created_at")]
     out = rows.select(
         row_key, request.alias("request_id"), i1[0].isNull().__and__(i1[1].isNull()).alias("request_id_valid"), language.alias("language"), supported.alias("language_supported"), clean_text("category").alias("category"), clean_text("sub_category").alias("sub_category"),
