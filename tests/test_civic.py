@@ -157,3 +157,10 @@ def test_a_language_is_told_from_a_text_that_is_read_once(spark):
     out = rows.select(tx.detect_language("x").alias("l"))
     assert [(r["l"]["language"], r["l"]["confidence"]) for r in out.collect()] == [("romanised", 0.7), ("en", 0.85), ("ta", 0.9333), ("mr", 0.9), ("und", 0.0), ("und", 0.3), ("und", 0.0)]
     assert _plan(out).count("\\p{Cf}") == 1
+
+
+def test_severity_reads_a_text_once(spark):
+    rows = spark.createDataFrame([("My child, is (sick)", 0), ("Accident! a minor one", 7), ("small problem", 7), ("blocked", 9), ("endangered", 0), (None, 8), ("dirty​", 0)], "x string, d int")
+    out = rows.select(records.severity("x", F.col("d")).alias("s"))
+    assert [r["s"] for r in out.collect()] == [4, 5, 2, 5, 2, 3, 3]
+    assert _plan(out).count("[^\\p{L}\\p{N}\\p{M}_]+") == 1

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.functions.columns import clamp, lookup, valid_point
-from wardloom.functions.text import contains_phrase, normalize_text, tokens
+from wardloom.functions.text import BETWEEN, normalize_text, once, tokens
 from wardloom.operators.terms import dealt_join, occurrences
 from wardloom.vocab import SECTORS
 
@@ -49,12 +52,19 @@ def classify(rows: DataFrame, key: str, text: str, floor: float = 0.20, lexicon:
 
 def severity(text: str, days: Column) -> Column:
     """1 to 5: the strongest word's band, one more from seven days, at least 4 for personal health, at most 2 with a mitigator."""
-    words = tokens(text)
-    has = lambda k: F.exists(F.array(*map(F.lit, SEVERITY[k])), lambda p: contains_phrase(words, p))
-    score = F.when(has("critical"), 5).when(has("high"), 4).when(has("medium"), 3).otherwise(2) + F.when(days >= 7, 1).otherwise(0)
-    score = F.when(has("personal_health"), F.greatest(score, F.lit(4))).otherwise(score)
-    score = F.when(has("mitigator") & ~has("critical"), F.least(score, F.lit(2))).otherwise(score)
-    return clamp(score, 1, 5).cast("int")
+
+    def of_words(words: Column) -> Column:
+        has = lambda k: reduce(or_, [F.contains(words, F.lit(f" {p} ")) for p in SEVERITY[k]])
+
+        def of_band(band: Column) -> Column:
+            score = band + F.when(days >= 7, 1).otherwise(0)
+            score = F.when(has("personal_health"), F.greatest(score, F.lit(4))).otherwise(score)
+            return F.when((band < 5) & has("mitigator"), F.least(score, F.lit(2))).otherwise(score)
+
+        return once(F.when(has("critical"), 5).when(has("high"), 4).when(has("medium"), 3).otherwise(2), of_band)
+
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), BETWEEN, " "), F.lit(" "))
+    return once(once(words, of_words), lambda score: clamp(score, 1, 5)).cast("int")
 
 
 # Number words, and days of each unit of a duration.
