@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,7 +175,9 @@ def parsed_time(x: str) -> Column:
     number = F.when(~text.rlike(r"^\d{8}$") & text.rlike(r"^[+-]?\d+([.]\d+)?([eE][+-]?\d+)?$"), text.try_cast("double"))
     seconds = F.when(number > 1e11, number / 1000).otherwise(number)
     epoch = F.when(seconds.between(FIRST_SECOND, LAST_SECOND), F.timestamp_micros((seconds * 1e6).try_cast("long")))
-    written = [F.try_to_timestamp(F.concat(text, F.lit(" +00:00")), F.lit(f"{p} xxx")) for p in ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "dd-MM-yyyy", "yyyy/MM/dd")]
+    # a text without a pattern's signs isn't tried, as a failure costs much more than the look
+    has = lambda p: reduce(and_, [F.contains(text, F.lit(c)) for c in sorted(set(p) & set("/-:"))])
+    written = [F.when(has(p), F.try_to_timestamp(F.concat(text, F.lit(" +00:00")), F.lit(f"{p} xxx"))) for p in ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "dd-MM-yyyy", "yyyy/MM/dd")]
     return F.coalesce(F.when(text.rlike(ISO_TIME), iso.try_cast("timestamp")), epoch, *written)
 
 
